@@ -79,7 +79,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, thres
     pairs = hits.join(bounded(owners), "gram").select("doc_id", "item_id").distinct()
     wanted = pairs.join(bounded(items.withColumnRenamed("item_id", "own_")), F.col("item_id").eqNullSafe(F.col("own_"))).select("doc_id", F.struct("item_id", "item_grams", "n_item").alias("item"))
     wanted = wanted.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_list("item").alias("wanted"))  # at most the items one document holds
-    found = with_grams(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_"))), "text", width)
+    found = with_grams(docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_"))), "text", width)
     shared = F.transform("wanted", lambda w: F.struct(w["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("grams"), w["item_grams"])).cast("long").alias("n_shared"), w["n_item"].alias("n_item")))
     out = found.select("doc_id", F.explode(shared).alias("s")).select("doc_id", "s.*").withColumn("containment", F.col("n_shared") / F.col("n_item"))
     out = out.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).distinct()
@@ -90,7 +90,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """The documents that hold no item."""
     hits = contained_items(docs, benchmark, **options).select("doc_id").distinct()
     hits = materialize(hits, "contaminated").withColumnRenamed("doc_id", "hit_")
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_")), "left_anti")
+    return docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_")), "left_anti")
 
 
 #: The same in DuckDB, over shingles as strings.

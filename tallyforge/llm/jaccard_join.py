@@ -77,7 +77,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents without those near copies that have a smaller id; of repeated rows with the same id, one stays."""
     classes = jaccard_classes(docs, **options)
     stay = lsh.materialize(classes.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows_")), "stay").withColumnRenamed("doc_id", "stay_")
-    left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_"))).drop("stay_")
+    left = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stay_"))).drop("stay_")
     if stay.where("rows_ > 1 AND stay_ IS NOT NULL").isEmpty():
         return left.drop("rows_")
     one = left.where("rows_ = 1 OR doc_id IS NULL").drop("rows_")

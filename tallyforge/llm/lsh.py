@@ -234,7 +234,7 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
 Filter = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None
 
 
-def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune: Filter, chunk: int = 512) -> DataFrame:
+def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune: Filter, chunk: int = 256) -> DataFrame:
     """members: (grp, node, copies, size, text of the item). Rows (kind, a, b): kind 0, node a has b linked items in this
     tile; kind 1, a and b are linked (a spanning forest of the tile's links)."""
     spark = members.sparkSession
@@ -310,7 +310,7 @@ def near_classes(docs: DataFrame, key: str, text: str, *, width: int, threshold:
     chosen = groups.join(sizes, "grp").join(nodes, "node").select(F.struct("grp", "node", "copies", "size", F.col("rep.item").alias("item")).alias("want"), F.col("rep.key").alias("rep_key"))
     chosen = materialize(chosen.groupBy("rep_key").agg(F.collect_list("want").alias("wants")), "wants")  # at most the items of one row
     source = docs.select(F.col(key).alias("rep_key_"), F.col(text).alias("rep_text"))
-    held = chosen.join(source, F.col("rep_key").eqNullSafe(F.col("rep_key_"))).where("rep_text IS NOT NULL")
+    held = chosen.hint("merge").join(source, F.col("rep_key").eqNullSafe(F.col("rep_key_"))).where("rep_text IS NOT NULL")
     lines = F.split("rep_text", "\n") if by_line else F.array("rep_text")
     with_text = F.transform("wants", lambda w: F.struct(w["grp"].alias("grp"), w["node"].alias("node"), w["copies"].alias("copies"), w["size"].alias("size"), F.get(F.col("lines"), w["item"].cast("int")).alias("item_text")))
     members = held.select(lines.alias("lines"), "wants").select(F.inline(with_text)).where("item_text IS NOT NULL")

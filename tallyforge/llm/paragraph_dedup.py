@@ -39,7 +39,7 @@ def remove_repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
     docs = docs.select("doc_id", "text")
     gone = repeated_paragraphs(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set("cluster")).alias("clusters"))
     gone = lsh.materialize(gone, "gone")
-    joined = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select("doc_id", "text", "items", "clusters")
+    joined = docs.join(gone.withColumnRenamed("doc_id", "gone_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select("doc_id", "text", "items", "clusters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

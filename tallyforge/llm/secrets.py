@@ -99,7 +99,7 @@ def mask_live(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     verdict = scan_secrets(docs, **options).where("n_live > 0").groupBy("doc_id", "spans").agg(F.first("live").alias("live"))
     verdict = verdict.groupBy(F.col("doc_id").alias("id_")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("live")))).alias("live"))
     verdict = materialize(verdict, "verdict")
-    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+    joined = docs.join(verdict.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")), "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])

@@ -264,7 +264,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(marks[keep].astype(np.int64)), pa.array(pieces, pa.binary()), part.column(0).take(pa.array(rows_)), pa.array(at_ - offsets[rows_])], names=["mark", "piece", "doc_id", "start"])
 
     source = docs.select("doc_id", "text")
-    held = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_"))).select("doc_id", "text", "key", "marks")
+    held = source.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_"))).select("doc_id", "text", "key", "marks")
     pieces = held.mapInArrow(cut, "mark long, piece binary, doc_id long, start long")
     dealt = pieces.repartition(parts(docs.sparkSession), "mark").sortWithinPartitions("mark", "piece", "doc_id", "start")
 
@@ -356,5 +356,5 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col("id_")), "left").select("doc_id", "text", "keys", "ranges")
+    joined = docs.join(told.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")), "left").select("doc_id", "text", "keys", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
