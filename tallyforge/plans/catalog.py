@@ -1,9 +1,160 @@
 """All queries of the library over the driver's tables, each with the SQL that should give the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import numeric as N
+from ..functions import ratios as R
+from ..functions.text import line_list
+from ..operators import results as O
+from ..operators import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def outcome_rate(spark: SparkSession, d: str) -> DataFrame:
+    hit = F.count_if(F.col("value") > 50)
+    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), hit.alias("passed"), R.rate_or_zero(hit, F.count("*")).alias("pass_rate"))
+
+
+def funnel(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    return o.groupBy("o_orderpriority").agg(*O.funnel(F.lit(True), F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F"))
+
+
+def rollup_total(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("File")).agg(F.count_if(F.col("l_discount") > 0.05).alias("covered"), F.count("*").alias("total"))
+    return O.with_total(li, "File", ["covered"], ["total"]).withColumn("covered_pct", F.round("covered_pct", 6))
+
+
+def left_zero_fill(spark: SparkSession, d: str) -> DataFrame:
+    rolled = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    return O.all_files(read(spark, d, "customer").select("c_custkey"), rolled, ["c_custkey"])
+
+
+def no_report(spark: SparkSession, d: str) -> DataFrame:
+    return O.missing_reports(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+def _by_priority(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("c"), F.count("*").alias("t"))
+
+
+def pct_round2(spark: SparkSession, d: str) -> DataFrame:
+    return _by_priority(spark, d).select("o_orderpriority", R.percent_rounded(F.col("c"), F.col("t")).alias("pct"), R.percent_rounded(F.col("c"), F.lit(0)).alias("pct_of_none"))
+
+
+def pct_floor2(spark: SparkSession, d: str) -> DataFrame:
+    return _by_priority(spark, d).select("o_orderpriority", R.percent_truncated(F.col("c"), F.col("t")).alias("pct"), R.percent_truncated(F.lit(0), F.lit(0)).alias("pct_of_none"), R.percent_text(F.col("c"), F.lit(0)).alias("overall"))
+
+
+def coverage_class(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").groupBy("event_type").agg(R.percent_exact(F.count_if(F.col("value") > 20), F.count("*")).alias("p"))
+    return rows.select("event_type", R.coverage_class(F.col("p")).alias("class"))
+
+
+def regex_filter(spark: SparkSession, d: str) -> DataFrame:
+    return T.filter_rows(read(spark, d, "part").select("p_partkey", "p_name", "p_type"), "(1|3)5$", ["p_name", "p_type", "p_partkey"])
+
+
+def regex_fallback(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "supplier").select("s_suppkey", F.concat(F.col("s_name"), F.lit(" (A[")).alias("name"))
+    return T.filter_rows(s, "1 (a[", ["name"])
+
+
+def sorted_positions(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), F.col("s_suppkey").asc())
+    return read(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.row_number().over(w).alias("position"))
+
+
+def next_prev_wrap(spark: SparkSession, d: str) -> DataFrame:
+    return T.with_neighbours(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey", "n_nationkey", ["n_regionkey"])
+
+
+def uncovered_spans(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem")
+    lines = li.groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("l_quantity") > 25).alias("hits"))
+    spans = lines.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") > 1, F.col("l_orderkey") * 100 + 1).alias("parent"), "hits", F.lit("medium").alias("pct_class"))
+    return T.uncovered_spans(spans).select("id", "hits")
+
+
+def uncovered_list(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").where("l_discount = 0").groupBy("l_orderkey").agg(line_list(F.col("l_linenumber")).alias("uncovered"))
+
+
+def hit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return O.line_counts(read(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_quantity") > 10, 1).otherwise(0).alias("hits")), ["l_suppkey"])
+
+
+def kahan(spark: SparkSession, d: str) -> DataFrame:
+    out = N.compensated_sum_by(read(spark, d, "orders"), ["o_custkey"], "o_totalprice", "o_orderkey")
+    return out.select("o_custkey", F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+def poisson_cells(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "region").select("r_regionkey", N.poisson_cells(F.col("r_regionkey") + F.lit(1.0)).alias("cells"))
+    return r.select("r_regionkey", F.posexplode("cells").alias("k", "p")).withColumn("p", F.round("p", 9))
+
+
+def permutations(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey"))), lambda s: s["r_regionkey"].cast("string")).alias("items"))
+    return N.permutations(spark, items, "items").select(F.array_join("arrangement", ",").alias("arrangement"))
+
+
+def combinations_repl(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda s: s["r_name"]).alias("items"))
+    rows = items.select(F.posexplode(N.combinations_with_replacement(F.col("items"), 2)).alias("position", "pair"))
+    return rows.select("position", F.get("pair", F.lit(0)).alias("first"), F.get("pair", F.lit(1)).alias("second"))
+
+
+def type_cast_nan(spark: SparkSession, d: str) -> DataFrame:
+    cell = T.number_cell(F.substring("o_orderpriority", 1, 1))
+    bad = T.number_cell(F.col("o_orderpriority"))
+    return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.max(cell).alias("number"), F.max(F.isnan(bad).cast("int")).alias("is_nan"))
+
+
+def prop_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.size("m").alias("n_props"))
+
+
+ALL: dict[str, tuple[Query, str | None]] = {
+    "outcome_rate": (outcome_rate, "SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS passed, coalesce(count(*) FILTER (value > 50) / nullif(count(*), 0), 0.0) AS pass_rate FROM events GROUP BY event_type"),
+    "funnel": (funnel, "SELECT o_orderpriority, count(*) AS generated, count(*) FILTER (o_orderstatus <> 'P') AS syntax_ok, count(*) FILTER (o_orderstatus = 'F') AS compiled, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS syntax_rate, count(*) FILTER (o_orderstatus = 'F') / count(*) AS compile_rate FROM orders GROUP BY o_orderpriority"),
+    "rollup_total": (rollup_total, "WITH g AS (SELECT l_returnflag AS \"File\", count(*) FILTER (l_discount > 0.05) AS covered, count(*) AS total FROM lineitem GROUP BY 1) SELECT \"File\", covered, total, round(100.0 * covered / total, 2) AS covered_pct FROM g UNION ALL SELECT 'Total', CAST(sum(covered) AS BIGINT), CAST(sum(total) AS BIGINT), round(100.0 * sum(covered) / sum(total), 6) FROM g"),
+    "left_zero_fill": (left_zero_fill, "SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey"),
+    "no_report": (no_report, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "pct_round2": (pct_round2, "SELECT o_orderpriority, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS pct, CAST(0 AS DOUBLE) AS pct_of_none FROM orders GROUP BY 1"),
+    "pct_floor2": (pct_floor2, "SELECT o_orderpriority, floor(count(*) FILTER (o_orderstatus = 'F') * 10000 / count(*)) / 100 AS pct, CAST(100 AS DOUBLE) AS pct_of_none, 'Unknown%' AS overall FROM orders GROUP BY 1"),
+    "coverage_class": (coverage_class, "SELECT event_type, CASE WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS class FROM (SELECT event_type, 100.0 * count(*) FILTER (value > 20) / count(*) AS p FROM events GROUP BY 1)"),
+    "regex_filter": (regex_filter, "SELECT p_partkey, p_name, p_type FROM part WHERE regexp_matches(concat_ws(chr(10), p_name, p_type, CAST(p_partkey AS VARCHAR)), '(1|3)5$', 'i')"),
+    "regex_fallback": (regex_fallback, "SELECT s_suppkey, s_name || ' (A[' AS name FROM supplier WHERE contains(lower(s_name || ' (A['), '1 (a[')"),
+    "sorted_positions": (sorted_positions, "SELECT s_suppkey, s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS position FROM supplier"),
+    "next_prev_wrap": (next_prev_wrap, "SELECT n_nationkey, n_regionkey, coalesce(lead(n_nationkey) OVER w, first_value(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_, coalesce(lag(n_nationkey) OVER w, last_value(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_ FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)"),
+    "uncovered_spans": (uncovered_spans, "WITH s AS (SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 100 + 1 END AS parent, count(*) FILTER (l_quantity > 25) AS hits FROM lineitem GROUP BY l_orderkey, l_linenumber), u AS (SELECT * FROM s WHERE hits = 0) SELECT id, hits FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.id = u.parent)"),
+    "uncovered_list": (uncovered_list, "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS uncovered FROM lineitem WHERE l_discount = 0 GROUP BY 1"),
+    "hit_counts": (hit_counts, "SELECT l_suppkey, count(*) AS lines_found, count(*) FILTER (l_quantity > 10) AS lines_hit FROM lineitem GROUP BY 1"),
+    "kahan": (kahan, "SELECT o_custkey, round(fsum(o_totalprice), 2) AS total, round(fsum(o_totalprice) / count(*), 6) AS mean FROM orders GROUP BY 1"),
+    "poisson_cells": (poisson_cells, "WITH RECURSIVE c AS (SELECT r_regionkey, r_regionkey + 1.0::DOUBLE AS l, 0 AS k, exp(-(r_regionkey + 1.0::DOUBLE)) AS p, exp(-(r_regionkey + 1.0::DOUBLE)) AS s FROM region UNION ALL SELECT r_regionkey, l, k + 1, p * l / (k + 1), s + p * l / (k + 1) FROM c WHERE s < 0.9999) SELECT r_regionkey, k, round(p, 9) AS p FROM c"),
+    "permutations": (permutations, "WITH RECURSIVE p AS (SELECT [CAST(r_regionkey AS VARCHAR)] AS a FROM region UNION ALL SELECT list_append(a, CAST(r_regionkey AS VARCHAR)) FROM p JOIN region ON NOT list_contains(a, CAST(r_regionkey AS VARCHAR))) SELECT array_to_string(a, ',') AS arrangement FROM p WHERE len(a) = (SELECT count(*) FROM region)"),
+    "combinations_repl": (combinations_repl, "SELECT CAST(row_number() OVER (ORDER BY a.r_regionkey, b.r_regionkey) - 1 AS INTEGER) AS position, a.r_name AS first, b.r_name AS second FROM region a JOIN region b ON a.r_regionkey <= b.r_regionkey"),
+    "type_cast_nan": (type_cast_nan, "SELECT o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS number, max(CASE WHEN try_cast(o_orderpriority AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS is_nan FROM orders GROUP BY o_orderpriority"),
+    "prop_lookup": (prop_lookup, "SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_props FROM events"),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in ALL.items() if sql}
