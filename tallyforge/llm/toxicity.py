@@ -221,7 +221,7 @@ def score_texts(texts: pa.Array, m: Model) -> np.ndarray:
     return sigmoid(design(found, votes(found, m.lexicon, m.stems, m.insults, m.second), m.lexicon, m.stems) @ m.weights + m.bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 8000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, threshold: float = 0.3) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     texts, y = labelled_sample(docs, labels, "toxic", 4, 2, most)
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y))  # lexicons of a bounded sample
@@ -241,7 +241,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 8000, thresho
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; labels are read for training only."""
     threshold = options.pop("threshold", 0.3)
-    texts, y = labelled_sample(docs, labels, "toxic", 4, 2, options.pop("most", 8000))
+    texts, y = labelled_sample(docs, labels, "toxic", 4, 2, options.pop("most", 4000))
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     at = docs.columns.index("text")
 
