@@ -7,12 +7,13 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    one run; marks go, packed by bucket, to where it shows which of them several texts have.
 2. The runs with such marks are cut out as pieces (the run's windows and the bytes they reach over) and meet by mark.
    Of equal pieces only the smallest document's stays; in the others the whole run goes.
-3. The distinct pieces of a mark are concatenated and suffix-sorted by grouping: ``suffix_array`` groups suffixes by
-   Lyndon prefix from the highest group down, finding for each suffix the previous smaller one by pointers, and then
-   reads the order off the groups without renaming anything. Neighbours in the order that agree on ``length`` bytes
-   are one window, and the smallest document among them keeps it.
+3. Windows of the distinct pieces whose hash no second document has are cut off, equal ranges of the rest are treated
+   like equal pieces, and the cut is repeated on the distinct ranges. What is left is concatenated and suffix-sorted by
+   grouping: ``suffix_array`` groups suffixes by Lyndon prefix from the highest group down, finding for each suffix the
+   previous smaller one by pointers, and then reads the order off the groups without renaming anything. Neighbours in
+   the order that agree on ``length`` bytes are one window, and the smallest document among them keeps it.
 
-Steps 1 and 2 only choose what is sorted; they lose no window, since marks depend on the window's bytes alone.
+Marks and hashes only choose what is sorted; they lose no window, since they depend on the window's bytes alone.
 
 Defined cases: null texts count as empty; texts shorter than ``length`` lose nothing; of equal texts the smallest
 doc_id keeps its bytes and the others lose all; repeated rows (same id and text) are treated alike; rows with a null
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parts
 from .lsh import grouped
-from .shingling import buffers, mix, slices
+from .shingling import buffers, mix, powers, slices, weights
 
-GRAM = 12
-#: Bytes that one suffix sort has at most, unless a single mark has more.
-BLOCK = 1 << 15
+GRAM = 20
+#: Bytes of pieces that are settled at once, unless a single mark has more.
+BLOCK = 1 << 18
+#: Bytes of text that are marked at once.
+SLICE = 1 << 18
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -122,10 +125,11 @@ def window_marks(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     none = np.empty(0, np.int64)
     if n < length:
         return np.empty(0, np.uint64), none, none, none
-    wide = raw.astype(np.uint64)
-    code = np.zeros(n - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        code = code * np.uint64(0x100000001B3) + wide[k : k + len(code)] + np.uint64(1)
+    eight = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,))  # the bytes from each place on
+    m = n - GRAM + 1
+    code = np.zeros(m, np.uint64)
+    for k, w in zip([*range(0, GRAM - 8, 8), GRAM - 8], weights(-(-GRAM // 8)), strict=True):
+        code += eight[k : k + m] * w
     code = mix(code) >> np.uint64(16)
     span = length - GRAM + 1
     padded = np.full(-(-len(code) // span) * span, np.iinfo(np.uint64).max, np.uint64)
@@ -134,15 +138,15 @@ def window_marks(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     behind = np.minimum.accumulate(padded.reshape(-1, span)[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     m = n - length + 1
     low = np.minimum(behind[:m], ahead[span - 1 : span - 1 + m])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = row[:m] == row[length - 1 :]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.empty(0, np.uint64), none, none, none
-    marks, rows = low[at], row[at]
-    fresh = np.concatenate([[True], (marks[1:] != marks[:-1]) | (rows[1:] != rows[:-1])])
-    begin = np.flatnonzero(fresh)
-    return marks[begin], rows[begin], at[begin], np.diff(np.append(begin, len(at)))
+    inside = np.ones(m, bool)
+    for end in offsets[1:].tolist():
+        inside[max(end - length + 1, 0) : end] = False
+    fresh = inside.copy()
+    fresh[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
+    breaks = np.flatnonzero(fresh | ~inside)
+    starts = np.flatnonzero(inside[breaks])
+    begin = breaks[starts]
+    return low[begin], np.searchsorted(offsets, begin, side="right") - 1, begin, np.append(breaks, m)[starts + 1] - begin
 
 
 def text_key(text: str | None) -> int:
@@ -157,7 +161,7 @@ def shared_marks(docs: DataFrame, length: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             marks, keys = [], []
-            for at, n in slices(batch.column(0), 1 << 22):
+            for at, n in slices(batch.column(0), SLICE):
                 part = batch.column(0).slice(at, n)
                 names = np.array([text_key(x) for x in part.to_pylist()], np.int64)
                 found, rows, _, _ = window_marks(*buffers(part), length)
@@ -201,7 +205,32 @@ def shared_marks(docs: DataFrame, length: int) -> DataFrame:
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, mark long").distinct()
 
 
-def resolve(pieces: list[bytes], owners: list[int], length: int) -> Iterator[tuple[int, int]]:
+def contested(pieces: list[bytes], owners: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window's start in it, number of windows) of the maximal runs of windows whose hash several owners have."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    m = len(raw) - length + 1
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw)), out=prefix[1:])
+    at = np.flatnonzero(piece[:m] == piece[length - 1 :])
+    code = mix((prefix[at + length] - prefix[at]) * powers(len(raw) + 1, inverse=True)[at])
+    of = piece[at]
+    order = np.argsort(code)
+    own = np.array(owners, np.int64)[of[order]]
+    begin = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
+    several = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+    keep = np.zeros(len(at), bool)
+    keep[order] = np.repeat(several, np.diff(np.append(begin, len(at))))
+    at, of = at[keep], of[keep]
+    if not len(at):
+        return of, at, at
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]))
+    return of[first], at[first] - offsets[of[first]], np.diff(np.append(first, len(at)))
+
+
+def in_order(pieces: list[bytes], owners: list[int], length: int) -> Iterator[tuple[int, int]]:
     """(piece, start in it) of the windows that also start in a piece of a smaller owner, by suffix sorting."""
     text: list[int] = []
     origin: list[int] = []
@@ -233,6 +262,31 @@ def resolve(pieces: list[bytes], owners: list[int], length: int) -> Iterator[tup
     yield from close()
 
 
+def resolve(marks: list[int], pieces: list[bytes], owners: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, first window's start in it, number of windows) of windows that also start in a piece of a smaller owner.
+
+    Windows that no second owner can have are cut off first, by their hashes. Of equal ranges among the rest the
+    smallest owner's stays for the suffix sort; in the others all windows go, as with equal pieces."""
+    at: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for p, a, c in zip(*(x.tolist() for x in contested(pieces, owners, length)), strict=True):
+        at.setdefault((marks[p], pieces[p][a : a + c + length - 1]), []).append((p, a))
+    tally: dict[int, int] = {}
+    ranges: list[tuple[int, bytes, int, list[tuple[int, int]]]] = []
+    for (mark, body), places in at.items():
+        least = min(owners[p] for p, _ in places)
+        tally[mark] = tally.get(mark, 0) + 1
+        ranges.append((mark, body, least, [x for x in places if owners[x[0]] == least]))
+        yield from ((p, a, len(body) - length + 1) for p, a in places if owners[p] > least)
+    ranges = [r for r in ranges if tally[r[0]] > 1]
+    if not ranges:
+        return
+    # a range whose windows no other range has is settled; what is left of the others goes into the suffix sort
+    rest = [(r, a, ranges[r][1][a : a + c + length - 1]) for r, a, c in zip(*(x.tolist() for x in contested([x[1] for x in ranges], [x[2] for x in ranges], length)), strict=True)]
+    for k, i in in_order([x[2] for x in rest], [ranges[x[0]][2] for x in rest], length):
+        r, begin, _ = rest[k]
+        yield from ((p, a + begin + i, 1) for p, a in ranges[r][3])
+
+
 def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, start, end): byte ranges that go, of the documents that are the first of their text."""
 
@@ -248,7 +302,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(1)):
+            for at, n in slices(batch.column(1), SLICE):
                 part = batch.slice(at, n)
                 raw, offsets = buffers(part.column(1))
                 marks, rows, starts, count = window_marks(raw, offsets, length)
@@ -281,22 +335,19 @@ def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
 
         def flush() -> None:
             nonlocal bytes_held
-            tally: dict[int, int] = {}
-            for m, *_ in block:
-                tally[m] = tally.get(m, 0) + 1
-            many = [r for r in block if tally[r[0]] > 1]
-            if many:
-                gone: dict[int, list[int]] = {}
-                for p, i in resolve([r[1] for r in many], [r[2] for r in many], length):
-                    gone.setdefault(p, []).append(i)
-                for p, starts in gone.items():
-                    starts.sort()
-                    a = b = starts[0]
-                    for s in starts[1:] + [None]:
-                        if s is None or s > b + 1:
-                            put(many[p][2], many[p][3] + a, many[p][3] + b + length)
-                            a = s
-                        b = s
+            if len(block) > 1:
+                gone: dict[int, list[tuple[int, int]]] = {}
+                for p, i, n in resolve([r[0] for r in block], [r[1] for r in block], [r[2] for r in block], length):
+                    gone.setdefault(p, []).append((i, i + n))
+                for p, runs in gone.items():
+                    runs.sort()
+                    a, b = runs[0]
+                    for i, j in runs[1:]:
+                        if i > b:
+                            put(block[p][2], block[p][3] + a, block[p][3] + b + length - 1)
+                            a, b = i, j
+                        b = max(b, j)
+                    put(block[p][2], block[p][3] + a, block[p][3] + b + length - 1)
             block.clear()
             bytes_held = 0
 
@@ -334,7 +385,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, keys, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            held = batch.column(3).fill_null([])
+            at = held.offsets.to_pylist()
+            begin, stop = (held.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for doc, text, keys, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(3)), at, at[1:], strict=False):
                 raw = (text or "").encode()
                 spans: list[list[int]] = []
                 if doc is None:
@@ -342,7 +396,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
                 elif text_key(text) not in (keys or ()):
                     spans = [[0, len(raw)]] if len(raw) >= length else []
                 else:
-                    for a, b in sorted((r["start"], r["end"]) for r in ranges or ()):
+                    for a, b in sorted(zip(begin[lo:hi].tolist(), stop[lo:hi].tolist(), strict=True)):
                         if spans and a <= spans[-1][1]:
                             spans[-1][1] = max(spans[-1][1], b)
                         else:
