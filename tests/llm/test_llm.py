@@ -84,6 +84,23 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_resolve_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        length = rng.randint(2, 6)
+        body = bytes(rng.choice(b"ab") for _ in range(30))
+        cuts = [rng.randrange(20) for _ in range(rng.randint(2, 8))]
+        pieces = [body[c : c + length + rng.randrange(8)] if rng.random() < 0.7 else bytes(rng.choice(b"ab") for _ in range(length + rng.randrange(8))) for c in cuts]
+        owners = [rng.randrange(4) for _ in pieces]
+        least: dict[bytes, int] = {}
+        for p, o in zip(pieces, owners, strict=True):
+            for i in range(len(p) - length + 1):
+                least[p[i : i + length]] = min(o, least.get(p[i : i + length], o))
+        want = {(k, i) for k, p in enumerate(pieces) for i in range(len(p) - length + 1) if least[p[i : i + length]] < owners[k]}
+        got = {(p, a + k) for p, a, n in suffix_dedup.resolve([0] * len(pieces), pieces, owners, length) for k in range(n)}
+        assert got == want
+
+
 def test_suffix_dedup(spark, docs):
     got = {r.doc_id: r for r in suffix_dedup.remove_repeated_bytes(docs).toPandas().itertuples()}
     first = {}
