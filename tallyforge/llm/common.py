@@ -56,32 +56,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds. A hub's neighbourhood is never gathered: its minimum comes from a
     partial aggregate, and the join that follows reads that minimum from a table of its own, so that AQE may split
-    the hub's rows. Every round is cut by a written table.
+    the hub's rows. Every round is cut by written tables. It ends when a large-star step moves no edge and no node
+    has two edges left, which is exact.
     """
     pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
     state = materialize(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
-
-    def mark(df):
-        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-
-    before = mark(state)
     for _ in range(max_rounds):
-        if not before["n"]:
-            break
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
+        # one row for each edge: its larger node, and the smallest neighbour of its smaller one
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved")), "cc-large")
+        seen = large.agg(F.count("*").alias("n"), F.count_if("moved").alias("moved")).first()
         low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        joined = large.join(low2, "u")
-        # (neighbour, minimum) for each further neighbour, and (node, minimum) once
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        after_state = materialize(small, "cc")
-        after = mark(after_state)
-        discard(state, low, low2)
-        state, same, before = after_state, after == before, after
-        if same:
+        if not seen["moved"] and low2.count() == seen["n"]:
+            discard(low, large, low2)
             break
+        # (neighbour, minimum) for each further neighbour, and (node, minimum) once
+        further = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = materialize(further.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(state, low, large, low2)
+        state = small
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -10,7 +10,7 @@ one node. Steps, each cut by a written table:
    joined by the border rows alone (two for a partition).
 3. ``components`` of the stars are candidate groups.
 4. ``verify``: a group is cut into chunks, and each pair of chunks is one tile. A tile counts links for each node and
-   keeps only a spanning forest of them, never all pairs.
+   keeps only the components they make, as stars, never all pairs.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def star_edges(feats: DataFrame) -> DataFrame:
     links = [(b["src"], a["dst"]) for a, b in zip(border, border[1:], strict=False) if a["last_key"] == b["key"] and a["dst"] != b["src"]]
     if links:
         edges = edges.unionByName(spark.createDataFrame(links, "src long, dst long"))
-    return edges.distinct()
+    return edges
 
 
 def tiled(members: DataFrame, group: str, node: str, size: str, chunk: int) -> DataFrame:
@@ -211,8 +211,8 @@ def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
     return (union > 0) & (both >= threshold * union - 1e-9)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links, by union-find."""
+def stars(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(item, first item of its component) for all items that are not the first, by union-find."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -221,13 +221,11 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
             x = root[x]
         return x
 
-    kept = []
     for x, y in zip(left.tolist(), right.tolist(), strict=True):
         a, b = find(x), find(y)
         if a != b:
             root[max(a, b)] = min(a, b)
-            kept.append((x, y))
-    return kept
+    return [(x, r) for x in range(n) if (r := find(x)) != x]
 
 
 #: Picks from the pairs of a tile those to verify: (MinHash rows, left, right) -> mask. None: all pairs are verified.
@@ -236,7 +234,7 @@ Filter = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None
 
 def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune: Filter, chunk: int = 256) -> DataFrame:
     """members: (grp, node, copies, size, text of the item). Rows (kind, a, b): kind 0, node a has b linked items in this
-    tile; kind 1, a and b are linked (a spanning forest of the tile's links)."""
+    tile; kind 1, the tile's links lead from a to b, the smallest node of that component."""
     spark = members.sparkSession
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +283,7 @@ def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune:
             left, right = left[good], right[good]
             count = np.bincount(left, copies[right], len(nodes)) + np.bincount(right, copies[left], len(nodes))
             some = np.flatnonzero(count)
-            tree = forest(len(nodes), left, right)
+            tree = stars(len(nodes), left, right)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(some) + [1] * len(tree), pa.int32()), pa.array(np.concatenate([nodes[some], nodes[[x for x, _ in tree]]]).astype(np.int64)), pa.array(np.concatenate([count[some].astype(np.int64), nodes[[y for _, y in tree]]]).astype(np.int64))],
                 names=["kind", "a", "b"],
