@@ -145,6 +145,34 @@ def test_paragraphs(spark, docs):
     assert got[2].n_spans == 1 and got[0].n_spans == 0 and got[3].kept_text == "" and got[9].n_removed == 0
 
 
+def test_passages_inside_lines(spark):
+    long = words(52, 50)
+    texts = [" ".join(words(60, 51) + long + words(70, 52)), " ".join(words(80, 53) + long + words(40, 54)), " ".join(words(30, 55) + long[:25]) + "\n" + " ".join(long[25:] + words(90, 56)), " ".join(words(200, 57))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(words(100, 58))), (None, " ".join(words(120, 59))), (1, texts[1])]
+    got = paragraph_dedup.remove_repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        kept = S.plain_words(r.kept_text)
+        if r.doc_id in (1, 2):
+            own = [w for w in S.plain_words(texts[r.doc_id]) if w.decode() not in long]
+            assert r.n_spans == 1 and [w for w in kept if w.decode() not in long] == own and len(S.plain_words(texts[r.doc_id])) - len(kept) >= paragraph_dedup.SPAN
+        else:
+            assert r.n_spans == r.n_removed == 0
+
+
+def test_passage_guarantee():
+    r = random.Random(6)
+    weight = lambda ws: np.array([hash(w) & (1 << 63) - 1 for w in ws], np.uint64)
+    for _ in range(300):
+        n = paragraph_dedup.SPAN + 4 * paragraph_dedup.WINNOW - 2
+        common = [r.randrange(r.choice([2, 9, 999])) for _ in range(n)]
+        sides = []
+        for _ in range(2):
+            text = [r.randrange(999) for _ in range(r.randrange(40))] + common + [r.randrange(999) for _ in range(r.randrange(40))]
+            sides.append(set(paragraph_dedup.passage_keys(S.mix(weight(text)), np.zeros(len(text), np.int64), paragraph_dedup.SPAN)[2].tolist()))
+        assert sides[0] & sides[1]
+
+
 def test_containment(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(words(4000, 4)[1000:1025])), (2, " ".join(words(30, 77))), (3, None), (4, "two words")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.contained_items(docs, bench).collect()}
