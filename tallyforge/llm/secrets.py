@@ -4,7 +4,8 @@ Spans are found by patterns. The base kinds are assign, access and hex; further
 code points, the end exclusive: they follow from splitting a text at the matches and adding up lengths. Each secret's
 hash is then counted over the corpus, by distinct repositories (documents, unless told otherwise) and owners
 (sources). A secret that many owners hold is a copied example; so is one with hardly any different characters. All
-others look live.
+others look live. A private key is its whole block, and its secret the body without line breaks; a first line without a
+body is no key and never live.
 
 Defined cases: null texts count as empty; a null owner counts as one owner of its own; repeated rows count once as a
 repository, and each gives its own row. Rows with a null id are scanned like others. Further columns are ignored.
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: A private key from its first line to its END line; where none follows, as far as lines of its alphabet go.
+PEM_BODY = r"[^-]*+(?:-{1,4}+[^-]++){0,200}+(?=-----END [A-Z ]*PRIVATE KEY-----)"
+PEM_REST = r"(?:[\s\\nr]{0,8}[A-Za-z0-9+/=]{16,}+){0,400}+(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?=\r?\n|$))?"
+PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----({PEM_BODY}|{PEM_REST})(?:-----END [A-Z ]*PRIVATE KEY-----)?"
 #: (kind, pattern, group with the secret, least length of that group, literal or pattern that any match holds).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = [
@@ -26,7 +31,7 @@ KINDS = [
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh[pousr]_"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, "xox[abprs]-"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
+    ("pem", PEM, 1, 0, "-----BEGIN "),
 ]
 BASE = 3
 SPAN = "struct<start:int,no:int,end:int,kind:string,secret:string>"
@@ -40,10 +45,13 @@ def found(text: Column, no: int) -> Column:
     empty = F.array().cast(f"array<{SPAN}>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
+    def secret(inner: Column) -> Column:
+        return F.regexp_replace(inner, r"\s|\\[nr]", "") if kind == "pem" else inner
+
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + F.length(m["before"])
         end = begin + F.length(m["whole"])
-        span = F.struct(begin.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), m["inner"].alias("secret"))
+        span = F.struct(begin.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), secret(m["inner"]).alias("secret"))
         return F.struct(end.alias("at"), F.when(F.length(m["inner"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     hit = text.contains(hint) if not set("[(?\\") & set(hint) else text.rlike(hint)
