@@ -8,8 +8,9 @@ go on to more dimensions, and the last ones get their exact cosine in double pre
 
 A tile returns link counts and a spanning forest, never all pairs, and exact copies are one row throughout.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, rows without an id, and
-vectors of another length than the longest link with nothing. Repeated rows (same id and vector) count as one vector,
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id
+link with nothing. Vectors are compared with those of equal length only; each length that two or more distinct vectors
+have is compared in jobs of its own. Repeated rows (same id and vector) count as one vector,
 and each gives its own row. An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -33,19 +34,22 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
-def valid_rows(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, matrix in double precision) of the vectors that can link."""
-    at, out = [], []
+def valid_rows(vectors: pa.Array) -> list[bytes | None]:
+    """The vectors that can link, in double precision; None for the others."""
+    out: list[bytes | None] = [None] * len(vectors)
+    by_length: dict[int, tuple[list[int], list]] = {}
     for i, v in enumerate(vectors.to_pylist()):
-        if v is None or len(v) != dims or dims == 0 or any(x is None for x in v):
-            continue
-        at.append(i)
-        out.append(v)
-    m = np.array(out, np.float64).reshape(len(out), dims) + 0.0
-    with np.errstate(over="ignore", invalid="ignore"):
-        norms = np.einsum("ij,ij->i", m, m)
-    ok = np.isfinite(norms) & (norms > 0)
-    return np.array(at, np.int64)[ok], m[ok]
+        if v and not any(x is None for x in v):
+            at, held = by_length.setdefault(len(v), ([], []))
+            at.append(i)
+            held.append(v)
+    for at, held in by_length.values():
+        m = np.array(held, np.float64) + 0.0
+        with np.errstate(over="ignore", invalid="ignore"):
+            norms = np.einsum("ij,ij->i", m, m)
+        for k in np.flatnonzero(np.isfinite(norms) & (norms > 0)).tolist():
+            out[at[k]] = m[k].tobytes()
+    return out
 
 
 def axes(vectors: DataFrame, dims: int) -> np.ndarray:
@@ -98,30 +102,16 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, turn: np.ndarray, thres
             yield left, right
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", chunk: int = CHUNK) -> DataFrame:
-    """Per row: key, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("embedding"))
-    dims = rows.where("vec_id IS NOT NULL").agg(F.max(F.size("embedding"))).first()[0] or 0
-    dims = max(int(dims), 0)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, m = valid_rows(batch.column(1), dims)
-            blobs: list[bytes | None] = [None] * batch.num_rows
-            for i, row in zip(at.tolist(), m, strict=True):
-                blobs[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["vec_id", "v"])
-
-    packed = materialize(rows.mapInArrow(pack, "vec_id long, v binary"), "vectors")
-    able = packed.where("v IS NOT NULL AND vec_id IS NOT NULL")
-    nodes = materialize(able.groupBy("v").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies")), "nodes")
-    turn = axes(nodes, dims) if dims else np.empty((0, 0))
+def length_links(nodes: DataFrame, dims: int, threshold: float, chunk: int) -> DataFrame:
+    """nodes: (v, node, copies) of one length. Rows (kind, a, b): kind 0, node a has b linked vectors in a tile; kind 1, a
+    link of a spanning forest."""
+    spark = nodes.sparkSession
+    turn = axes(nodes, dims)
     width = float(np.sqrt(max(2 - 2 * threshold, 0.0))) + 1e-6
 
     def first_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, dims) if batch.num_rows else np.empty((0, max(dims, 1)))
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, dims) if batch.num_rows else np.empty((0, dims))
             yield pa.RecordBatch.from_arrays([pa.array(unit(x) @ turn[:, 0] if batch.num_rows else [], pa.float64()), *batch.columns], names=["p", "v", "node", "copies"])
 
     placed = materialize(nodes.select("v", "node", "copies").mapInArrow(first_axis, "p double, v binary, node long, copies long"), "placed")
@@ -193,7 +183,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
 
     tiles = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "nodes_a", "copies_a", "vectors_a", "nodes_b", "copies_b", "vectors_b")
     tiles = tiles.repartition(4 * parts(spark), "a", "b")
-    links = materialize(tiles.mapInArrow(compare, "kind int, a long, b long"), "links")
+    return materialize(tiles.mapInArrow(compare, "kind int, a long, b long"), "links")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", chunk: int = CHUNK) -> DataFrame:
+    """Per row: key, n_links, component_id, kept."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("embedding"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid_rows(batch.column(1)), pa.binary())], names=["vec_id", "v"])
+
+    packed = materialize(rows.mapInArrow(pack, "vec_id long, v binary"), "vectors")
+    able = packed.where("v IS NOT NULL AND vec_id IS NOT NULL")
+    nodes = materialize(able.groupBy("v").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies")), "nodes")
+    by_length = nodes.withColumn("dims", (F.octet_length("v") / 8).cast("int"))
+    lengths = sorted(r["dims"] for r in by_length.groupBy("dims").count().where("count > 1").collect())  # one row for each length
+    links = spark.createDataFrame([], "kind int, a long, b long")
+    for dims in lengths:
+        links = links.unionByName(length_links(by_length.where(F.col("dims") == dims).drop("dims"), dims, threshold, chunk))
     counts = links.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("linked"))
     comps = connected_components(links.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = nodes.join(counts, "node", "left").join(comps, "node", "left")

@@ -223,6 +223,20 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (400, 401, 402, 403))
 
 
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(40, 16)), r.normal(size=(30, 20))
+    x[5:9], y[3:6] = x[0] + r.normal(size=(4, 16)) * 0.01, y[0] + r.normal(size=(3, 20)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, v.tolist()) for i, v in enumerate(y)] + [(200, [0.0] * 65), (201, [1.0] * 100), (202, [float("nan")] * 200)]
+    got = {q.vec_id: q for q in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), chunk=16).collect()}
+    assert len(got) == len(rows)
+    for m, at in ((x, 0), (y, 100)):
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        near = u @ u.T >= 0.9
+        assert near.sum() > len(m) and all(got[at + i].n_links == near[i].sum() - 1 for i in range(len(m)))
+    assert sorted(i for i in got if not got[i].kept) == [5, 6, 7, 8, 103, 104, 105]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
