@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
@@ -26,9 +29,15 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: a lineage cut that survives a lost executor."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what the write shuffled is in the table then, and its shuffle files can go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back
 

@@ -1,84 +1,70 @@
 """Similarity join of documents on word shingles, with Bayesian pruning of candidate pairs.
 
-Bands of MinHash values propose groups; inside a group, pairs are compared on further MinHash values, 16 at a time.
-After each step a pair is dropped when, under a uniform prior of its similarity, the posterior probability of
-reaching the threshold has fallen below ``tolerance``. What is left is verified by exact Jaccard similarity.
+Bands of MinHash values propose pairs; documents that share a band key are compared on further MinHash values, 16 at a
+time. After each step a pair is dropped when, under a uniform prior of its similarity, the posterior probability of
+reaching the threshold has fallen below ``tolerance``. Documents that surviving pairs connect are a group; its pairs are
+pruned alike, and what is left is verified by exact Jaccard similarity.
 
 Defined cases: null and empty texts, and texts without any word, link with nothing and are a class of their own
 (``class_id`` is the row's doc_id). Texts with fewer words than ``width`` have one shingle, of all their words.
-Repeated rows are copies: each counts as a linked document of the others. Rows whose doc_id is null are compared and
-counted like any other; a class of such rows only has a null ``class_id``. An empty table gives an empty result.
-Further columns of the input are ignored, whatever their names.
+Repeated rows are copies: each counts as a linked document of the others, and only one of them is kept. Rows with equal
+ids and different texts are documents of their own; ``keep_one_of_each`` tells them apart. Rows whose doc_id is null are
+compared and counted like any other; a class of such rows only has a null ``class_id``, and ``keep_one_of_each`` keeps
+one of its texts. An empty table gives an empty result. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from math import comb
-
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh
+from .common import materialize
+from .lsh import least_matches, pruner
 
-STEP = 16
-
+__all__ = ["jaccard_classes", "keep_one_of_each", "least_matches", "pruner"]
 
-def least_matches(seen: int, threshold: float, tolerance: float) -> int:
-    """The fewest matches of ``seen`` values at which the posterior P(similarity >= threshold) reaches ``tolerance``.
 
-    With a uniform prior the posterior is Beta(m + 1, seen - m + 1), whose upper tail at t is P(Bin(seen + 1, t) <= m).
-    """
-    total = 0.0
-    for m in range(seen + 2):
-        total += comb(seen + 1, m) * threshold**m * (1 - threshold) ** (seen + 1 - m)
-        if total >= tolerance:
-            return m
-    return seen
+def classed(docs: DataFrame, width: int, threshold: float, sketch: int, tolerance: float, missed: float) -> DataFrame:
+    """docs: (key, text). (key, body, class_id, n_links, rep): one row per input row that has a word."""
+    docs = docs.select("key", body_of("text").alias("body"), "text")
+    bands, rows = lsh.tune_bands(threshold, missed, most=208)
+    items, nodes = lsh.near_classes(docs, mode="text", width=width, threshold=threshold, bands=bands, rows=rows, min_words=1, sketch=sketch, prune=pruner(threshold, sketch, tolerance))
+    first = nodes.groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("rep.key").isNotNull(), F.col("rep"))), F.min("rep")).alias("first"))
+    named = materialize(nodes.join(first, "cls").select("node", "copies", "n_links", "first"), "named")
+    own = F.struct("key", "body", "item")
+    return items.join(named, "node", "left").select("key", "body", F.coalesce("first", own).alias("first"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
 
 
-def pruner(threshold: float, sketch: int, tolerance: float):
-    bounds = [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, sketch + 1, STEP)]
+def body_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    def prune(sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        alive = np.arange(len(left))
-        matches = np.zeros(len(left), np.int32)
-        for n, least in bounds:
-            for k in range(n - STEP, n):
-                column = np.ascontiguousarray(sigs[:, k])
-                matches += column[left[alive]] == column[right[alive]]
-            ok = matches >= least
-            alive, matches = alive[ok], matches[ok]
-            if not len(alive):
-                break
-        mask = np.zeros(len(left), bool)
-        mask[alive] = True
-        return mask
 
-    return prune
+def has_word(text: str) -> Column:
+    return F.coalesce(F.lower(text), F.lit("")).rlike(r"[0-9a-z\x{80}-\x{10ffff}]")
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, sketch: int = 128, tolerance: float = 1e-6, missed: float = 1e-6) -> DataFrame:
     """One row per input row: key, class_id (smallest key of its component), n_links, kept (it is the class's first)."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    bands, rows = lsh.tune_bands(threshold, missed, most=208)
-    items, nodes = lsh.near_classes(docs, "doc_id", "text", width=width, threshold=threshold, bands=bands, rows=rows, by_line=False, min_words=1, sketch=sketch, prune=pruner(threshold, sketch, tolerance))
-    first = nodes.groupBy("cls").agg(F.min("rep.key").alias("class_id"))
-    named = lsh.materialize(nodes.join(first, "cls").select("node", "copies", "n_links", "class_id"), "named")
-    found = items.join(named, "node").select("doc_id", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"))
-    found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = classed(docs, width, threshold, sketch, tolerance, missed)
+    found = found.select(F.col("key").alias(key), F.col("first.key").alias("class_id"), "n_links", F.col("key").eqNullSafe(F.col("first.key")).alias("kept"))
     # rows without a word never became items
-    alone = docs.where(~F.coalesce(F.lower("text"), F.lit("")).rlike(r"[0-9a-z\x{80}-\x{10ffff}]"))
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    return found.unionByName(alone).withColumnsRenamed({"doc_id": key})
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those near copies that have a smaller id; of repeated rows with the same id, one stays."""
-    classes = jaccard_classes(docs, **options)
-    stay = lsh.materialize(classes.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows_")), "stay").withColumnRenamed("doc_id", "stay_")
-    left = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stay_"))).drop("stay_")
-    if stay.where("rows_ > 1 AND stay_ IS NOT NULL").isEmpty():
-        return left.drop("rows_")
-    one = left.where("rows_ = 1 OR doc_id IS NULL").drop("rows_")
-    return one.unionByName(left.where("rows_ > 1 AND doc_id IS NOT NULL").drop("rows_").dropDuplicates(["doc_id"]))
+    alone = docs.where(~has_word("text")).select(F.col("key").alias(key), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, sketch: int = 128, tolerance: float = 1e-6, missed: float = 1e-6) -> DataFrame:
+    """The documents without those near copies that come later (by id, then by a hash of the text); of repeated rows one
+    stays, and so do all rows without a word. ``docs`` has doc_id and text; its columns may have any other names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names cannot clash with ours
+    rows = docs.toDF(*names)
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = classed(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), width, threshold, sketch, tolerance, missed)
+    first = F.struct("first.key", "first.body")
+    stay = found.where(F.struct("key", "body").eqNullSafe(first)).groupBy("key", "body").agg(F.count("*").alias("times"))
+    stay = materialize(stay, "stay")
+    both = rows.where(has_word(text)).join(stay.hint("merge"), F.col(key).eqNullSafe(F.col("key")) & (body_of(text) == F.col("body")))
+    once = both.where("times = 1").select(names)
+    often = both.where("times > 1").select(*names, "body").dropDuplicates([key, "body"]).select(names)
+    return rows.where(~has_word(text)).unionByName(once).unionByName(often).toDF(*docs.columns)

@@ -1,14 +1,17 @@
-"""Banded MinHash over documents or paragraphs: candidate groups, then exact Jaccard inside tiles of a group.
-
-An *item* is a document or a paragraph; its *node* is the 64-bit key of its word sequence, so that exact copies are
-one node. Steps, each cut by a written table:
-
-1. ``features``: per item the node and one key per band. A node's keys are sent once per partition, so a text that
-   fills a third of all rows costs each partition one set of keys.
-2. ``star_edges``: (key, node) pairs are range-partitioned and sorted by both columns, so one frequent key spreads
-   over as many partitions as it needs. Each run of a key becomes a star; runs that a partition border cuts are
-   joined by the border rows alone (two for a partition).
-3. ``components`` of the stars are candidate groups.
+"""Banded MinHash over documents, lines or passages: colliding pairs, pruned, then exact Jaccard inside tiles of a group.
+
+An *item* is a document, a line, or a unit: a passage between two borders that its own words set. Its *node* is the
+64-bit key of its word sequence, so that exact copies are one node. A row is told by its key and ``body``, a hash of its
+text, so that rows without a key, or with equal keys and different texts, are never mixed up. Steps, each cut by a
+written table:
+
+1. ``items_table``: the node of each item. ``band_rows``: one key for each band of each distinct node. A node's keys
+   are sent once per partition, so a text that fills a third of all rows costs each partition one set of keys.
+2. ``collisions``: (key, node) pairs are range-partitioned and sorted by both columns, so one frequent key spreads over
+   as many partitions as it needs. Runs of a key inside one Arrow batch are listed; runs that a batch's border cuts
+   become stars, joined over partitions by border rows alone (two for a partition).
+3. ``surviving``: within each listed run nodes are compared by further MinHash values, as ``prune`` says; those pairs
+   that survive give a spanning forest, and its components are groups. Unlike texts that share a band don't meet.
 4. ``verify``: a group is cut into chunks, and each pair of chunks is one tile. A tile counts links for each node and
    keeps only the components they make, as stars, never all pairs.
 """
@@ -16,17 +19,20 @@ one node. Steps, each cut by a written table:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingling as S
-from .common import connected_components, materialize, parts
+from .common import connected_components, discard, materialize, parts
 
 #: Nodes of which a partition remembers that their keys were sent; then it starts anew.
 REMEMBERED = 500_000
+#: A unit starts at a word pair whose hash is the least among so many pairs on either side.
+REACH = 4
 
 
 def tune_bands(threshold: float, missed: float, width: int = 0, widths=range(2, 9), most: int = 256) -> tuple[int, int]:
@@ -41,114 +47,165 @@ def tune_bands(threshold: float, missed: float, width: int = 0, widths=range(2,
     return best
 
 
-def items_of(texts: pa.Array, by_line: bool):
-    """(word hashes, item of each word, row of each item, number of the item in its row, its start and end byte)."""
-    words, rows, starts, ends, raw, offsets = S.word_hashes(texts)
-    if not by_line:
-        n = len(texts)
-        return words, rows, np.arange(n), np.zeros(n, np.int64), offsets[:-1], offsets[1:]
-    breaks = np.flatnonzero(raw == 10)
-    begin = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
-    begin = begin[begin < len(raw)] if len(raw) else begin[:0]
-    stop = np.concatenate([begin[1:], [len(raw)]]) if len(begin) else begin
-    item = np.searchsorted(begin, starts, side="right") - 1
-    row = np.searchsorted(offsets, begin, side="right") - 1
-    first = np.searchsorted(row, np.arange(len(texts)))
-    return words, item, row, np.arange(len(begin)) - first[row], begin, stop
+def unit_starts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words that start a unit: the first of each row, and those where the hash of the pair that begins there is least
+    among ``REACH`` pairs on either side in its row (the leftmost of equal ones)."""
+    n = len(words)
+    fresh = np.ones(n, bool)
+    if n < 2:
+        return np.flatnonzero(fresh)
+    w = S.weights(2)
+    top = np.iinfo(np.uint64).max
+    pairs = S.mix(words[:-1] * w[0] + words[1:] * w[1])
+    pairs[rows[1:] != rows[:-1]] = top
+    place = np.arange(n - 1) + REACH * (rows[:-1] + 1)  # rows are so far apart that none sees another
+    line = np.full(int(place[-1]) + REACH + 1, top, np.uint64)
+    line[place] = pairs
+    before = after = np.full(n - 1, top, np.uint64)
+    for k in range(1, REACH + 1):
+        before = np.minimum(before, line[place - k])
+        after = np.minimum(after, line[place + k])
+    fresh[1:] = rows[1:] != rows[:-1]
+    fresh[:-1] |= (pairs < before) & (pairs <= after)
+    return np.flatnonzero(fresh)
+
+
+def items_of(texts: pa.Array, mode: str):
+    """(word hashes, item of each word, row of each item, number of the item in its row); ``mode``: text, line or unit."""
+    words, rows, starts, _, raw, offsets = S.word_hashes(texts)
+    n = len(texts)
+    if mode == "text":
+        return words, rows, np.arange(n), np.zeros(n, np.int64)
+    if mode == "line":
+        breaks = np.flatnonzero(raw == 10)
+        begin = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
+        begin = begin[begin < len(raw)] if len(raw) else begin[:0]
+        item = np.searchsorted(begin, starts, side="right") - 1
+        row = np.searchsorted(offsets, begin, side="right") - 1
+    else:
+        begin = unit_starts(words, rows)
+        fresh = np.zeros(len(words), np.int64)
+        fresh[begin] = 1
+        item = np.cumsum(fresh) - 1
+        row = rows[begin]
+    first = np.searchsorted(row, np.arange(n))
+    return words, item, row, np.arange(len(row)) - first[row]
+
+
+def items_table(docs: DataFrame, mode: str, min_words: int) -> DataFrame:
+    """(key, body, item, node): one row for each item that has ``min_words`` words. docs: (key, body, text)."""
+    key_type = docs.schema["key"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in S.slices(batch.column(2)):
+                words, item, row, number = items_of(batch.column(2).slice(at, n), mode)
+                nodes = S.sequence_keys(words, item, len(row))
+                keep = np.flatnonzero(np.bincount(item, minlength=len(row)) >= max(min_words, 1))
+                of = pa.array(row[keep] + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(number[keep], pa.int32()), pa.array(nodes[keep].view(np.int64), pa.int64())], names=["key", "body", "item", "node"])
+
+    return docs.mapInArrow(run, f"key {key_type.simpleString()}, body long, item int, node long")
 
 
-def features(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int, by_line: bool, min_words: int) -> DataFrame:
-    """(key, item number, node, number of words, keys): one row for each item that has ``min_words`` words."""
-    key_type = docs.schema[key].dataType
+def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, min_words: int) -> DataFrame:
+    """(band, node): all band keys of a node once for each partition that has it, and one of them again (once) where
+    the partition has the node twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, bool] = {}
+        w = S.weights(rows + 1)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at, n in S.slices(texts):
-                words, item, row, number, _, _ = items_of(texts.slice(at, n), by_line)
-                counts = np.bincount(item, minlength=len(row))
+            for at, n in S.slices(batch.column(0)):
+                words, item, row, _ = items_of(batch.column(0).slice(at, n), mode)
                 nodes = S.sequence_keys(words, item, len(row))
                 hashes, of = S.shingles(words, item, len(row), width)
-                keep = np.flatnonzero(counts >= max(min_words, 1))
-                fresh = np.zeros(len(row), bool)
-                for i in keep.tolist():
-                    if (k := int(nodes[i])) not in seen:
-                        seen.add(k)
-                        fresh[i] = True
+                keep = np.flatnonzero(np.bincount(item, minlength=len(row)) >= max(min_words, 1))
+                state = np.zeros(len(row), np.int8)  # 1: new, 2: there for the second time
+                for i, k in zip(keep.tolist(), nodes[keep].tolist(), strict=True):
+                    was = seen.get(k)
+                    if was is None:
+                        seen[k] = False
+                        state[i] = 1
+                    elif not was:
+                        seen[k] = True
+                        state[i] = 2
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                some = fresh[of]
+                some = state[of] > 0
                 have, values = S.minhashes(hashes[some], of[some], bands * rows)
                 folded = np.zeros((len(have), bands), np.uint64)
-                w = S.weights(rows + 1)
                 for r in range(rows):
                     folded += values[:, r::rows] * w[r]
                 folded = S.mix(folded + np.arange(bands, dtype=np.uint64) * w[rows])
-                per = np.zeros(len(row), np.int64)
-                per[have] = bands
-                ends = np.concatenate([[0], np.cumsum(per[keep])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, n).take(pa.array(row[keep])),
-                        pa.array(number[keep], pa.int64()),
-                        pa.array(nodes[keep].view(np.int64), pa.int64()),
-                        pa.array(counts[keep], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(folded.reshape(-1).view(np.int64), pa.int64())),
-                    ],
-                    names=[key, "item", "node", "n_words", "keys"],
-                )
-
-    schema = f"`{key}` {key_type.simpleString()}, item long, node long, n_words long, keys array<long>"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
-
-
-def star_edges(feats: DataFrame) -> DataFrame:
-    """(src, dst): for each key that several nodes have, a star over them."""
-    spark = feats.sparkSession
-    rows = feats.select(F.explode("keys").alias("key"), "node")
-    dealt = rows.repartitionByRange(parts(spark), "key", "node").sortWithinPartitions("key", "node")
+                fresh = state[have] == 1
+                key = np.concatenate([folded[fresh].reshape(-1), folded[~fresh, 0]])
+                node = np.concatenate([np.repeat(nodes[have[fresh]], bands), nodes[have[~fresh]]])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], names=["band", "node"])
+
+    return texts.mapInArrow(run, "band long, node long")
+
+
+def collisions(pairs: DataFrame) -> DataFrame:
+    """(kind, a, b), written. kind 0: node a shares a key with node b, in a run that a border cuts; 1: node b has key a, in
+    a run with other nodes; 2: node a has several items."""
+    spark = pairs.sparkSession
+    dealt = pairs.repartitionByRange(parts(spark), "band", "node").sortWithinPartitions("band", "node")
+    names = ["kind", "a", "b", "key", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        me, key, first, border = TaskContext.get().partitionId(), None, None, None
+        me, key, first, last, border = TaskContext.get().partitionId(), None, None, None, None
+
+        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
+
         for batch in batches:
             keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(keys):
                 continue
             if border is None:
                 border = int(keys[0]), int(nodes[0])
-            begin = np.concatenate([[True], keys[1:] != keys[:-1]])
-            if key is not None and keys[0] == key:
-                begin[0] = False
-            at = np.maximum.accumulate(np.where(begin, np.arange(len(keys)), -1))
+            fresh = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+            again = ~fresh
+            again[1:] &= nodes[1:] == nodes[:-1]
+            again[0] &= last is not None and int(nodes[0]) == last
+            if again.any():
+                twice = np.unique(nodes[again])
+                yield out(2, twice, twice)
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), -1))
             lead = np.where(at < 0, first if first is not None else 0, nodes[np.maximum(at, 0)])
-            key, first = int(keys[-1]), int(lead[-1])
-            some = lead != nodes
-            src, dst = nodes[some], lead[some]
-            if len(src):
-                pairs = np.unique(np.stack([src, dst]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(pairs.shape[1], pa.int32())], names=["src", "dst", "key", "last_key", "part"])
+            cut = (keys == keys[0]) | (keys == keys[-1])
+            star = cut & (lead != nodes) & ~again
+            if star.any():
+                yield out(0, nodes[star], lead[star])
+            inner = np.flatnonzero(~cut & ~again)
+            if len(inner):
+                own = keys[inner]
+                edge = np.concatenate([[True], own[1:] != own[:-1]])
+                sizes = np.diff(np.append(np.flatnonzero(edge), len(own)))
+                inner = inner[np.repeat(sizes > 1, sizes)]
+                if len(inner):
+                    yield out(1, keys[inner], nodes[inner])
+            key, first, last = int(keys[-1]), int(lead[-1]), int(nodes[-1])
         if border is not None:
-            # of a border row, src is the partition's first node and dst the first node of its last run
-            yield pa.RecordBatch.from_arrays([pa.array([border[1]]), pa.array([first]), pa.array([border[0]]), pa.array([key]), pa.array([me], pa.int32())], names=["src", "dst", "key", "last_key", "part"])
-
-    out = materialize(dealt.mapInArrow(run, "src long, dst long, key long, last_key long, part int"), "stars")
-    edges = out.where("part IS NULL").select("src", "dst")
-    border = sorted(out.where("part IS NOT NULL").collect(), key=lambda r: r["part"])  # one row for each partition
-    links = [(b["src"], a["dst"]) for a, b in zip(border, border[1:], strict=False) if a["last_key"] == b["key"] and a["dst"] != b["src"]]
-    if links:
-        edges = edges.unionByName(spark.createDataFrame(links, "src long, dst long"))
-    return edges
-
-
-def tiled(members: DataFrame, group: str, node: str, size: str, chunk: int) -> DataFrame:
-    """Adds ``lo, hi, mine``: each row once for each tile (pair of chunks of its group) that its chunk ``mine`` is in."""
-    chunks = F.ceil(F.col(size) / F.lit(chunk)).cast("int")
-    mine = F.pmod(F.xxhash64(F.col(node)), chunks.cast("long")).cast("int")
-    out = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    return out.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
+            # kind 3: the partition's first node and key; kind 4: the first node of its last run, and its key
+            yield pa.RecordBatch.from_arrays([pa.array([3, 4], pa.int32()), pa.array([border[1], first]), pa.array([border[1], first]), pa.array([border[0], key]), pa.array([me, me], pa.int32())], names=names)
+
+    held = materialize(dealt.mapInArrow(run, "kind int, a long, b long, key long, part int"), "collisions")
+    edge = sorted(held.where("part IS NOT NULL").collect(), key=lambda r: (r["part"], r["kind"]))  # two rows for each partition
+    links, lead = [], None
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        if lead is not None and lead[0] == a["key"]:
+            if lead[1] != a["a"]:
+                links.append((0, a["a"], lead[1]))
+            if b["key"] == a["key"]:
+                continue  # the run goes on
+        lead = b["key"], b["a"]
+    found = held.where("part IS NULL").select("kind", "a", "b")
+    return found.unionByName(spark.createDataFrame(links, "kind int, a long, b long")) if links else found
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -228,35 +285,120 @@ def stars(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x in range(n) if (r := find(x)) != x]
 
 
-#: Picks from the pairs of a tile those to verify: (MinHash rows, left, right) -> mask. None: all pairs are verified.
-Filter = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None
+#: Picks from pairs those to verify: (MinHash rows, left, right) -> mask.
+Filter = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Pairs compared at once.
+PAIRS = 1 << 20
+
+
+def forest(sigs: np.ndarray, starts: np.ndarray, prune: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): places of pairs whose components are those of all pairs inside a run that survive ``prune``.
+
+    Each node is compared with the first of its run; only nodes that fail are compared with all others."""
+    n = len(sigs)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    lead = starts[run]
+    rest = np.flatnonzero(np.arange(n) != lead)
+    good = prune(sigs, rest, lead[rest])
+    left, right = [rest[good]], [lead[rest[good]]]
+    lost = rest[~good]
+    stops = np.append(starts[1:], n)
+    failed, counts = np.unique(run[lost], return_counts=True)
+    ends = np.cumsum(counts)
+    for r, begin, end in zip(failed.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+        base = int(starts[r])
+        size = int(stops[r]) - base
+        if size < 3:
+            continue  # two nodes, and they have been compared
+        mine, others, own = lost[begin:end] - base, np.arange(1, size), sigs[base : base + size]
+        step = max(1, PAIRS // size)
+        for at in range(0, len(mine), step):
+            a = mine[at : at + step]
+            x, y = np.repeat(a, len(others)), np.tile(others, len(a))
+            x, y = x[x != y], y[x != y]
+            good = prune(own, x, y)
+            tree = stars(size, x[good], y[good]) if good.any() else []
+            left.append(np.array([i for i, _ in tree], np.int64) + base)
+            right.append(np.array([i for _, i in tree], np.int64) + base)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def surviving(met: DataFrame, ready: DataFrame, prune: Filter) -> DataFrame:
+    """(src, dst): spanning forests of the pairs that share a key (a, b of ``met``) and survive ``prune``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(t: pa.Table) -> pa.RecordBatch:
+            keys, nodes = t.column(0).to_numpy(), t.column(1).to_numpy()
+            sigs = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint16).reshape(len(nodes), -1)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            left, right = forest(sigs, starts, prune)
+            pairs = np.unique(np.stack([nodes[left], nodes[right]]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            begin = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if begin == 0 and held and held[-1].column(0)[-1].as_py() == keys[0]:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, begin))
+            if any(x.num_rows for x in held):
+                yield out(pa.Table.from_batches(held))
+            held = [batch.slice(begin)]
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    rows = met.join(ready.select("node", "sig").hint("merge"), met["b"] == F.col("node")).select("a", "node", "sig")
+    dealt = rows.repartition(parts(met.sparkSession), "a").sortWithinPartitions("a")
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
+def tiled(members: DataFrame, group: str, node: str, size: str, chunk: int) -> DataFrame:
+    """Adds ``lo, hi, mine``: each row once for each tile (pair of chunks of its group) that its chunk ``mine`` is in."""
+    chunks = F.ceil(F.col(size) / F.lit(chunk)).cast("int")
+    mine = F.pmod(F.xxhash64(F.col(node)), chunks.cast("long")).cast("int")
+    out = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return out.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other")
 
 
-def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune: Filter, chunk: int = 256) -> DataFrame:
-    """members: (grp, node, copies, size, text of the item). Rows (kind, a, b): kind 0, node a has b linked items in this
-    tile; kind 1, the tile's links lead from a to b, the smallest node of that component."""
-    spark = members.sparkSession
+def prepared(held: DataFrame, mode: str, width: int, sketch: int) -> DataFrame:
+    """held: (text, wants). (node, copies, sig, grams): MinHash values and sorted shingles of the items that are wanted."""
 
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(4)
-            for at, n in S.slices(texts):
-                words, item, _, _, _, _ = S.word_hashes(texts.slice(at, n))
-                nodes = S.sequence_keys(words, item, n)
-                hashes, of = S.shingles(words, item, n, width)
-                # an id may stand for several texts; only the one that the node was made of counts
-                take = np.flatnonzero(np.asarray(batch.column(1).slice(at, n).to_numpy()).view(np.uint64) == nodes)
-                if not len(take):
-                    continue
-                begin, stop = np.searchsorted(of, take), np.searchsorted(of, take, side="right")
-                sigs = [b""] * len(take)
-                if sketch:
-                    have, values = S.minhashes(hashes, of, sketch, seed=2)
-                    small = values.astype(np.uint16)
-                    sigs = [small[i].tobytes() for i in np.searchsorted(have, take).tolist()]
+            for at, n in S.slices(batch.column(0)):
+                lists = batch.column(1).slice(at, n)
+                wants = lists.flatten()
+                node, copies, number = (wants.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                words, item, row, _ = items_of(batch.column(0).slice(at, n), mode)
+                nodes = S.sequence_keys(words, item, len(row))
+                of_row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                first = np.searchsorted(row, np.arange(n + 1))
+                place = first[of_row] + number
+                ok = place < first[of_row + 1]
+                ok[ok] = nodes[place[ok]] == node[ok].view(np.uint64)  # bodies may collide: only the text meant counts
+                node, copies, place = node[ok], copies[ok], place[ok]
+                hashes, of = S.shingles(words, item, len(row), width)
+                begin, stop = np.searchsorted(of, place), np.searchsorted(of, place, side="right")
+                picked = np.zeros(len(row) + 1, bool)
+                picked[place] = True
+                some = picked[of]
+                have, values = S.minhashes(hashes[some], of[some], sketch, seed=2)
+                small = values.astype(np.uint16)
+                sigs = [small[i].tobytes() for i in np.searchsorted(have, place).tolist()]
                 sets = [np.unique(hashes[x:y]).tobytes() for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
-                cols = [batch.column(i).slice(at, n).take(pa.array(take)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["grp", "node", "copies", "size", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(copies, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["node", "copies", "sig", "grams"])
+
+    return held.mapInArrow(run, "node long, copies long, sig binary, grams binary")
+
+
+def verify(members: DataFrame, threshold: float, prune: Filter, chunk: int = 256) -> DataFrame:
+    """members: (grp, size, node, copies, sig, grams). Rows (kind, a, b): kind 0, node a has b linked items in this tile;
+    kind 1, the tile's links lead from a to b, the smallest node of that component."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), t in grouped(batches, 3):
@@ -273,7 +415,7 @@ def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune:
             sizes = np.array([len(s) for s in sets])
             near = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9 if len(left) else np.zeros(0, bool)
             left, right = left[near], right[near]
-            if prune is not None and len(left):
+            if len(left):
                 sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(nodes), -1)
                 alive = prune(sigs, left, right)
                 left, right = left[alive], right[alive]
@@ -289,32 +431,75 @@ def verify(members: DataFrame, width: int, threshold: float, sketch: int, prune:
                 names=["kind", "a", "b"],
             )
 
-    ready = members.mapInArrow(prepare, "grp long, node long, copies long, size long, sig binary, grams binary")
-    tiles = tiled(ready, "grp", "node", "size", chunk).select("grp", "lo", "hi", "node", "mine", "copies", "sig", "grams")
-    dealt = tiles.repartition(parts(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    tiles = tiled(members, "grp", "node", "size", chunk).select("grp", "lo", "hi", "node", "mine", "copies", "sig", "grams")
+    dealt = tiles.repartition(parts(members.sparkSession), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
     return dealt.mapInArrow(link, "kind int, a long, b long")
 
 
-def near_classes(docs: DataFrame, key: str, text: str, *, width: int, threshold: float, bands: int, rows: int, by_line: bool, min_words: int, sketch: int, prune: Filter) -> tuple[DataFrame, DataFrame]:
-    """(items, nodes). items: (key, item, node, n_words); nodes: (node, copies, n_links, cls), for every node.
-
-    n_links: items of *other* nodes linked with the node; cls: the smallest node of its component."""
-    feats = materialize(features(docs, key, text, width, bands, rows, by_line, min_words), "features")
-    items = feats.select(key, "item", "node", "n_words")
-    at = F.struct(F.col(key).alias("key"), "item")
-    nodes = materialize(feats.groupBy("node").agg(F.count("*").alias("copies"), F.coalesce(F.min(F.when(F.col(key).isNotNull(), at)), F.min(at)).alias("rep")), "nodes")
-    groups = materialize(connected_components(star_edges(feats)).select("node", F.col("component").alias("grp")), "groups")
+def near_classes(docs: DataFrame, *, mode: str, width: int, threshold: float, bands: int, rows: int, min_words: int, sketch: int, prune: Filter) -> tuple[DataFrame, DataFrame]:
+    """docs: (key, body, text). (items, nodes). items: (key, body, item, node), for every item; nodes: (node, copies, rep,
+    n_links, cls), for the nodes that have several items or share a band key with others.
+
+    n_links: items of *other* nodes linked with the node; cls: the smallest node of its component; rep: the first
+    (key, body, item), rows without a key after all others."""
+    items = materialize(items_table(docs, mode, min_words), "items")
+    met = collisions(band_rows(docs.select("text"), mode, width, bands, rows, min_words))
+    some = materialize(met.select(F.explode(F.array(F.when(F.col("kind") != 1, F.col("a")), F.col("b"))).alias("node")).where("node IS NOT NULL").distinct(), "some")
+    at = F.struct("key", "body", "item")
+    mine = items.join(some.hint("merge"), "node", "left_semi").groupBy("node")
+    nodes = materialize(mine.agg(F.count("*").alias("copies"), F.coalesce(F.min(F.when(F.col("key").isNotNull(), at)), F.min(at)).alias("rep")), "nodes")
+    linked = met.where("kind <> 2").select(F.explode(F.array(F.when(F.col("kind") == 0, F.col("a")), F.col("b"))).alias("node")).where("node IS NOT NULL").distinct()
+    chosen = nodes.join(linked.hint("merge"), "node", "left_semi").groupBy(F.col("rep.key").alias("rep_key"), F.col("rep.body").alias("rep_body"))
+    chosen = materialize(chosen.agg(F.collect_list(F.struct("node", "copies", F.col("rep.item").alias("item"))).alias("wants")), "wants")  # at most the items of one text
+    one = docs.select("key", "body", "text").where("text IS NOT NULL")
+    held = chosen.hint("merge").join(one, F.col("rep_key").eqNullSafe(F.col("key")) & (F.col("rep_body") == F.col("body"))).select("text", "wants")
+    ready = materialize(prepared(held, mode, width, sketch), "ready")
+    edges = materialize(surviving(met.where("kind = 1").select("a", "b"), ready, prune).unionByName(met.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct(), "edges")
+    groups = materialize(connected_components(edges).select("node", F.col("component").alias("grp")), "groups")
     sizes = materialize(groups.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
-    chosen = groups.join(sizes, "grp").join(nodes, "node").select(F.struct("grp", "node", "copies", "size", F.col("rep.item").alias("item")).alias("want"), F.col("rep.key").alias("rep_key"))
-    chosen = materialize(chosen.groupBy("rep_key").agg(F.collect_list("want").alias("wants")), "wants")  # at most the items of one row
-    source = docs.select(F.col(key).alias("rep_key_"), F.col(text).alias("rep_text"))
-    held = chosen.hint("merge").join(source, F.col("rep_key").eqNullSafe(F.col("rep_key_"))).where("rep_text IS NOT NULL")
-    lines = F.split("rep_text", "\n") if by_line else F.array("rep_text")
-    with_text = F.transform("wants", lambda w: F.struct(w["grp"].alias("grp"), w["node"].alias("node"), w["copies"].alias("copies"), w["size"].alias("size"), F.get(F.col("lines"), w["item"].cast("int")).alias("item_text")))
-    members = held.select(lines.alias("lines"), "wants").select(F.inline(with_text)).where("item_text IS NOT NULL")
-    out = materialize(verify(members, width, threshold, sketch, prune), "links")
+    members = groups.join(sizes, "grp").join(ready, "node").select("grp", "size", "node", "copies", "sig", "grams")
+    out = materialize(verify(members, threshold, prune), "links")
+    discard(some, chosen, ready, edges, sizes)
     counts = out.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     comps = connected_components(out.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    full = nodes.select("node", "copies", "rep").join(counts, "node", "left").join(comps, "node", "left")
+    full = nodes.join(counts, "node", "left").join(comps, "node", "left")
     full = full.select("node", "copies", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "node").alias("cls"))
     return items, materialize(full, "classes")
+
+
+def pruner(threshold: float, sketch: int, tolerance: float) -> Filter:
+    """Drops a pair as soon as the posterior of reaching ``threshold`` is below ``tolerance``; values are compared 16 at a time."""
+    bounds = [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, sketch + 1, STEP)]
+
+    def prune(sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        alive = np.arange(len(left))
+        matches = np.zeros(len(left), np.int32)
+        for n, least in bounds:
+            for k in range(n - STEP, n):
+                column = np.ascontiguousarray(sigs[:, k])
+                matches += column[left[alive]] == column[right[alive]]
+            ok = matches >= least
+            alive, matches = alive[ok], matches[ok]
+            if not len(alive):
+                break
+        mask = np.zeros(len(left), bool)
+        mask[alive] = True
+        return mask
+
+    return prune
+
+
+STEP = 16
+
+
+def least_matches(seen: int, threshold: float, tolerance: float) -> int:
+    """The fewest matches of ``seen`` values at which the posterior P(similarity >= threshold) reaches ``tolerance``.
+
+    With a uniform prior the posterior is Beta(m + 1, seen - m + 1), whose upper tail at t is P(Bin(seen + 1, t) <= m).
+    """
+    total = 0.0
+    for m in range(seen + 2):
+        total += comb(seen + 1, m) * threshold**m * (1 - threshold) ** (seen + 1 - m)
+        if total >= tolerance:
+            return m
+    return seen

@@ -1,19 +1,19 @@
-"""Removal of repeated paragraphs: MinHash banding, exact Jaccard similarity, clusters by components; then of passages.
+"""Removal of repeated paragraphs: MinHash banding, exact Jaccard similarity, clusters of removals by components.
 
-A paragraph is a line of the text, or a passage inside the lines that are left. The bands are tuned for recall: a pair at the threshold is missed with probability
-``missed`` at most. Colliding paragraphs are verified by exact Jaccard similarity of their word shingles; of every
-cluster the first paragraph (by doc_id, then position) stays, and all others are removed from their documents.
+A paragraph is a line of the text, or a run of *units* that line breaks do not bind. Both go through the same steps:
+bands tuned for recall propose pairs, pairs are verified by exact Jaccard similarity of their word shingles, and of
+every component of links the first paragraph (by doc_id, then a hash of the text, then position) stays.
 
-Passages are looked for in what the lines' removal leaves, whatever their line breaks. Borders are set by content: of
-every ``WINNOW`` word pairs in a row, the one of the least hash starts a piece. From each border on, the pieces that
-make ``span`` words are one passage, with an exact key; all but its first occurrence (by doc_id, text, position) go.
-Borders inside equal words are equal but for ``WINNOW - 1`` pairs at either end, so of any repeated run of
-``span + 4 * WINNOW - 2`` words (50) at least ``span`` go; up to 14 words at its start and 23 at its end may stay.
+Lines come first. What is left of each text is then cut by content: a unit starts at a word pair whose hash is the
+least among ``lsh.REACH`` pairs on either side, so that a passage has the same units wherever it sits, but for those at
+its two ends. Repeated units that follow each other and have ``span`` words together are one paragraph and go; shorter
+runs stay, as phrases.
 
 Defined cases: null texts count as empty and keep an empty text; lines with fewer words than ``min_words`` are never
-removed; lines of equal words are copies whatever their punctuation and case. Repeated rows (same doc_id) hold the
-same paragraph twice under one (doc_id, position): the row that stays is that of the smallest (doc_id, position), so
-equal rows are kept or emptied alike. A passage that overlaps its first occurrence in the same text stays. Rows with a null doc_id come first in that order. Further columns are ignored.
+removed by themselves; paragraphs of equal words are copies whatever their punctuation and case. A row is told by its
+doc_id and text: rows with equal ids, or without an id, and different texts are different documents, and repeated rows
+(same id and text) keep or lose the same. Rows with a null doc_id come after all others. An empty table gives an empty
+result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,190 +22,97 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh
 from . import shingling as S
-from .common import discard, materialize, parts
+from .common import discard, materialize
 
-#: Word pairs of which one becomes a border.
-WINNOW = 8
 SPAN = 20
+SKETCH = 32
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def repeated_paragraphs(docs: DataFrame, width: int = 5, threshold: float = 0.8, min_words: int = 5, missed: float = 1e-4) -> DataFrame:
-    """(doc_id, item, cluster): the paragraphs to remove; cluster is the smallest node of the component."""
-    bands, rows = lsh.tune_bands(threshold, missed, width=3)
-    items, nodes = lsh.near_classes(docs, "doc_id", "text", width=width, threshold=threshold, bands=bands, rows=rows, by_line=True, min_words=min_words, sketch=0, prune=None)
+def repeated_items(docs: DataFrame, mode: str, width: int, threshold: float, min_words: int, bands: int, rows: int, tolerance: float = 1e-6) -> DataFrame:
+    """docs: (key, body, text). (key, body, items): number and cluster (the smallest node) of each item to remove."""
+    items, nodes = lsh.near_classes(docs, mode=mode, width=width, threshold=threshold, bands=bands, rows=rows, min_words=min_words, sketch=SKETCH, prune=lsh.pruner(threshold, SKETCH, tolerance))
     many = nodes.where("copies > 1 OR n_links > 0")
-    first = many.groupBy("cls").agg(F.min("rep").alias("keeper"))
+    first = many.groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("rep.key").isNotNull(), F.col("rep"))), F.min("rep")).alias("keeper"))
     named = materialize(many.join(first, "cls").select("node", "cls", "keeper"), "named")
-    at = F.struct(F.col("doc_id").alias("key"), F.col("item"))
-    return items.join(named, "node").where(~at.eqNullSafe(F.col("keeper"))).select("doc_id", "item", F.col("cls").alias("cluster"))
-
-
-def passage_keys(words: np.ndarray, rows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end, key) of the passages of all rows; ``rows`` (ascending) has the row of each word."""
-    none = np.empty(0, np.int64)
-    if len(words) <= WINNOW:
-        return none, none, np.empty(0, np.uint64)
-    w = S.weights(2)
-    pairs = S.mix(words[:-1] * w[0] + words[1:] * w[1])
-    whole = np.flatnonzero(rows[: len(rows) - WINNOW] == rows[WINNOW:])
-    views = np.lib.stride_tricks.sliding_window_view(pairs, WINNOW)
-    borders = np.unique(whole + views[whole].argmin(axis=1))
-    place = np.searchsorted(borders, borders + span)
-    have = np.flatnonzero(place < len(borders))
-    begin, stop = borders[have], borders[place[have]]
-    same = rows[begin] == rows[stop]
-    begin, stop = begin[same], stop[same]
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * S.powers(len(words)), out=prefix[1:])
-    keys = (prefix[stop] - prefix[begin]) * S.powers(len(words) + 1, inverse=True)[begin]
-    return begin, stop, S.mix(keys + (stop - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
-def passages(kept: DataFrame, span: int) -> DataFrame:
-    """(key, doc_id, body, first, n): passages of ``n`` words from word ``first`` on; ``body`` is a hash of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, n in S.slices(batch.column(2)):
-                words, rows, *_ = S.word_hashes(batch.column(2).slice(at, n))
-                begin, stop, keys = passage_keys(words, rows, span)
-                row = rows[begin]
-                first = begin - np.searchsorted(rows, row)
-                of = pa.array(row + at)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(first, pa.int32()), pa.array(stop - begin, pa.int32())], names=["key", "doc_id", "body", "first", "n"])
-
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.select("doc_id", "body", "kept_text").mapInArrow(run, f"key long, doc_id {kind}, body int, first int, n int")
-
-
-def repeated_passages(kept: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, body, first, n, key): the passages to remove.
-
-    Equal keys are sorted neighbours; a frequent one spreads over several partitions, whose border rows (one for each)
-    are compared on the driver."""
-    spark = kept.sparkSession
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    held = materialize(passages(kept, span), "passages")
-    order = ["key", "doc_id", "body", "first"]
-    dealt = held.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    names = ["doc_id", "body", "first", "n", "key", "last", "part"]
-
-    def again(place: tuple, lead: tuple) -> bool:
-        """Whether a place (doc_id, body, first, n) is a further occurrence of what is at ``lead``."""
-        return place[:2] != lead[:2] or place[2] >= lead[2] + lead[3]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        me, key, lead, border = TaskContext.get().partitionId(), None, None, None
-        at = lambda batch, i: tuple(batch.column(k)[i].as_py() for k in (1, 2, 3, 4))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            if border is None:
-                border = int(keys[0]), at(batch, 0)
-            begin = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
-            further = np.flatnonzero(~begin)
-            owner = np.maximum.accumulate(np.where(begin, np.arange(len(keys)), -1))
-            leads = {-1: lead}
-            gone = []
-            if len(further):
-                places = list(zip(*(batch.column(k).take(pa.array(further)).to_pylist() for k in (1, 2, 3, 4)), strict=True))
-                for i, o, place in zip(further.tolist(), owner[further].tolist(), places, strict=True):
-                    if o not in leads:
-                        leads[o] = at(batch, o)
-                    if again(place, leads[o]):
-                        gone.append(i)
-            last = int(owner[-1])
-            key, lead = int(keys[-1]), lead if last < 0 else at(batch, last)
-            if gone:
-                some = batch.take(pa.array(gone))
-                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in (1, 2, 3, 4, 0)), pa.nulls(len(gone), pa.int64()), pa.nulls(len(gone), pa.int32())], names=names)
-        if border is not None:
-            # two rows: the first place of the partition, and the first place of its last key
-            id_type = batch.schema.field(1).type
-            cols = list(zip(border[1], lead, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int32()) for c in cols[1:]), pa.array([border[0], key]), pa.array([0, 1], pa.int64()), pa.array([me, me], pa.int32())], names=names)
-
-    out = materialize(dealt.mapInArrow(run, f"doc_id {kind}, body int, first int, n int, key long, last long, part int"), "again")
-    discard(held)
-    found = out.where("part IS NULL").select("doc_id", "body", "first", "n", "key")
-    border = sorted(out.where("part IS NOT NULL").collect(), key=lambda r: (r["part"], r["last"]))  # two rows for each partition
-    cut, lead = [], None
-    for a, b in zip(border[::2], border[1::2], strict=True):
-        place = tuple(a)[:4]
-        if lead is not None and lead[0] == a["key"]:
-            if again(place, lead[1]):
-                cut.append((*place, a["key"]))
-            if b["key"] == a["key"]:
-                continue  # the key began in an earlier partition
-        lead = b["key"], tuple(b)[:4]
-    return found.unionByName(spark.createDataFrame(cut, found.schema)) if cut else found
-
-
-def cut_passages(text: str, found: list[tuple[int, int, int]]) -> tuple[str, list[int]]:
-    """The text without the passages (first word, words, key), and of each run of them the key of the first."""
+    at = F.struct("key", "body", "item")
+    gone = items.join(named.hint("merge"), "node").where(~at.eqNullSafe(F.col("keeper"))).select("key", "body", F.struct("item", F.col("cls").alias("cluster")).alias("gone"))
+    # at most the items of one text; of repeated rows each item once
+    gone = materialize(gone.groupBy("key", "body").agg(F.collect_set("gone").alias("items")), "gone")
+    discard(items, nodes, named)
+    return gone
+
+
+def with_items(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs and the ``items`` to remove from each (null: none)."""
+    told = gone.withColumnsRenamed({"key": "key_", "body": "body_"}).hint("merge")
+    return docs.join(told, F.col("key").eqNullSafe(F.col("key_")) & (F.col("body") == F.col("body_")), "left").drop("key_", "body_")
+
+
+def cut_units(text: str, gone: dict[int, int], span: int) -> tuple[str, list[int]]:
+    """The text without the runs of units (number -> cluster) that have ``span`` words, and the first cluster of each."""
+    _, item, _, _ = lsh.items_of(pa.array([text], pa.large_string()), "unit")
     raw = text.encode()
-    spans = [m.span() for m in WORD.finditer(raw)]
+    words = [m.span() for m in WORD.finditer(raw)]
     runs: list[list[int]] = []
-    for first, n, key in sorted(found):
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], first + n)
+    edges = [*(k for k in range(len(item)) if not k or item[k] != item[k - 1]), len(item)]
+    for k in sorted(gone):
+        if runs and runs[-1][1] == edges[k]:
+            runs[-1][1] = edges[k + 1]
         else:
-            runs.append([first, first + n, key])
+            runs.append([edges[k], edges[k + 1], gone[k]])
+    runs = [r for r in runs if r[1] - r[0] >= span]
     out, at = [], 0
     for first, stop, _ in runs:
-        end = spans[stop - 1][1]
-        after = spans[stop][0] if stop < len(spans) else len(raw)
-        out.append(raw[at : spans[first][0]])
-        at = after if stop < len(spans) and b"\n" not in raw[end:after] else end
-    return b"".join([*out, raw[at:]]).decode(), [key for *_, key in runs]
+        end = words[stop - 1][1]
+        after = words[stop][0] if stop < len(words) else len(raw)
+        out.append(raw[at : words[first][0]])
+        at = after if stop < len(words) and b"\n" not in raw[end:after] else end
+    return b"".join([*out, raw[at:]]).decode(), [c for *_, c in runs]
 
 
-def remove_repeated_paragraphs(docs: DataFrame, span: int = SPAN, **options) -> DataFrame:
+def remove_repeated_paragraphs(docs: DataFrame, width: int = 5, threshold: float = 0.8, min_words: int = 5, missed: float = 1e-4, missed_units: float = 1e-2, span: int = SPAN) -> DataFrame:
     """Per row: doc_id, n_paragraphs (lines), n_removed (characters with their line breaks), n_spans (lines and runs of
-    passages removed), clusters (those removed from, ascending; of a run, the key of its first passage), kept_sha256,
-    kept_text."""
-    docs = docs.select("doc_id", "text")
-    gone = repeated_paragraphs(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set("cluster")).alias("clusters"))
-    gone = materialize(gone, "gone")
-    joined = docs.join(gone.withColumnRenamed("doc_id", "gone_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select("doc_id", "text", "items", "clusters")
+    units removed), clusters (those removed from, ascending; of a run, that of its first unit), kept_sha256, kept_text.
+
+    ``missed``: the probability that lines, and ``missed_units`` that units, of similarity ``threshold`` share no band;
+    equal ones always do."""
+    docs = docs.select(F.col("doc_id").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
+    bands, rows = lsh.tune_bands(threshold, missed, width=3)
+    gone = repeated_items(docs, "line", width, threshold, min_words, bands, rows)
+    key = docs.schema["key"].dataType.simpleString()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                drop = set(items or ())
-                kept = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text or ""
-                out.append((len(lines), len(text or ""), len(drop), kept))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), batch.column(3), pa.array(cols[3], pa.string())], names=["doc_id", "n_paragraphs", "n_chars", "n_lines", "clusters", "kept_text"])
-
-    key = docs.schema["doc_id"].dataType.simpleString()
-    left = joined.mapInArrow(lines, f"doc_id {key}, n_paragraphs long, n_chars long, n_lines long, clusters array<long>, kept_text string")
-    left = materialize(left.withColumn("body", F.hash("kept_text")), "kept")
-    found = repeated_passages(left, span).groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", "n", "key")).alias("found"))  # at most the passages of one text
-    found = materialize(found, "found").withColumnsRenamed({"doc_id": "found_id", "body": "found_body"})
-    both = left.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("body") == F.col("found_body")), "left").select("doc_id", "n_paragraphs", "n_chars", "n_lines", "clusters", "kept_text", "found")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = (text or "").split("\n")
+                drop = {x["item"]: x["cluster"] for x in items or ()}
+                kept = "\n".join(x for i, x in enumerate(own) if i not in drop) if drop else text or ""
+                out.append((len(own), len(text or ""), len(drop), sorted(set(drop.values())), kept))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()), strict=True))], names=["key", "n_paragraphs", "n_chars", "n_lines", "clusters", "text"])
+
+    left = with_items(docs, gone).select("key", "text", "items").mapInArrow(lines, f"key {key}, n_paragraphs long, n_chars long, n_lines long, clusters array<long>, text string")
+    left = materialize(left.withColumn("body", F.xxhash64("text")), "kept")
+    bands, rows = lsh.tune_bands(threshold, missed_units, width=2)
+    gone = repeated_items(left.select("key", "body", "text"), "unit", width, threshold, width, bands, rows)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for chars, n, clusters, text, cuts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
-                kept, keys = cut_passages(text, [(c["first"], c["n"], c["key"]) for c in cuts]) if cuts else (text, [])
-                named = sorted({*(clusters or ()), *keys}) if clusters or keys else None
-                out.append((chars - len(kept), n + len(keys), named, hashlib.sha256(kept.encode()).hexdigest(), kept))
+            for chars, n, clusters, text, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
+                kept, more = cut_units(text, {x["item"]: x["cluster"] for x in items}, span) if items else (text, [])
+                named = sorted({*clusters, *more}) or None
+                out.append((chars - len(kept), n + len(more), named, hashlib.sha256(kept.encode()).hexdigest(), kept))
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["doc_id", "n_paragraphs", "n_removed", "n_spans", "clusters", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_paragraphs", "n_removed", "n_spans", "clusters", "kept_sha256", "kept_text"])
 
-    return both.mapInArrow(run, f"doc_id {key}, n_paragraphs long, n_removed long, n_spans long, clusters array<long>, kept_sha256 string, kept_text string")
+    both = with_items(left, gone).select("key", "n_paragraphs", "n_chars", "n_lines", "clusters", "text", "items")
+    return both.mapInArrow(units, f"doc_id {key}, n_paragraphs long, n_removed long, n_spans long, clusters array<long>, kept_sha256 string, kept_text string")
