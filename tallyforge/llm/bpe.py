@@ -4,7 +4,12 @@ From the merge list follows how many symbols to the right can still change a tok
 transducer holds a window of symbols that starts at a token border, merges it, emits the tokens that end at least that
 many symbols before the window's end, and slides on. Memory is constant however long a piece is.
 
-Defined cases: null texts count as empty and have no tokens; ids that are not in the vocabulary decode to nothing.
+Decoding goes the other way: ids are fed to a state machine that holds no more than the bytes of an unfinished
+character. ``decoded_sha256`` is the hash of what it gives for the document's ids.
+
+Defined cases: null texts count as empty and have no tokens; ids that are not in the vocabulary decode to nothing; each
+of several repeated rows gives a row of its own; rows with a null key are encoded like others; an empty table gives an
+empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -30,8 +36,11 @@ _SPECIAL = re.compile(r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİŉƀ-\U0010ffff]")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _LATIN_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-ſ\xaa\xb5\xba]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|(?:[^\s\w]|_)+")
 _ANY_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Pieces that a worker remembers; then it starts anew.
+#: Pieces of up to ``LONGEST`` characters that a worker remembers; then it starts anew.
 REMEMBERED = 700_000
+LONGEST = 64
+#: Pieces encoded, hashed and decoded at once.
+BLOCK = 4096
 
 
 def byte_alphabet() -> list[str]:
@@ -99,7 +108,8 @@ class Codec:
         self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.raw: dict[bool, dict[int, bytes]] = {}
 
     @classmethod
     def from_json(cls, text: str, lookahead: int | None = None) -> Codec:
@@ -167,56 +177,81 @@ class Codec:
     def segments(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut is not None and "<|" in text else [text]
 
-    def learn(self, piece: str) -> tuple[str, str]:
-        """(decimal ids, token texts) of a piece, each joined by one space."""
-        ids = list(self.transduce(piece.encode().decode("latin-1").translate(self.table)))
-        got = " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
-        self.known[piece] = got
+    def learn(self, piece: str) -> tuple[str, tuple[int, ...]]:
+        """The ids of a piece, as decimals joined by one space and as numbers."""
+        ids = tuple(self.transduce(piece.encode().decode("latin-1").translate(self.table)))
+        got = " ".join(map(str, ids)), ids
+        if len(piece) <= LONGEST:
+            self.known[piece] = got
         return got
 
-    def encode_joined(self, text: str) -> tuple[str, str]:
-        """(decimal ids, token texts) of a text, each joined by one space."""
+    def encode_blocks(self, text: str) -> Iterator[tuple[str, list[int]]]:
+        """The ids of a text, ``BLOCK`` pieces at a time, as decimals joined by one space and as numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, found = self.known, []
+        known = self.known
         for segment in self.segments(text):
             if segment in self.special:
-                found.append((str(self.special[segment]), segment))
+                yield str(self.special[segment]), [self.special[segment]]
                 continue
             pieces = self.pieces(segment)
-            try:
-                found += [known[p] for p in pieces]
-            except KeyError:
-                found += [known[p] if p in known else self.learn(p) for p in pieces]
-        found = [f for f in found if f[0]]
-        return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            for at in range(0, len(pieces), BLOCK):
+                some = pieces[at : at + BLOCK]
+                try:
+                    found = [known[p] for p in some]
+                except KeyError:
+                    found = [known[p] if p in known else self.learn(p) for p in some]
+                ids = [*chain.from_iterable([f[1] for f in found])]
+                if ids:
+                    yield " ".join([f[0] for f in found if f[0]]), ids
 
     def encode(self, text: str | None) -> list[int]:
-        ids = self.encode_joined(text or "")[0]
-        return list(map(int, ids.split())) if ids else []
+        return [i for _, ids in self.encode_blocks(text or "") for i in ids]
 
     def decode_stream(self, ids: Iterable[int], as_tokens: bool = False) -> Iterator[str]:
         """Text of a stream of ids. ``as_tokens``: the tokens as the vocabulary writes them, one space between."""
-        state = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        first = True
+        machine = Decoder(self, as_tokens)
         for i in ids:
-            token = self.tokens.get(i)
-            if token is None:
-                continue
-            if as_tokens:
-                raw = token.encode() if first else b" " + token.encode()
-            elif token in self.special:
-                raw = token.encode()
-            else:
-                end = bool(self.suffix) and token.endswith(self.suffix)
-                raw = bytes(map(self.bytes_of.__getitem__, token[: -len(self.suffix)] if end else token)) + (b" " if end else b"")
-            first = False
-            yield state.decode(raw)
-        yield state.decode(b"", True)
+            yield machine.feed([i])
+        yield machine.end()
 
     def decode(self, ids: Iterable[int], as_tokens: bool = False) -> str:
         return "".join(self.decode_stream(ids, as_tokens))
 
+    def raw_tokens(self, as_tokens: bool) -> dict[int, bytes]:
+        """The bytes of each id; ``as_tokens`` with one space before."""
+        if as_tokens not in self.raw:
+            self.raw[as_tokens] = {i: self.bytes_of_token(t, as_tokens) for i, t in self.tokens.items()}
+        return self.raw[as_tokens]
+
+    def bytes_of_token(self, token: str, as_tokens: bool) -> bytes:
+        if as_tokens:
+            return b" " + token.encode()
+        if token in self.special:
+            return token.encode()
+        end = bool(self.suffix) and token.endswith(self.suffix)
+        return bytes(map(self.bytes_of.__getitem__, token[: -len(self.suffix)] if end else token)) + (b" " if end else b"")
+
+
+class Decoder:
+    """From ids to text, as they come: the state is whether any token was seen, and the bytes of an unfinished character."""
+
+    def __init__(self, codec: Codec, as_tokens: bool = False):
+        self.raw, self.as_tokens, self.first = codec.raw_tokens(as_tokens), as_tokens, True
+        self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
+
+    def feed(self, ids: list[int]) -> str:
+        try:
+            raw = b"".join([*map(self.raw.__getitem__, ids)])
+        except KeyError:  # ids that are not in the vocabulary decode to nothing
+            raw = b"".join([self.raw.get(i, b"") for i in ids])
+        if self.first and raw:
+            self.first, raw = False, raw[1:] if self.as_tokens else raw
+        return self.state.decode(raw)
+
+    def end(self) -> str:
+        return self.state.decode(b"", True)
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -244,11 +279,20 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         for batch in batches:
             rows: list[tuple] = []
             for value in batch.column(1):
-                ids, tokens = codec.encode_joined(value.as_py() or "")
-                state = codecs.getincrementaldecoder("utf-8")(errors="replace")
-                decoded = state.decode(tokens.encode(), True)
-                n = ids.count(" ") + 1 if ids else 0
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((list(map(int, ids.split())), decoded) if with_ids else ())))
+                machine, n, hashed, read = Decoder(codec, as_tokens=True), 0, hashlib.sha256(), hashlib.sha256()
+                held: list[int] = []
+                parts: list[str] = []
+                for written, ids in codec.encode_blocks(value.as_py() or ""):
+                    hashed.update(written.encode() if not n else b" " + written.encode())
+                    n += len(ids)
+                    decoded = machine.feed(ids)
+                    read.update(decoded.encode())
+                    if with_ids:
+                        held += ids
+                        parts.append(decoded)
+                last = machine.end()
+                read.update(last.encode())
+                rows.append((n, hashed.hexdigest(), read.hexdigest(), *((held, "".join([*parts, last])) if with_ids else ())))
             cols = list(zip(*rows, strict=True)) or [()] * (5 if with_ids else 3)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]

@@ -1,17 +1,20 @@
 """Token ids in binary shards with a minimal perfect hash index from document keys to places in a shard.
 
 Documents are range-partitioned by key, so that shards, and the documents in a shard, ascend. A shard file holds, one
-after the other: the raw ids (little-endian unsigned 32 bits), the keys, the null flags, the offsets of the documents
-in ids, the index, a JSON footer, the footer's length and a magic number. The index is a hash-and-retry cascade of bit
+after the other: the raw ids (little-endian unsigned, of 16 bits where the vocabulary allows it, else of 32), the keys,
+the null flags, the offsets of the documents in ids, the index, a JSON footer, the footer's length and a magic number.
+A new shard begins after ``SHARD_BYTES`` of ids. The index is a hash-and-retry cascade of bit
 vectors: a key's place is the rank of the first bit that is its alone. Each place stores a record number and a 32-bit
 fingerprint of its key, by which keys that the shard does not hold are refused. A lookup takes constant time.
 
 Files are written under a name of their own and then moved, so a task that is run again leaves the same file. They are
 opened with ``pyarrow.fs`` by URI, in the folder that all executors share.
 
+Reading goes through the index: the record of each key is the one that the index names, and a wrong one is an error.
+
 Defined cases: null and empty texts have only the end id; rows with a null key come first and are in the files but not
-in the index; of repeated keys the index has the first record, and the others follow it directly in the same shard.
-An empty table gives no shard. Further columns are ignored.
+in the index; repeated keys are ordered by a hash of their texts, the index of each shard has the first of its records,
+and the others follow it directly. An empty table gives no shard. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,11 +34,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, parts
+from .common import new_path, parts, shuffles_go
 from .shingling import mix
 
 MAGIC = b"TFTOKEN1"
 GAMMA = 2.0
+#: Bytes of ids after which a new shard begins, and ids that are read at once.
+SHARD_BYTES = 1 << 28
+BLOCK_IDS = 1 << 20
 #: How byte-level vocabularies of this kind cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -111,6 +117,7 @@ class Encoder:
         rules = json.loads(spec)
         vocab, merges = rules["model"]["vocab"], rules["model"]["merges"]
         self.special = [t["content"] for t in rules.get("added_tokens", [])]
+        self.kind = "<u2" if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
         if made != sorted(made) or rules["pre_tokenizer"]["type"] != "ByteLevel" or rules["pre_tokenizer"]["add_prefix_space"] or rules["normalizer"]:
@@ -120,8 +127,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.quick is None or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.frombuffer(array("I", self.quick.encode_ordinary(text)), np.uint32).astype("<u4", copy=False).tobytes()
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return np.frombuffer(array("I", self.quick.encode_ordinary(text)), np.uint32).astype(self.kind).tobytes()
 
 
 _encoders: dict[int, Encoder] = {}
@@ -141,14 +148,13 @@ def _index(keys: np.ndarray, nulls: np.ndarray) -> tuple[PerfectHash, np.ndarray
     return mph, record, prints
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Encodes and writes all documents; returns the manifest, a row for each shard: part, path, n_docs, n_ids,
-    first_key, last_key, base (ids in the shards before it)."""
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encodes and writes all documents; returns the manifest, a row for each shard: part, no, path, n_docs, n_ids,
+    first_key, last_key (null: no key), base (ids in the shards before it)."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary: a few MB, fixed
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -157,40 +163,62 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, key
         encoder = _encoders.get(0)
         if encoder is None or encoder.spec != hash(shared.value):
             encoder = _encoders[0] = Encoder(shared.value)
-        sink, keys, nulls, offsets = None, [], [], [0]
+        end = np.array([end_id], encoder.kind).tobytes()
+        made: list[dict] = []
+        shard = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if sink is None:
-                fs, base = filesystem(folder)
-                fs.create_dir(base, recursive=True)
-                final, temp = f"{base}/shard-{part:06d}.tok", f"{base}/.{part:06d}-{uuid.uuid4().hex}"
-                sink = fs.open_output_stream(temp)
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = encoder.encode(value.as_py() or "")
-                sink.write(raw)
-                sink.write(end)
-                offsets.append(offsets[-1] + len(raw) // 4 + 1)
-                keys.append(k or 0)
-                nulls.append(k is None)
-        if sink is None:
-            return
-        k, z = np.array(keys, np.int64), np.array(nulls, np.uint8)
-        mph, record, prints = _index(k.view(np.uint64), z)
-        footer = {"docs": len(keys), "ids": offsets[-1], "keys": len(record), "levels": mph.sizes}
-        for block in (k.astype("<i8"), z, np.array(offsets, "<u8"), mph.bits.astype("<u8"), record.astype("<u8"), prints.astype("<u4")):
-            sink.write(block.tobytes())
+                if shard is None:
+                    shard = ShardWriter(folder, part, len(made), encoder.kind)
+                shard.add(k, encoder.encode(value.as_py() or "") + end)
+                if shard.n_bytes >= shard_bytes:
+                    made.append(shard.close())
+                    shard = None
+        if shard is not None:
+            made.append(shard.close())
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("part", pa.int32()), ("no", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
+
+    # of equal keys those with different texts may go to different partitions, in a fixed order
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    dealt = rows.repartitionByRange(parts(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "text")
+    with shuffles_go(spark):
+        made = sorted(dealt.mapInArrow(run, "part int, no int, path string, n_docs long, n_ids long, first_key long, last_key long").collect(), key=lambda r: (r["part"], r["no"]))  # a row for each shard
+    bases = [0, *accumulate(r["n_ids"] for r in made)]
+    return spark.createDataFrame([(*r, b) for r, b in zip(made, bases, strict=False)], "part int, no int, path string, n_docs long, n_ids long, first_key long, last_key long, base long")
+
+
+class ShardWriter:
+    """One shard file, written under a name of its own and then moved."""
+
+    def __init__(self, folder: str, part: int, no: int, kind: str):
+        self.fs, base = filesystem(folder)
+        self.fs.create_dir(base, recursive=True)
+        name = f"shard-{part:06d}-{no:04d}.tok"
+        self.final, self.temp, self.path = f"{base}/{name}", f"{base}/.{name}-{uuid.uuid4().hex}", f"{folder}/{name}"
+        self.sink = self.fs.open_output_stream(self.temp)
+        self.part, self.no, self.kind, self.n_bytes = part, no, kind, 0
+        self.keys, self.nulls, self.ends = array("q"), bytearray(), array("Q", [0])
+
+    def add(self, key: int | None, raw: bytes) -> None:
+        self.sink.write(raw)
+        self.n_bytes += len(raw)
+        self.keys.append(0 if key is None else key)
+        self.nulls.append(key is None)
+        self.ends.append(self.n_bytes // np.dtype(self.kind).itemsize)
+
+    def close(self) -> dict:
+        keys, nulls, ends = np.array(self.keys, "<i8"), np.frombuffer(self.nulls, np.uint8), np.array(self.ends, "<u8")
+        mph, record, prints = _index(keys.view(np.uint64), nulls)
+        footer = {"docs": len(keys), "ids": int(ends[-1]), "keys": len(record), "levels": mph.sizes, "kind": self.kind}
+        for block in (keys, nulls, ends, mph.bits.astype("<u8"), record.astype("<u8"), prints.astype("<u4")):
+            self.sink.write(block.tobytes())
         tail = json.dumps(footer).encode()
-        sink.write(tail + struct.pack("<Q", len(tail)) + MAGIC)
-        sink.close()
-        fs.move(temp, final)
-        real = [x for x in keys if x is not None]
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/shard-{part:06d}.tok", "n_docs": len(keys), "n_ids": offsets[-1], "first_key": min(real), "last_key": max(real)}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
-
-    dealt = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).repartitionByRange(parts(spark), "k").sortWithinPartitions("k")
-    rows = sorted(dealt.mapInArrow(run, "part int, path string, n_docs long, n_ids long, first_key long, last_key long").collect(), key=lambda r: r["part"])  # a row for each shard
-    bases = [0, *accumulate(r["n_ids"] for r in rows)]
-    return spark.createDataFrame([(*r, b) for r, b in zip(rows, bases, strict=False)], "part int, path string, n_docs long, n_ids long, first_key long, last_key long, base long")
+        self.sink.write(tail + struct.pack("<Q", len(tail)) + MAGIC)
+        self.sink.close()
+        self.fs.move(self.temp, self.final)
+        real = keys[nulls == 0]
+        return {"part": self.part, "no": self.no, "path": self.path, "n_docs": len(keys), "n_ids": int(ends[-1]), "first_key": int(real[0]) if len(real) else None, "last_key": int(real[-1]) if len(real) else None}
 
 
 class Shard:
@@ -205,8 +233,8 @@ class Shard:
             raise ValueError(f"{path} is not a token shard")
         n = struct.unpack("<Q", tail[:8])[0]
         foot = json.loads(self.file.read_at(n, size - 16 - n))
-        self.n_docs, self.n_ids = foot["docs"], foot["ids"]
-        at = 4 * self.n_ids
+        self.n_docs, self.n_ids, self.kind = foot["docs"], foot["ids"], np.dtype(foot["kind"])
+        at = self.kind.itemsize * self.n_ids
 
         def block(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -228,51 +256,74 @@ class Shard:
         out[some] = self.record[slot[some]]
         return out
 
-    def ids_at(self, record: int) -> bytes:
-        a, b = self.offsets[record], self.offsets[record + 1]
-        return self.file.read_at(int(4 * (b - a)), int(4 * a))
+    def read(self, first: int, stop: int) -> np.ndarray:
+        """The ids of the records from ``first`` to before ``stop``."""
+        a, b = int(self.offsets[first]), int(self.offsets[stop])
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(size * (b - a), size * a), self.kind)
 
     def get(self, key: int) -> np.ndarray | None:
         record = int(self.find(np.array([key]))[0])
-        return None if record < 0 else np.frombuffer(self.ids_at(record), "<u4")
+        return None if record < 0 else self.read(record, record + 1)
+
+    def records(self) -> np.ndarray:
+        """The record of each stored document, named by the index: that of its key, plus its place among repeated keys.
+        Documents without a key are the first of a shard. Fails where the index names another document's record."""
+        out = np.arange(self.n_docs)
+        some = np.flatnonzero(self.nulls == 0)
+        keys = self.keys[some]
+        fresh = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+        found = self.find(keys)
+        out[some] = found + np.arange(len(keys)) - first
+        if (found < 0).any() or (out[some] >= self.n_docs).any() or (self.keys[out[some]] != keys).any() or self.nulls[out[some]].any():
+            raise ValueError("the index does not lead to the documents of its keys")
+        return out
 
 
 class TokenStore:
     """Keyed access over all shards of a manifest."""
 
     def __init__(self, manifest: DataFrame):
-        self.rows = sorted(manifest.collect(), key=lambda r: r["part"])  # a row for each shard
+        self.rows = sorted((r for r in manifest.collect() if r["first_key"] is not None), key=lambda r: (r["part"], r["no"]))  # a row for each shard
+        self.last_keys = [r["last_key"] for r in self.rows]
         self.open: dict[str, Shard] = {}
 
     def get(self, key: int) -> np.ndarray | None:
-        at = bisect_right([r["first_key"] for r in self.rows], key) - 1
-        for r in self.rows[max(at - 1, 0) : at + 1]:
-            shard = self.open.setdefault(r["path"], None) or Shard(r["path"])
-            self.open[r["path"]] = shard
-            if (found := shard.get(key)) is not None:
-                return found
-        return None
+        """The ids of a key (of a repeated one, of its first document); None if the store does not have it."""
+        at = bisect_left(self.last_keys, key)
+        if at == len(self.rows) or self.rows[at]["first_key"] > key:
+            return None
+        path = self.rows[at]["path"]
+        if path not in self.open:
+            self.open[path] = Shard(path)
+        return self.open[path].get(key)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: key, start, n_tokens, ids_crc32, in_index (found by its key at its place)."""
+    """Per document, from the files, through the index: key, start, n_tokens, ids_crc32, in_index (it has a key)."""
     spark: SparkSession = manifest.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(path)
-                found = shard.find(shard.keys)
-                same = (found >= 0) & (shard.keys[np.maximum(found, 0)] == shard.keys) & (shard.nulls == 0)
-                own = np.arange(shard.n_docs)
-                # a key's document is the record that the index names; repeated keys follow it
-                record = np.where(same, np.maximum(own, found), own)
-                for at in range(0, shard.n_docs, 5000):
-                    some = record[at : at + 5000]
-                    lo, hi = shard.offsets[some], shard.offsets[some + 1]
-                    crc = [zlib.crc32(shard.ids_at(r)) for r in some.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys[some], pa.int64(), mask=shard.nulls[some] == 1), pa.array(lo + base, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(crc, pa.int64()), pa.array(same[at : at + 5000])], names=["doc_id", "start", "n_tokens", "ids_crc32", "in_index"])
+                record = shard.records()
+                jumps = np.flatnonzero(np.diff(record) != 1) + 1  # records that follow each other are read at once
+                for a, b in zip([0, *jumps.tolist()], [*jumps.tolist(), len(record)], strict=True):
+                    while a < b:
+                        lo = shard.offsets[record[a]]
+                        n = int(np.searchsorted(shard.offsets[record[a] + 1 : record[b - 1] + 2], lo + BLOCK_IDS, side="right"))
+                        n = min(max(n, 1), b - a)
+                        some = record[a : a + n]
+                        ids = shard.read(int(some[0]), int(some[-1]) + 1).astype("<u4", copy=False)
+                        begin, stop = shard.offsets[some], shard.offsets[some + 1]
+                        raw = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
+                        crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip((begin - lo).tolist(), (stop - lo).tolist(), strict=True)]
+                        nulls = shard.nulls[some] == 1
+                        yield pa.RecordBatch.from_arrays([pa.array(shard.keys[some], pa.int64(), mask=nulls), pa.array(begin + base, pa.int64()), pa.array(stop - begin, pa.int64()), pa.array(crc, pa.int64()), pa.array(~nulls)], names=["doc_id", "start", "n_tokens", "ids_crc32", "in_index"])
+                        a += n
 
     n = max(1, manifest.count())
-    dealt = manifest.select("path", "base", "part").repartitionByRange(min(n, 4 * parts(spark)), "part").select("path", "base")
+    dealt = manifest.repartitionByRange(min(n, 4 * parts(spark)), "part", "no").select("path", "base")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, in_index boolean")
