@@ -3,14 +3,17 @@
 An item is looked for by MinHash winners: the shingles of the item that are smallest under several hash functions. A
 winner is a uniform draw from the item's shingles, so the share of winners that a document holds estimates the
 *containment* of the item, however long the document is (MinHash values of a whole long document say next to nothing
-about a short item). Items are partitioned by size; a partition of larger items draws as many winners as keep the
-probability of missing a containment of ``threshold`` below ``missed``, one of smaller items keeps every shingle.
-Documents that hold a winner are candidates; exact containment of shingles verifies them.
+about a short item). Items are partitioned by size: those of up to ``draws`` shingles keep them all, larger ones draw
+``draws`` winners. A document is a candidate if it holds so many winners that a containment of ``threshold`` would show
+fewer with a probability below ``missed`` only; exact containment of shingles verifies it. Nothing but fixed-width
+numbers is broadcast, and only below ``BROADCAST_BYTES``.
 
 A word is a maximal run of letters and digits (Unicode) of the lower-cased text; a shingle is ``width`` words; a text
-with fewer words has one shingle, of all its words. Defined cases: null or empty texts, and items without words, match
-nothing; items with the same id are one item with the shingles of all; rows with a null id match like others and give
-null ids; repeated rows give their pairs once. Further columns are ignored.
+with fewer words has one shingle, of all its words, so such an item is found only as a whole text. Defined cases: null or
+empty texts, and items without words, match nothing; items with the same id are one item with the shingles of all (a
+null id is one item, too); rows with a null id match like others and give null ids; repeated rows give their pairs once.
+``drop_contaminated`` tells rows by id and text. Empty tables give an empty result, or all documents. Further columns
+are ignored by the search and kept by the removal, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of the item side up to which it may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes of the item side up to which it may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -43,12 +46,6 @@ def windows(width: int) -> Column:
     return F.arrays_zip(*[column(k).alias(f"c{k}") for k in range(width)])
 
 
-def with_grams(df: DataFrame, text: str, width: int) -> DataFrame:
-    """Adds ``grams``: hashes of all shingles, in order."""
-    grams = F.transform(windows(width), lambda z: F.xxhash64(*[z[f"c{k}"] for k in range(width)]))
-    return with_words(df, text).withColumn("grams", F.explode(F.array(grams))).drop("h_")
-
-
 def each_gram(df: DataFrame, text: str, width: int) -> DataFrame:
     """(other columns, gram): a row for each shingle."""
     kept = [c for c in df.columns if c != text]
@@ -56,41 +53,68 @@ def each_gram(df: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast if its number of rows has been seen to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast if it has been seen to be small: its rows, of a few numbers each, are counted. Beyond, the join shuffles."""
+    return F.broadcast(df) if df.count() * 24 <= BROADCAST_BYTES else df
+
+
+def least_drawn(draws: int, threshold: float, missed: float) -> int:
+    """How many of ``draws`` winners a document holds at least, but for a probability of ``missed``, if it holds
+    ``threshold`` of the item."""
+    below = 0.0
+    for k in range(draws):
+        below += math.comb(draws, k) * threshold**k * (1 - threshold) ** (draws - k)
+        if below > missed:
+            return max(k, 1)
+    return draws
+
+
+def containing(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float, missed: float, draws: int, item: str) -> DataFrame:
+    """docs: (key, body, text). (key, body, item_id, n_shared, n_item) of rows that hold ``threshold`` of an item."""
+    docs = docs.where("text IS NOT NULL")
+    items = benchmark.select(F.col(item).alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL")
+    grams = materialize(each_gram(items, "item_text", width).distinct(), "items")
+    sizes = grams.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    # one number names an item from here on, whatever its id is
+    named = materialize(sizes.select("item_id", "n_item", F.xxhash64("item_id", F.lit(1)).alias("item")), "sizes")
+    grams = grams.select(F.xxhash64("item_id", F.lit(1)).alias("item"), "gram")
+    sized = grams.join(bounded(named.select("item", "n_item")), "item")
+    # small items keep every shingle; of larger ones each draw keeps the shingle that is smallest under its hash
+    small = sized.where(F.col("n_item") <= draws).select("item", "gram", F.lit(1).alias("times"), F.ceil(F.col("n_item") * threshold - 1e-9).cast("int").alias("least"))
+    large = sized.where(F.col("n_item") > draws).select("item", "gram", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k"))
+    won = large.groupBy("item", "k").agg(F.min(F.struct(F.xxhash64("gram", "k").alias("h"), "gram"))["gram"].alias("gram")).groupBy("item", "gram").agg(F.count("*").cast("int").alias("times"))
+    winners = materialize(small.unionByName(won.withColumn("least", F.lit(least_drawn(draws, threshold, missed)))), "winners")
+    hits = materialize(each_gram(docs, "text", width).join(bounded(winners.select("gram").distinct()), "gram").select("key", "body", "gram").distinct(), "hits")
+    near = hits.join(bounded(winners), "gram").groupBy("key", "body", "item").agg(F.sum("times").alias("held"), F.min("least").alias("least")).where("held >= least")
+    near = materialize(near.select("key", "body", "item"), "candidates")
+    # exact containment: the candidates' shingles meet those of their items
+    chosen = near.select(F.col("key").alias("key_"), F.col("body").alias("body_")).distinct()
+    source = docs.join(chosen.hint("merge"), F.col("key").eqNullSafe(F.col("key_")) & (F.col("body") == F.col("body_")), "left_semi")
+    have = each_gram(source, "text", width).select(F.struct("key", "body").alias("row"), "gram").distinct()
+    want = near.join(grams, "item").select(F.struct("key", "body").alias("row"), "gram", "item")
+    found = want.join(have, ["row", "gram"]).groupBy("row", "item").agg(F.count("*").alias("n_shared"))
+    found = found.join(bounded(named), "item").where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
+    return found.select("row.key", "row.body", "item_id", "n_shared", "n_item")
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, missed: float = 1e-6, draws: int = 24, key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """(key, item, n_shared, n_item, containment) of every document that holds ``threshold`` of an item's shingles."""
+    rows = docs.select(F.col(key).alias("key"), body_of("text").alias("body"), "text")
+    out = containing(rows, benchmark, width, threshold, missed, draws, item).drop("body").distinct()
+    return out.select(F.col("key").alias(key), F.col("item_id").alias(item), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, missed: float = 1e-6, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(key, item, n_shared, n_item, containment) of every document that holds ``threshold`` of an item's shingles."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col("text")).where("text IS NOT NULL")
-    items = with_grams(benchmark.select(F.col(item).alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL"), "item_text", width)
-    items = items.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("item_grams")).withColumn("n_item", F.size("item_grams").cast("long")).where("n_item > 0")
-    items = materialize(items, "items")
-    draws = math.ceil(math.log(missed) / math.log(1 - threshold))
-    # size partitions double; small ones keep all shingles
-    parted = items.withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
-    drawn = F.when(F.pow(F.lit(2), "size_class") <= 2 * draws, F.col("item_grams")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: F.array_min(F.transform("item_grams", lambda g: F.struct(F.xxhash64(g, k).alias("h"), g.alias("g"))))["g"]))
-    )
-    sketch = materialize(parted.select(F.explode(drawn).alias("gram")).distinct(), "winners")
-    read = each_gram(docs, "text", width)
-    hits = materialize(read.join(bounded(sketch), "gram").select("doc_id", "gram").distinct(), "hits")
-    owners = parted.select("item_id", F.explode(drawn).alias("gram"))
-    pairs = hits.join(bounded(owners), "gram").select("doc_id", "item_id").distinct()
-    wanted = pairs.join(bounded(items.withColumnRenamed("item_id", "own_")), F.col("item_id").eqNullSafe(F.col("own_"))).select("doc_id", F.struct("item_id", "item_grams", "n_item").alias("item"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_list("item").alias("wanted"))  # at most the items one document holds
-    found = with_grams(docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_"))), "text", width)
-    shared = F.transform("wanted", lambda w: F.struct(w["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("grams"), w["item_grams"])).cast("long").alias("n_shared"), w["n_item"].alias("n_item")))
-    out = found.select("doc_id", F.explode(shared).alias("s")).select("doc_id", "s.*").withColumn("containment", F.col("n_shared") / F.col("n_item"))
-    out = out.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).distinct()
-    return out.select(F.col("doc_id").alias(key), F.col("item_id").alias(item), "n_shared", "n_item", "containment")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
-    hits = contained_items(docs, benchmark, **options).select("doc_id").distinct()
-    hits = materialize(hits, "contaminated").withColumnRenamed("doc_id", "hit_")
-    return docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_")), "left_anti")
+def body_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, missed: float = 1e-6, draws: int = 24, item: str = "item_id") -> DataFrame:
+    """The documents that hold no item. ``docs`` has doc_id and text; its columns may have any other names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names cannot clash with ours
+    own = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names)
+    hits = containing(rows.select(F.col(own["doc_id"]).alias("key"), body_of(own["text"]).alias("body"), F.col(own["text"]).alias("text")), benchmark, width, threshold, missed, draws, item)
+    hits = materialize(hits.select("key", "body").distinct(), "contaminated")
+    return rows.join(hits.hint("merge"), F.col(own["doc_id"]).eqNullSafe(F.col("key")) & (body_of(own["text"]) == F.col("body")), "left_anti").toDF(*docs.columns)
 
 
 #: The same in DuckDB, over shingles as strings.

@@ -3,12 +3,15 @@
 Spans are found by patterns. The base kinds are assign, access and hex; further kinds are added to them. Offsets are
 code points, the end exclusive: they follow from splitting a text at the matches and adding up lengths. Each secret's
 hash is then counted over the corpus, by distinct repositories (documents, unless told otherwise) and owners
-(sources). A secret that many owners hold is a copied example; so is one with hardly any different characters. All
+(sources). A secret that many owners hold in many repositories is a copied example: one repository that several owners
+mirror does not make it one, nor do many repositories of one owner. So is one with hardly any different characters. All
 others look live. A private key is its whole block, and its secret the body without line breaks; a first line without a
 body is no key and never live.
 
-Defined cases: null texts count as empty; a null owner counts as one owner of its own; repeated rows count once as a
-repository, and each gives its own row. Rows with a null id are scanned like others. Further columns are ignored.
+Defined cases: null texts count as empty, and masking leaves them null; a null owner or repository counts as one of its
+own; repeated rows count once as a repository, and each gives its own row. A row is told by its id and text: rows with
+equal ids, or without an id, and different texts keep their own spans. An empty table gives an empty result. Further
+columns are ignored by the scan and kept by the masking, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ KINDS = [
     ("pem", PEM, 1, 0, "-----BEGIN "),
 ]
 BASE = 3
+#: A secret of fewer different characters is an example.
+VARIETY = 5
 SPAN = "struct<start:int,no:int,end:int,kind:string,secret:string>"
 
 
@@ -66,58 +71,75 @@ def how_many(no: int) -> Column:
     return F.size(F.filter("found", lambda s: s["no"] == no)).cast("long")
 
 
-def scan(docs: DataFrame, more: list[str] = ()) -> DataFrame:
-    """doc_id, ``more`` and the sorted array ``found`` of all spans."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", *more, text.alias("body_")).select("doc_id", *more, F.sort_array(F.concat(*[found(F.col("body_"), i) for i in range(len(KINDS))])).alias("found"))
+def scan(docs: DataFrame, text: str) -> DataFrame:
+    """Adds the sorted array ``found`` of all spans."""
+    body = docs.withColumn("read", F.coalesce(text, F.lit("")))
+    return body.withColumn("found", F.sort_array(F.concat(*[found(F.col("read"), i) for i in range(len(KINDS))]))).drop("read")
 
 
-def ownership(spans: DataFrame, owners: int, owner: str, repository: str) -> DataFrame:
-    """secret -> n_repositories, n_owners, example. Each step aggregates before it shuffles."""
-    one = spans.groupBy("secret", owner, repository).agg(F.count("*").alias("times"))
-    by_owner = one.groupBy("secret", owner).agg(F.count("*").alias("repositories"))
-    out = by_owner.groupBy("secret").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
-    return out.withColumn("example", F.col("n_owners") >= owners)
+def ownership(spans: DataFrame, owners: int, repositories: int) -> DataFrame:
+    """(secret, owner, repository) -> secret, n_repositories, n_owners, example. Each step aggregates before it shuffles."""
+    one = spans.select("secret", "owner", "repository").distinct()
+    by_owner = one.select("secret", "owner").distinct().groupBy("secret").agg(F.count("*").alias("n_owners"))
+    by_repository = one.select("secret", "repository").distinct().groupBy("secret").agg(F.count("*").alias("n_repositories"))
+    out = by_owner.join(by_repository, "secret")
+    return out.withColumn("example", (F.col("n_owners") >= owners) & (F.col("n_repositories") >= repositories))
 
 
-def scan_secrets(docs: DataFrame, owners: int = 3, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+def judged(docs: DataFrame, owners: int, repositories: int, owner: str, repository: str) -> tuple[DataFrame, DataFrame]:
+    """(scanned, verdicts): (key, body, found) of every row; (key_, body_, live, other), the spans of each key and text."""
+    rows = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("read_text"), F.struct(owner).alias("owner"), F.struct(repository).alias("repository"))
+    scanned = materialize(scan(rows, "read_text").select("key", body_of("read_text").alias("body"), "owner", "repository", "found"), "scanned")
+    some = scanned.where(F.size("found") > 0).select("key", "body", "owner", "repository", F.explode("found").alias("s"))
+    each = some.select("key", "body", "owner", "repository", F.sha2("s.secret", 256).alias("secret"), F.struct("s.start", "s.end").alias("place"), (F.size(F.array_distinct(F.split("s.secret", ""))) >= VARIETY).alias("varied"))
+    owned = materialize(ownership(each, owners, repositories), "ownership")
+    told = each.join(owned, "secret").withColumn("live", ~F.col("example") & F.col("varied"))
+    verdicts = told.groupBy(F.col("key").alias("key_"), F.col("body").alias("body_")).agg(F.collect_set(F.when(F.col("live"), F.col("place"))).alias("live"), F.collect_set(F.when(~F.col("live"), F.col("place"))).alias("other"))
+    return scanned, verdicts
+
+
+def body_of(text: str) -> Column:
+    """Tells texts of one id, or without an id, apart; equal rows have equal spans anyway."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def scan_secrets(docs: DataFrame, owners: int = 3, repositories: int = 3, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live (their spans)."""
-    keys = list(dict.fromkeys(k for k in (owner, repository) if k != "doc_id"))
-    scanned = materialize(scan(docs, keys), "scanned")
+    scanned, verdicts = judged(docs, owners, repositories, owner, repository)
+    both = scanned.join(verdicts, F.col("key").eqNullSafe(F.col("key_")) & (F.col("body") == F.col("body_")), "left")
     base = F.filter("found", lambda s: s["no"] < BASE)
-    some = scanned.where(F.size("found") > 0).select("doc_id", "found", *keys)
-    each = some.select("doc_id", *keys, "found", F.explode("found").alias("s")).select("doc_id", *keys, as_text(F.col("found")).alias("spans"), F.sha2("s.secret", 256).alias("secret"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.size(F.array_distinct(F.split("s.secret", ""))).alias("variety"))
-    owned = materialize(ownership(each, owners, owner, repository), "ownership")
-    judged = each.join(owned, "secret").withColumn("live", ~F.col("example") & (F.col("variety") >= 5))
-    place = F.struct("start", "end")
-    per_doc = judged.groupBy(F.col("doc_id").alias("id_"), F.col("spans").alias("spans_")).agg(F.collect_set(F.when(F.col("live"), place)).alias("live"), F.collect_set(F.when(~F.col("live"), place)).alias("other"))
-    rows = scanned.select(
-        "doc_id",
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return both.select(
+        F.col("key").alias("doc_id"),
         *[how_many(i).alias(f"n_{KINDS[i][0]}") for i in range(BASE)],
         F.sha2(as_text(base), 256).alias("base_sha256"),
         as_text(F.col("found")).alias("spans"),
+        size("live").alias("n_live"),
+        size("other").alias("n_example"),
+        F.sort_array(F.coalesce("live", none)).alias("live"),
     )
-    both = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("spans") == F.col("spans_")), "left").drop("id_", "spans_")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return both.withColumns({"live": F.sort_array(F.coalesce("live", none)), "n_live": F.coalesce(F.size("live"), F.lit(0)).cast("long"), "n_example": F.coalesce(F.size("other"), F.lit(0)).cast("long")}).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "live")
 
 
-def mask_live(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
+def mask_live(docs: DataFrame, mask: str = "[SECRET]", owners: int = 3, repositories: int = 3, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """The documents with live-looking secrets masked and ``n_chars`` of the new text; none is dropped."""
-    verdict = scan_secrets(docs, **options).where("n_live > 0").groupBy("doc_id", "spans").agg(F.first("live").alias("live"))
-    verdict = verdict.groupBy(F.col("doc_id").alias("id_")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("live")))).alias("live"))
-    verdict = materialize(verdict, "verdict")
-    joined = docs.join(verdict.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+    _, verdicts = judged(docs, owners, repositories, owner, repository)
+    verdicts = materialize(verdicts.where(F.size("live") > 0).select("key_", "body_", F.sort_array("live").alias("live_")), "verdict")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names cannot clash with ours
+    own = dict(zip(docs.columns, names, strict=True))
+    text, live = F.col(own["text"]), F.col("live_")
+    joined = docs.toDF(*names).join(verdicts.hint("merge"), F.col(own["doc_id"]).eqNullSafe(F.col("key_")) & (body_of(own["text"]) == F.col("body_")), "left")
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("live", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("live").isNull() | F.col("text").isNull(), F.col("text")).otherwise(masked)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    masked = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    change = live.isNotNull() & text.isNotNull()
+    out = joined.withColumn("masked_", F.when(change, masked).otherwise(text))
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn(own["n_chars"], F.when(change, F.length("masked_").cast(kind)).otherwise(F.col(own["n_chars"])))
+    return out.withColumn(own["text"], F.col("masked_")).select(names).toDF(*docs.columns)
