@@ -1,7 +1,8 @@
 """Near-duplicate vectors by cosine, compared tile by tile in PCA order.
 
 All vectors are rotated to principal axes, those of most variance first. Rows are ordered by the first axis and packed
-into chunks; two chunks form a tile unless their ranges on that axis are too far apart for any pair to reach the
+into chunks and chunks into blocks; a pair of blocks is one unit of work, so that a chunk travels once for each block;
+two chunks form a tile unless their ranges on that axis are too far apart for any pair to reach the
 threshold (unit vectors of cosine c are sqrt(2 - 2c) apart). In a tile, products of the leading dimensions plus the
 product of the suffix norms bound the cosine from above; pairs whose bound is below the threshold stop there, the rest
 go on to more dimensions, and the last ones get their exact cosine in double precision from the unrotated vectors.
@@ -24,13 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, parts
+from .lsh import grouped
 
 LEADING = (16, 32)
+#: Vectors of a chunk at most, and bytes of it; chunks of a block; rows compared at once; partial sums added at once.
 CHUNK = 2048
+CHUNK_BYTES = 1 << 20
+SIDE = 8
 ROWS = 512
+FAN = 8
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1. The largest component is taken out first, so that no square overflows or vanishes."""
+    raw = raw / np.abs(raw).max(axis=1, initial=0.0)[:, None]
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
@@ -45,36 +53,47 @@ def valid_rows(vectors: pa.Array) -> list[bytes | None]:
             held.append(v)
     for at, held in by_length.values():
         m = np.array(held, np.float64) + 0.0
-        with np.errstate(over="ignore", invalid="ignore"):
-            norms = np.einsum("ij,ij->i", m, m)
-        for k in np.flatnonzero(np.isfinite(norms) & (norms > 0)).tolist():
+        for k in np.flatnonzero(np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)).tolist():
             out[at[k]] = m[k].tobytes()
     return out
 
 
 def axes(vectors: DataFrame, dims: int) -> np.ndarray:
-    """Columns: principal axes in descending order, from one partial sum for each partition."""
+    """Columns: principal axes in descending order, from one partial sum for each partition, added up in a tree."""
+    size = 1 + dims + dims * dims
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, gram, n = np.zeros(dims), np.zeros((dims, dims)), 0
         for batch in batches:
-            x = unit(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, dims)) if batch.num_rows else np.empty((0, dims))
-            total, gram, n = total + x.sum(0), gram + x.T @ x, n + len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], total, gram.reshape(-1)]).tobytes()], pa.binary())], names=["s"])
+            if batch.num_rows:
+                x = unit(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, dims))
+                total, gram, n = total + x.sum(0), gram + x.T @ x, n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], total, gram.reshape(-1)]).tobytes()], pa.binary())], names=["s"])
 
-    sums = [np.frombuffer(r["s"]) for r in vectors.select("v").mapInArrow(run, "s binary").coalesce(parts(vectors.sparkSession)).collect()]  # dims * dims numbers for each partition
-    whole = np.sum(sums, axis=0) if sums else np.zeros(1 + dims + dims * dims)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros(size)
+        for batch in batches:
+            for x in batch.column(0):
+                whole += np.frombuffer(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], names=["s"])
+
+    n = parts(vectors.sparkSession)
+    sums = vectors.select("v").coalesce(n).mapInArrow(partial, "s binary")
+    while n > 1:
+        n = -(-n // FAN)
+        sums = sums.repartition(n).mapInArrow(add, "s binary")
+    whole = np.sum([np.frombuffer(r["s"]) for r in sums.collect()] or [np.zeros(size)], axis=0)  # one row of size numbers
     n = max(whole[0], 1.0)
     mean = whole[1 : dims + 1] / n
     _, vecs = np.linalg.eigh(whole[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean))
     return np.ascontiguousarray(vecs[:, ::-1])
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, turn: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (left, right) places of pairs whose cosine reaches the threshold; of one chunk, left < right."""
-    dims = a.shape[1]
-    ua, ub = unit(a), unit(b)
-    ra, rb = ua @ turn, ub @ turn
+def tile_links(ua: np.ndarray, ub: np.ndarray, ra: np.ndarray, rb: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (left, right) places of pairs whose cosine reaches the threshold; of one chunk, left < right. ``ra`` and
+    ``rb`` are the unit vectors ``ua`` and ``ub`` on the principal axes."""
+    dims = ua.shape[1]
     stops = [k for k in LEADING if k < dims] or [dims]
 
     def rest(r: np.ndarray, k: int) -> np.ndarray:
@@ -84,7 +103,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, turn: np.ndarray, thres
     k0 = stops[0]
     wide_b = np.ascontiguousarray(np.concatenate([rb[:, :k0], suffix_b[k0][:, None]], axis=1).T)
     least = threshold - 1e-9
-    for at in range(0, len(a), ROWS):
+    for at in range(0, len(ua), ROWS):
         begin = at if same else 0
         bound = np.concatenate([ra[at : at + ROWS, :k0], suffix_a[k0][at : at + ROWS, None]], axis=1) @ wide_b[:, begin:]
         left, right = np.nonzero(bound >= least)
@@ -107,6 +126,7 @@ def length_links(nodes: DataFrame, dims: int, threshold: float, chunk: int) -> D
     link of a spanning forest."""
     spark = nodes.sparkSession
     turn = axes(nodes, dims)
+    chunk = max(min(chunk, CHUNK_BYTES // (8 * dims)), 64)
     width = float(np.sqrt(max(2 - 2 * threshold, 0.0))) + 1e-6
 
     def first_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +143,10 @@ def length_links(nodes: DataFrame, dims: int, threshold: float, chunk: int) -> D
 
         def out(t: pa.Table) -> pa.RecordBatch:
             nonlocal made
-            made += 1
             p = t.column("p").to_numpy()
             blob = b"".join(t.column("v").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([p.min()]), pa.array([p.max()]), pa.array([t.column("node").to_numpy().tobytes()], pa.binary()), pa.array([t.column("copies").to_numpy().tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["chunk", "lo", "hi", "nodes", "copies", "vectors"])
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + (made - 1) // SIDE], pa.int64()), pa.array([made], pa.int32()), pa.array([p.min()]), pa.array([p.max()]), pa.array([t.column("node").to_numpy().tobytes()], pa.binary()), pa.array([t.column("copies").to_numpy().tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["block", "chunk", "lo", "hi", "nodes", "copies", "vectors"])
 
         for batch in batches:
             while batch.num_rows:
@@ -140,49 +160,60 @@ def length_links(nodes: DataFrame, dims: int, threshold: float, chunk: int) -> D
         if n:
             yield out(pa.Table.from_batches(held))
 
-    n_parts = max(1, min(parts(spark), -(-placed.count() // chunk)))
+    n_parts = max(1, min(parts(spark), -(-placed.count() // (chunk * SIDE))))
     dealt = placed.repartitionByRange(n_parts, "p").sortWithinPartitions("p")
-    packs = materialize(dealt.mapInArrow(chunks, "chunk long, lo double, hi double, nodes binary, copies binary, vectors binary"), "chunks")
-    meta = packs.select("chunk", "lo", "hi")
+    packs = materialize(dealt.mapInArrow(chunks, "block long, chunk int, lo double, hi double, nodes binary, copies binary, vectors binary"), "chunks")
+    meta = packs.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cells = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
-    left = meta.select(F.col("chunk").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(cells).alias("cell"))
+    left = meta.select(F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(cells).alias("cell"))
     near = F.sequence(F.floor(F.col("lo") / width) - 1, F.floor(F.col("hi") / width) + 1)
-    right = meta.select(F.col("chunk").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(near).alias("cell"))
+    right = meta.select(F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(near).alias("cell"))
     pairs = left.join(right, "cell").where((F.col("a") <= F.col("b")) & (F.col("lo_b") - F.col("hi_a") <= width) & (F.col("lo_a") - F.col("hi_b") <= width)).select("a", "b").distinct()
-    side = lambda s: packs.select(F.col("chunk").alias(s), F.col("nodes").alias(f"nodes_{s}"), F.col("copies").alias(f"copies_{s}"), F.col("vectors").alias(f"vectors_{s}"))
+    pairs = materialize(pairs, "pairs")
+
+    def tile(one: dict, two: dict, same: bool) -> pa.RecordBatch | None:
+        na, ca, nb, cb = one["nodes"], one["copies"], two["nodes"], two["copies"]
+        names = na if same else np.concatenate([na, nb])
+        count = np.zeros(len(names), np.int64)
+        label = np.arange(len(names))
+        tree: list[tuple[int, int]] = []
+        for x, y in tile_links(one["unit"], two["unit"], one["turned"], two["turned"], same, threshold):
+            r = y if same else y + len(na)
+            count += np.bincount(x, cb[y], len(names)).astype(np.int64) + np.bincount(r, ca[x], len(names)).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() + [len(x)]
+            for p, q in zip(begin, begin[1:], strict=False):
+                me = int(x[p])
+                of = label[r[p:q]]
+                new, first = np.unique(of[of != label[me]], return_index=True)
+                if len(new):
+                    places = r[p:q][of != label[me]][first]
+                    tree += [(me, int(z)) for z in places]
+                    label[np.isin(label, new)] = label[me]
+        some = np.flatnonzero(count)
+        if not len(some):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(some) + [1] * len(tree), pa.int32()), pa.array(np.concatenate([names[some], names[[x for x, _ in tree]]])), pa.array(np.concatenate([count[some], names[[y for _, y in tree]]]))],
+            names=["kind", "a", "b"],
+        )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a_id, b_id = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                na, ca, nb, cb = (np.frombuffer(batch.column(k)[i].as_py(), np.int64) for k in (2, 3, 5, 6))
-                xa, xb = (np.frombuffer(batch.column(k)[i].as_py(), np.float64).reshape(-1, dims) for k in (4, 7))
-                same = a_id == b_id
-                names = na if same else np.concatenate([na, nb])
-                count = np.zeros(len(names), np.int64)
-                label = np.arange(len(names))
-                tree: list[tuple[int, int]] = []
-                for x, y in tile_links(xa, xb, same, turn, threshold):
-                    r = y if same else y + len(na)
-                    count += np.bincount(x, cb[y], len(names)).astype(np.int64) + np.bincount(r, ca[x], len(names)).astype(np.int64)
-                    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() + [len(x)]
-                    for p, q in zip(begin, begin[1:], strict=False):
-                        me = int(x[p])
-                        of = label[r[p:q]]
-                        new, first = np.unique(of[of != label[me]], return_index=True)
-                        if len(new):
-                            places = r[p:q][of != label[me]][first]
-                            tree += [(me, int(z)) for z in places]
-                            label[np.isin(label, new)] = label[me]
-                some = np.flatnonzero(count)
-                if len(some):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([0] * len(some) + [1] * len(tree), pa.int32()), pa.array(np.concatenate([names[some], names[[x for x, _ in tree]]])), pa.array(np.concatenate([count[some], names[[y for _, y in tree]]]))],
-                        names=["kind", "a", "b"],
-                    )
-
-    tiles = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "nodes_a", "copies_a", "vectors_a", "nodes_b", "copies_b", "vectors_b")
-    tiles = tiles.repartition(4 * parts(spark), "a", "b")
+        for (a_id, b_id), t in grouped(batches, 2):
+            sides: tuple[list[dict], list[dict]] = ([], [])
+            for r in t.to_pylist():
+                u = unit(np.frombuffer(r["vectors"], np.float64).reshape(-1, dims))
+                sides[r["side"]].append({"lo": r["lo"], "hi": r["hi"], "nodes": np.frombuffer(r["nodes"], np.int64), "copies": np.frombuffer(r["copies"], np.int64), "unit": u, "turned": u @ turn})
+            alone = a_id == b_id
+            for i, one in enumerate(sides[0]):
+                for j, two in enumerate(sides[0] if alone else sides[1]):
+                    if (alone and j < i) or two["lo"] - one["hi"] > width or one["lo"] - two["hi"] > width:
+                        continue
+                    if (found := tile(one, two, alone and i == j)) is not None:
+                        yield found
+
+    # a pair of blocks is one unit of work: a chunk travels once for each block that it is compared with
+    side = lambda k, s: pairs.where("a <> b" if k else "true").join(packs, F.col(s) == F.col("block")).select("a", "b", F.lit(k).alias("side"), "chunk", "lo", "hi", "nodes", "copies", "vectors")
+    tiles = side(0, "a").unionByName(side(1, "b")).repartition(4 * parts(spark), "a", "b").sortWithinPartitions("a", "b", "side", "chunk")
     return materialize(tiles.mapInArrow(compare, "kind int, a long, b long"), "links")
 
 

@@ -25,8 +25,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, hel
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", of) != held_out))
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    # of several rows with one id the text of the smallest hash; so at most ``most`` texts reach the driver
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = one.toPandas().sort_values("doc_id")
     return rows["text"].tolist(), rows["y"].to_numpy(np.int64)
 
 
