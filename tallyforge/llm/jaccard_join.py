@@ -29,7 +29,7 @@ def classed(docs: DataFrame, width: int, threshold: float, sketch: int, toleranc
     """docs: (key, text). (key, body, class_id, n_links, rep): one row per input row that has a word."""
     docs = docs.select("key", body_of("text").alias("body"), "text")
     bands, rows = lsh.tune_bands(threshold, missed, most=208)
-    items, nodes = lsh.near_classes(docs, mode="text", width=width, threshold=threshold, bands=bands, rows=rows, min_words=1, sketch=sketch, prune=pruner(threshold, sketch, tolerance))
+    items, _, nodes = lsh.near_classes(docs, mode="text", width=width, threshold=threshold, bands=bands, rows=rows, min_words=1, sketch=sketch, prune=pruner(threshold, sketch, tolerance))
     first = nodes.groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("rep.key").isNotNull(), F.col("rep"))), F.min("rep")).alias("first"))
     named = materialize(nodes.join(first, "cls").select("node", "copies", "n_links", "first"), "named")
     own = F.struct("key", "body", "item")

@@ -8,7 +8,7 @@ written table:
 1. ``items_table``: the node of each item. ``band_rows``: one key for each band of each distinct node. A node's keys
    are sent once per partition, so a text that fills a third of all rows costs each partition one set of keys.
 2. ``collisions``: (key, node) pairs are range-partitioned and sorted by both columns, so one frequent key spreads over
-   as many partitions as it needs. Runs of a key inside one Arrow batch are listed; runs that a batch's border cuts
+   as many partitions as it needs. The ranges come from some texts, so that no key is computed twice for them. Runs of a key inside one Arrow batch are listed; runs that a batch's border cuts
    become stars, joined over partitions by border rows alone (two for a partition).
 3. ``surviving``: within each listed run nodes are compared by further MinHash values, as ``prune`` says; those pairs
    that survive give a spanning forest, and its components are groups. Unlike texts that share a band don't meet.
@@ -108,9 +108,11 @@ def items_table(docs: DataFrame, mode: str, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {key_type.simpleString()}, body long, item int, node long")
 
 
-def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, min_words: int) -> DataFrame:
-    """(band, node): all band keys of a node once for each partition that has it, and one of them again (once) where
-    the partition has the node twice."""
+def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, min_words: int, bounds: tuple[np.ndarray, np.ndarray], thin: int = 1) -> DataFrame:
+    """(band, node, range): all band keys of a node once for each partition that has it, and one of them again (once)
+    where the partition has the node twice. range: how many of ``bounds``, ascending (band, node) pairs, are not above;
+    one in ``thin`` pairs is given."""
+    bound_keys, bound_nodes = bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, bool] = {}
@@ -140,17 +142,41 @@ def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, mi
                 folded = S.mix(folded + np.arange(bands, dtype=np.uint64) * w[rows])
                 fresh = state[have] == 1
                 key = np.concatenate([folded[fresh].reshape(-1), folded[~fresh, 0]])
-                node = np.concatenate([np.repeat(nodes[have[fresh]], bands), nodes[have[~fresh]]])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], names=["band", "node"])
-
-    return texts.mapInArrow(run, "band long, node long")
+                node = np.concatenate([np.repeat(nodes[have[fresh]], bands), nodes[have[~fresh]]]).view(np.int64)
+                key = key.view(np.int64)
+                if thin > 1:
+                    some = S.mix((key ^ node).view(np.uint64)) % np.uint64(thin) == 0
+                    key, node = key[some], node[some]
+                at = np.searchsorted(bound_keys, key)
+                for i in np.flatnonzero(np.isin(key, bound_keys)).tolist():  # hot keys are cut by node
+                    lo, hi = at[i], np.searchsorted(bound_keys, key[i], side="right")
+                    at[i] = lo + np.searchsorted(bound_nodes[lo:hi], node[i], side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(at.astype(np.int32))], names=["band", "node", "range"])
+
+    return texts.mapInArrow(run, "band long, node long, range int")
+
+
+def range_bounds(texts: DataFrame, n: int, **banding) -> tuple[np.ndarray, np.ndarray]:
+    """(band, node) pairs that cut all pairs into ``n`` ranges of about equal size, from the pairs of some texts. They
+    decide on the balance of the tasks only. Texts are picked by their hash, so that near copies are as frequent among
+    them as among all; what reaches the driver grows with ``n``, not with the texts."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    every = max(1, texts.count() // max(200, 8 * n))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    thin = 1 if banding["mode"] == "text" else 8
+    pairs = band_rows(some, bounds=none, thin=thin, **banding).select("band", "node").toPandas()
+    if n < 2 or not len(pairs):
+        return none
+    pairs = pairs.sort_values(["band", "node"])
+    at = (np.arange(1, n) * len(pairs)) // n
+    return pairs["band"].to_numpy()[at], pairs["node"].to_numpy()[at]
 
 
 def collisions(pairs: DataFrame) -> DataFrame:
-    """(kind, a, b), written. kind 0: node a shares a key with node b, in a run that a border cuts; 1: node b has key a, in
+    """pairs: (band, node, range). (kind, a, b), written. kind 0: node a shares a key with node b, in a run that a border cuts; 1: node b has key a, in
     a run with other nodes; 2: node a has several items."""
     spark = pairs.sparkSession
-    dealt = pairs.repartitionByRange(parts(spark), "band", "node").sortWithinPartitions("band", "node")
+    dealt = pairs.repartitionById(parts(spark), "range").select("band", "node").sortWithinPartitions("band", "node")
     names = ["kind", "a", "b", "key", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,18 +462,19 @@ def verify(members: DataFrame, threshold: float, prune: Filter, chunk: int = 256
     return dealt.mapInArrow(link, "kind int, a long, b long")
 
 
-def near_classes(docs: DataFrame, *, mode: str, width: int, threshold: float, bands: int, rows: int, min_words: int, sketch: int, prune: Filter) -> tuple[DataFrame, DataFrame]:
-    """docs: (key, body, text). (items, nodes). items: (key, body, item, node), for every item; nodes: (node, copies, rep,
-    n_links, cls), for the nodes that have several items or share a band key with others.
+def near_classes(docs: DataFrame, *, mode: str, width: int, threshold: float, bands: int, rows: int, min_words: int, sketch: int, prune: Filter) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: (key, body, text). (items, mine, nodes). items: (key, body, item, node), for every item; nodes: (node, copies,
+    rep, n_links, cls), for the nodes that have several items or share a band key with others; mine: their items.
 
     n_links: items of *other* nodes linked with the node; cls: the smallest node of its component; rep: the first
     (key, body, item), rows without a key after all others."""
     items = materialize(items_table(docs, mode, min_words), "items")
-    met = collisions(band_rows(docs.select("text"), mode, width, bands, rows, min_words))
+    texts, banding = docs.select("text").where("text IS NOT NULL"), {"mode": mode, "width": width, "bands": bands, "rows": rows, "min_words": min_words}
+    met = collisions(band_rows(texts, bounds=range_bounds(texts, parts(docs.sparkSession), **banding), **banding))
     some = materialize(met.select(F.explode(F.array(F.when(F.col("kind") != 1, F.col("a")), F.col("b"))).alias("node")).where("node IS NOT NULL").distinct(), "some")
     at = F.struct("key", "body", "item")
-    mine = items.join(some.hint("merge"), "node", "left_semi").groupBy("node")
-    nodes = materialize(mine.agg(F.count("*").alias("copies"), F.coalesce(F.min(F.when(F.col("key").isNotNull(), at)), F.min(at)).alias("rep")), "nodes")
+    mine = materialize(items.join(some.hint("merge"), "node", "left_semi"), "mine")
+    nodes = materialize(mine.groupBy("node").agg(F.count("*").alias("copies"), F.coalesce(F.min(F.when(F.col("key").isNotNull(), at)), F.min(at)).alias("rep")), "nodes")
     linked = met.where("kind <> 2").select(F.explode(F.array(F.when(F.col("kind") == 0, F.col("a")), F.col("b"))).alias("node")).where("node IS NOT NULL").distinct()
     chosen = nodes.join(linked.hint("merge"), "node", "left_semi").groupBy(F.col("rep.key").alias("rep_key"), F.col("rep.body").alias("rep_body"))
     chosen = materialize(chosen.agg(F.collect_list(F.struct("node", "copies", F.col("rep.item").alias("item"))).alias("wants")), "wants")  # at most the items of one text
@@ -464,7 +491,7 @@ def near_classes(docs: DataFrame, *, mode: str, width: int, threshold: float, ba
     comps = connected_components(out.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     full = nodes.join(counts, "node", "left").join(comps, "node", "left")
     full = full.select("node", "copies", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "node").alias("cls"))
-    return items, materialize(full, "classes")
+    return items, mine, materialize(full, "classes")
 
 
 def pruner(threshold: float, sketch: int, tolerance: float) -> Filter:

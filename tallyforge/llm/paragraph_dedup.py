@@ -19,9 +19,9 @@ result. Further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +32,19 @@ from .common import discard, materialize
 
 SPAN = 20
 SKETCH = 32
-WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def repeated_items(docs: DataFrame, mode: str, width: int, threshold: float, min_words: int, bands: int, rows: int, tolerance: float = 1e-6) -> DataFrame:
     """docs: (key, body, text). (key, body, items): number and cluster (the smallest node) of each item to remove."""
-    items, nodes = lsh.near_classes(docs, mode=mode, width=width, threshold=threshold, bands=bands, rows=rows, min_words=min_words, sketch=SKETCH, prune=lsh.pruner(threshold, SKETCH, tolerance))
+    items, mine, nodes = lsh.near_classes(docs, mode=mode, width=width, threshold=threshold, bands=bands, rows=rows, min_words=min_words, sketch=SKETCH, prune=lsh.pruner(threshold, SKETCH, tolerance))
     many = nodes.where("copies > 1 OR n_links > 0")
     first = many.groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("rep.key").isNotNull(), F.col("rep"))), F.min("rep")).alias("keeper"))
     named = materialize(many.join(first, "cls").select("node", "cls", "keeper"), "named")
     at = F.struct("key", "body", "item")
-    gone = items.join(named.hint("merge"), "node").where(~at.eqNullSafe(F.col("keeper"))).select("key", "body", F.struct("item", F.col("cls").alias("cluster")).alias("gone"))
+    gone = mine.join(named.hint("merge"), "node").where(~at.eqNullSafe(F.col("keeper"))).select("key", "body", F.struct("item", F.col("cls").alias("cluster")).alias("gone"))
     # at most the items of one text; of repeated rows each item once
     gone = materialize(gone.groupBy("key", "body").agg(F.collect_set("gone").alias("items")), "gone")
-    discard(items, nodes, named)
+    discard(items, mine, nodes, named)
     return gone
 
 
@@ -55,26 +54,31 @@ def with_items(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(told, F.col("key").eqNullSafe(F.col("key_")) & (F.col("body") == F.col("body_")), "left").drop("key_", "body_")
 
 
-def cut_units(text: str, gone: dict[int, int], span: int) -> tuple[str, list[int]]:
-    """The text without the runs of units (number -> cluster) that have ``span`` words, and the first cluster of each."""
-    _, item, _, _ = lsh.items_of(pa.array([text], pa.large_string()), "unit")
-    raw = text.encode()
-    words = [m.span() for m in WORD.finditer(raw)]
-    runs: list[list[int]] = []
-    edges = [*(k for k in range(len(item)) if not k or item[k] != item[k - 1]), len(item)]
-    for k in sorted(gone):
-        if runs and runs[-1][1] == edges[k]:
-            runs[-1][1] = edges[k + 1]
-        else:
-            runs.append([edges[k], edges[k + 1], gone[k]])
-    runs = [r for r in runs if r[1] - r[0] >= span]
-    out, at = [], 0
-    for first, stop, _ in runs:
-        end = words[stop - 1][1]
-        after = words[stop][0] if stop < len(words) else len(raw)
-        out.append(raw[at : words[first][0]])
-        at = after if stop < len(words) and b"\n" not in raw[end:after] else end
-    return b"".join([*out, raw[at:]]).decode(), [c for *_, c in runs]
+def cut_units(texts: pa.Array, gone: list[list[dict] | None], span: int) -> Iterator[tuple[str, list[int]]]:
+    """Of each text what is left without those runs of the units in ``gone`` (item, cluster) that have ``span`` words, and
+    the first cluster of each run."""
+    _, item, row, _ = lsh.items_of(texts, "unit")
+    first_unit = np.searchsorted(row, np.arange(len(texts))).tolist()
+    first_word = np.searchsorted(item, np.arange(len(row) + 1))
+    _, starts, ends, raw, offsets = S.word_spans(texts)
+    for k, units in enumerate(gone):
+        begin, stop = int(offsets[k]), int(offsets[k + 1])
+        runs: list[list[int]] = []
+        for u in sorted(units or (), key=lambda x: x["item"]):
+            at = first_unit[k] + u["item"]
+            a, b = int(first_word[at]), int(first_word[at + 1])
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b, u["cluster"]])
+        runs = [r for r in runs if r[1] - r[0] >= span]
+        out, at = [], begin
+        for a, b, _ in runs:
+            end = int(ends[b - 1])
+            after = int(starts[b]) if b < len(starts) and starts[b] < stop else stop
+            out.append(raw[at : int(starts[a])])
+            at = after if after < stop and b"\n" not in raw[end:after] else end
+        yield b"".join([*out, raw[at:stop]]).decode(), [c for *_, c in runs]
 
 
 def remove_repeated_paragraphs(docs: DataFrame, width: int = 5, threshold: float = 0.8, min_words: int = 5, missed: float = 1e-4, missed_units: float = 1e-2, span: int = SPAN) -> DataFrame:
@@ -105,14 +109,21 @@ def remove_repeated_paragraphs(docs: DataFrame, width: int = 5, threshold: float
     gone = repeated_items(left.select("key", "body", "text"), "unit", width, threshold, width, bands, rows)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for chars, n, clusters, text, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
-                kept, more = cut_units(text, {x["item"]: x["cluster"] for x in items}, span) if items else (text, [])
-                named = sorted({*clusters, *more}) or None
-                out.append((chars - len(kept), n + len(more), named, hashlib.sha256(kept.encode()).hexdigest(), kept))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_paragraphs", "n_removed", "n_spans", "clusters", "kept_sha256", "kept_text"])
+        for whole in batches:
+            for at, rows in S.slices(whole.column(5)):
+                yield cut(whole.slice(at, rows))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, gone = batch.column(5), batch.column(6)
+        some = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+        done = dict(zip(some.tolist(), cut_units(texts.take(pa.array(some)), gone.take(pa.array(some)).to_pylist(), span), strict=True))
+        out = []
+        for k, (chars, n, clusters, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)):
+            kept, more = done.get(k, (text, []))
+            named = sorted({*clusters, *more}) or None
+            out.append((chars - len(kept), n + len(more), named, hashlib.sha256(kept.encode()).hexdigest(), kept))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_paragraphs", "n_removed", "n_spans", "clusters", "kept_sha256", "kept_text"])
 
     both = with_items(left, gone).select("key", "n_paragraphs", "n_chars", "n_lines", "clusters", "text", "items")
     return both.mapInArrow(units, f"doc_id {key}, n_paragraphs long, n_removed long, n_spans long, clusters array<long>, kept_sha256 string, kept_text string")

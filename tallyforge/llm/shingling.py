@@ -83,6 +83,18 @@ def word_hashes(texts: pa.Array, break_at: int | None = None):
     return hashes, rows, starts, ends, raw, offsets
 
 
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """(first word of each row and the end, start byte, end byte, bytes, offsets) of the words in the texts as they are."""
+    raw, offsets = buffers(texts)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = _IS_WORD[raw]
+    first = np.zeros(len(raw) + 2, bool)
+    first[offsets + 1] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | first[1:]))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | first[1:]))
+    return np.searchsorted(starts, offsets), starts, ends, raw.tobytes(), offsets
+
+
 def weights(width: int) -> np.ndarray:
     return mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 

@@ -146,31 +146,49 @@ def test_paragraphs(spark, docs):
 
 
 def test_passages_inside_lines(spark):
-    long = words(52, 50)
-    texts = [" ".join(words(60, 51) + long + words(70, 52)), " ".join(words(80, 53) + long + words(40, 54)), " ".join(words(30, 55) + long[:25]) + "\n" + " ".join(long[25:] + words(90, 56)), " ".join(words(200, 57))]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(words(100, 58))), (None, " ".join(words(120, 59))), (1, texts[1])]
+    long = words(120, 50)
+    texts = [" ".join(words(60, 51) + long + words(70, 52)), " ".join(words(80, 53) + long + words(40, 54)), " ".join(words(30, 55) + long[:60]) + "\n" + " ".join(long[60:] + words(90, 56)), " ".join(words(200, 57))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(words(100, 58))), (None, " ".join(words(120, 59))), (1, texts[1]), (3, " ".join(words(90, 60)))]
     got = paragraph_dedup.remove_repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     for r in got:
         kept = S.plain_words(r.kept_text)
         if r.doc_id in (1, 2):
             own = [w for w in S.plain_words(texts[r.doc_id]) if w.decode() not in long]
-            assert r.n_spans == 1 and [w for w in kept if w.decode() not in long] == own and len(S.plain_words(texts[r.doc_id])) - len(kept) >= paragraph_dedup.SPAN
+            assert r.n_spans == 1 and [w for w in kept if w.decode() not in long] == own and len(S.plain_words(texts[r.doc_id])) - len(kept) >= 90
         else:
             assert r.n_spans == r.n_removed == 0
 
 
-def test_passage_guarantee():
+def test_unit_borders_depend_on_the_words_near_them():
     r = random.Random(6)
-    weight = lambda ws: np.array([hash(w) & (1 << 63) - 1 for w in ws], np.uint64)
-    for _ in range(300):
-        n = paragraph_dedup.SPAN + 4 * paragraph_dedup.WINNOW - 2
-        common = [r.randrange(r.choice([2, 9, 999])) for _ in range(n)]
-        sides = []
+    for _ in range(200):
+        common = [r.randrange(999) for _ in range(60)]
+        inner = []
         for _ in range(2):
-            text = [r.randrange(999) for _ in range(r.randrange(40))] + common + [r.randrange(999) for _ in range(r.randrange(40))]
-            sides.append(set(paragraph_dedup.passage_keys(S.mix(weight(text)), np.zeros(len(text), np.int64), paragraph_dedup.SPAN)[2].tolist()))
-        assert sides[0] & sides[1]
+            before = [r.randrange(999) for _ in range(r.randrange(40))]
+            text = before + common + [r.randrange(999) for _ in range(r.randrange(40))]
+            words = S.mix(np.array([7, *text], np.uint64))  # a row of one word before
+            starts = lsh.unit_starts(words, np.array([0] + [1] * len(text))) - 1 - len(before)
+            inner.append([x for x in starts.tolist() if lsh.REACH <= x < len(common) - 1 - lsh.REACH])
+            assert (np.diff(np.sort(starts[starts > -len(before)])) > lsh.REACH).all()
+        assert inner[0] == inner[1]
+
+
+def test_forest_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    prune = lsh.pruner(0.8, 32, 1e-6)
+    for _ in range(40):
+        base = rng.integers(0, 60000, (4, 32)).astype(np.uint16)
+        sigs = base[rng.integers(0, 4, 30)]
+        sigs[rng.random(sigs.shape) < 0.25] = 1
+        starts = np.array([0, *sorted(rng.choice(np.arange(1, 30), 4, replace=False).tolist())])
+        left, right = lsh.forest(sigs, starts, prune)
+        for a, b in zip(starts.tolist(), [*starts.tolist()[1:], 30], strict=True):
+            x, y = np.triu_indices(b - a, 1)
+            good = prune(sigs[a:b], x, y)
+            mine = (left >= a) & (left < b)
+            assert sorted(lsh.stars(b - a, x[good], y[good])) == sorted(lsh.stars(b - a, left[mine] - a, right[mine] - a))
 
 
 def test_containment(spark, docs):
@@ -234,9 +252,23 @@ def test_vectors_of_several_lengths(spark):
         u = m / np.linalg.norm(m, axis=1)[:, None]
         near = u @ u.T >= 0.9
         assert near.sum() > len(m) and all(got[at + i].n_links == near[i].sum() - 1 for i in range(len(m)))
+        assert all(got[at + i].component_id == at + min(np.flatnonzero(near[i])) for i in range(len(m)))
     assert sorted(i for i in got if not got[i].kept) == [5, 6, 7, 8, 103, 104, 105]
 
 
+def test_vectors_of_any_magnitude_and_repeated_rows(spark):
+    rows = [(1, [1e200, 2e200, 0.0]), (2, [1e-200, 2.1e-200, 0.0]), (3, [3.0, 0.0, 4.0]), (3, [3.0, 0.0, 4.0]), (4, [3.0, 0.0, 4.0]), (None, [3.0, 0.0, 4.0]), (5, [float("inf"), 1.0, 1.0]), (6, [0.9, 0.0, 0.43588989]), (7, [1.0, 0.0, 0.0]), (8, [0.9, 0.0, -0.4358898943540674])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, node string, v int")
+    got = embed_dedup.near_vectors(df).collect()
+    assert len(got) == len(rows)
+    of = {r.vec_id: r for r in got}
+    x = {k: np.array(v) / np.abs(v).max() for k, v in rows if k is not None and k != 5}
+    for i, a in x.items():
+        want = sum(a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.9 for j, b in x.items() if j != i)
+        assert of[i].n_links == want, i
+    assert of[2].component_id == 1 and not of[4].kept and of[None].n_links == 0 and of[5].kept
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
