@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +39,16 @@ def compensated_sum_by(df: DataFrame, keys: list[str], value: str, order: str) -
 def poisson_cells(rate: Column) -> Column:
     """Probabilities of 0, 1, ... until they reach 1 - EPSILON, the crossing cell included; NULL for a rate <= 0.
 
-    Each cell follows from the one before, so large rates do not overflow.
+    Each cell follows from the logarithm of the one before, so large rates neither overflow nor vanish; cells below the
+    least double are 0.
     """
     most = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cells"))
+    start = F.struct((-rate).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cells"))
 
     def cell(acc: Column, k: Column) -> Column:
         go = acc["sum"] < 1 - EPSILON
-        return F.struct(F.when(go, acc["p"] * rate / (k + 1)).otherwise(acc["p"]).alias("p"), F.when(go, acc["sum"] + acc["p"]).otherwise(acc["sum"]).alias("sum"), F.when(go, F.concat(acc["cells"], F.array(acc["p"]))).otherwise(acc["cells"]).alias("cells"))
+        p = F.exp(acc["log"])
+        return F.struct((acc["log"] + F.log(rate / (k + 1))).alias("log"), F.when(go, acc["sum"] + p).otherwise(acc["sum"]).alias("sum"), F.when(go, F.concat(acc["cells"], F.array(p))).otherwise(acc["cells"]).alias("cells"))
 
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), most), start, cell, lambda acc: acc["cells"]))
 
@@ -75,10 +79,14 @@ class HeapPermutations:
 
 
 def permutations(spark: SparkSession, items: DataFrame, column: str) -> DataFrame:
-    function = F.udtf(HeapPermutations, returnType="position: int, arrangement: array<string>")
-    spark.udtf.register("heap_permutations", function)
-    items.createOrReplaceTempView("permuted_items")
-    return spark.sql(f"SELECT p.position, p.arrangement FROM permuted_items, LATERAL heap_permutations(permuted_items.{column}) p")
+    """(position, arrangement) for each array of a column."""
+    name = f"permuted_{uuid.uuid4().hex}"  # a name of its own, so that no view of the session is overwritten
+    spark.udtf.register(name, F.udtf(HeapPermutations, returnType="position: int, arrangement: array<string>"))
+    items.select(F.col(column).alias("items")).createOrReplaceTempView(name)
+    try:
+        return spark.sql(f"SELECT p.position, p.arrangement FROM {name} AS t, LATERAL {name}(t.items) p")
+    finally:
+        spark.catalog.dropTempView(name)
 
 
 def combinations_with_replacement(items: Column, k: int) -> Column:

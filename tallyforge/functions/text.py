@@ -26,4 +26,5 @@ def line_list(lines: Column) -> Column:
 
 def property_of(properties: Column, name: str) -> Column:
     """The value of a name in an array of (name, value); of repeated names, the last."""
-    return F.element_at(F.transform(F.filter(properties, lambda p: p["_name"] == name), lambda p: p["_value"]), -1)
+    values = F.transform(F.filter(properties, lambda p: p["_name"] == name), lambda p: p["_value"])
+    return F.when(F.size(values) > 0, F.element_at(values, -1))

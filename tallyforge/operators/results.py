@@ -64,6 +64,55 @@ def line_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.count("*").alias("lines_found"), F.count_if(R.is_hit(F.col("hits"))).alias("lines_hit"))
 
 
+def branch_counts(branches: DataFrame, keys: list[str]) -> DataFrame:
+    """BRF and BRH: branches found and branches taken."""
+    return branches.groupBy(*keys).agg(F.count("*").alias("branches_found"), F.count_if(R.is_hit(F.col("taken"))).alias("branches_hit"))
+
+
+def trace_totals(records: DataFrame) -> DataFrame:
+    """The four totals of each trace record, counted from its lines and branches."""
+    hit = lambda a, f: F.size(F.filter(a, lambda x: R.is_hit(x[f])))
+    return records.select("path", "file", F.size("lines").alias("lines_found"), hit("lines", "hits").alias("lines_hit"), F.size("branches").alias("branches_found"), hit("branches", "taken").alias("branches_hit"))
+
+
+def shared_lines_once(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line, hits) of several classes -> lines found and hit of each file; a line that classes share counts once
+    and is hit if any of them hits it."""
+    once = lines.groupBy(*keys, "line").agg(F.max("hits").alias("hits"))
+    return line_counts(once, keys)
+
+
+COVERED = ("statements", "conditionals", "methods")
+
+
+def statement_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of a file from its lines (count, truecount, falsecount): each line is a statement, each way of a condition
+    a conditional."""
+    ways = lambda *c: F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)) for x in c), F.lit(0))), F.lit(0))
+    return lines.groupBy(*keys).agg(
+        F.count("*").alias("statements"),
+        F.count_if(R.is_hit(F.col("count"))).alias("coveredstatements"),
+        ways(F.col("truecount"), F.col("falsecount")).alias("conditionals"),
+        ways(F.col("truecount")).alias("coveredconditionals"),
+    )
+
+
+def project_metrics(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Sums over the files, and their elements: statements, conditionals and methods together."""
+    sums = files.groupBy(*keys).agg(*[F.coalesce(F.sum(p + c), F.lit(0)).alias(p + c) for c in COVERED for p in ("", "covered")])
+    whole = lambda p: sum((F.col(p + c) for c in COVERED), F.lit(0))
+    return sums.withColumns({"elements": whole(""), "coveredelements": whole("covered")})
+
+
+def compiled_counts(listed: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value) of both -> keys, listed (non-blank lines), counted (the number on record), agrees. The number on
+    record stands; a list may be empty although a class was compiled."""
+    names = listed.groupBy(*keys).agg(F.count("*").alias("listed"))
+    numbers = counted.groupBy(*keys).agg(F.max(F.col("value").try_cast("bigint")).alias("counted"))
+    both = numbers.join(names, keys, "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+    return both.select(*keys, "listed", "counted", (F.col("listed") == F.col("counted")).alias("agrees"))
+
+
 def missing_reports(compiled: DataFrame, suites: DataFrame, keys: list[str]) -> DataFrame:
     """Compiled classes that no suite reports on."""
     return compiled.join(suites.select(*keys).distinct(), keys, "left_anti")

@@ -52,9 +52,13 @@ def number_cell(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0.0).otherwise(F.coalesce(text.try_cast("double"), F.lit(float("nan"))))
 
 
-def sort_by(df: DataFrame, column: str, position: str, descending: bool = False) -> DataFrame:
+def sort_order(column: str, position: str, descending: bool = False) -> list[Column]:
     """Stable: ties keep their original order in either direction."""
-    return df.orderBy(F.col(column).desc() if descending else F.col(column).asc(), F.col(position).asc())
+    return [F.col(column).desc() if descending else F.col(column).asc(), F.col(position).asc()]
+
+
+def sort_by(df: DataFrame, column: str, position: str, descending: bool = False) -> DataFrame:
+    return df.orderBy(*sort_order(column, position, descending))
 
 
 class SortState:
@@ -70,6 +74,11 @@ class SortState:
     def apply(self, df: DataFrame, position: str) -> DataFrame:
         return sort_by(df, self.columns[self.index].key, position, self.descending)
 
+    def positions(self, df: DataFrame, position: str, partition: list[str]) -> DataFrame:
+        """Adds ``position``: the place of each row, from 1, in this order within its partition."""
+        order = sort_order(self.columns[self.index].key, position, self.descending)
+        return df.withColumn("position", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+
 
 def with_neighbours(df: DataFrame, key: str, order: str, partition: list[str]) -> DataFrame:
     """Adds ``next_`` and ``previous_``: the neighbours of ``key`` in order, wrapping at both ends of a partition."""

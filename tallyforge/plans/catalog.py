@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import ratios as R
-from ..functions.text import line_list
+from ..functions.text import line_list, property_of
 from ..operators import results as O
 from ..operators import tables as T
 
@@ -41,7 +41,7 @@ def left_zero_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def no_report(spark: SparkSession, d: str) -> DataFrame:
-    return O.missing_reports(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return O.missing_reports(read(spark, d, "part").select("p_partkey"), read(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
 
 
 def _by_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -71,10 +71,10 @@ def regex_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sorted_positions(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), F.col("s_suppkey").asc())
-    return read(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.row_number().over(w).alias("position"))
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    state = T.SortState(T.columns_of(rows))
+    state.click(2)  # a number: descending at first
+    return state.positions(rows, "s_suppkey", ["s_nationkey"]).drop("s_acctbal")
 
 
 def next_prev_wrap(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def poisson_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def permutations(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey"))), lambda s: s["r_regionkey"].cast("string")).alias("items"))
-    return N.permutations(spark, items, "items").select(F.array_join("arrangement", ",").alias("arrangement"))
+    return N.permutations(spark, items, "items").select("position", F.array_join("arrangement", ",").alias("arrangement"))
 
 
 def combinations_repl(spark: SparkSession, d: str) -> DataFrame:
@@ -124,15 +124,65 @@ def type_cast_nan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prop_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.size("m").alias("n_props"))
+    pairs = F.transform(F.map_entries(F.from_json("props", "map<string,string>")), lambda e: F.struct(e["key"].alias("_name"), e["value"].alias("_value")))
+    return read(spark, d, "events").select("event_id", property_of(pairs, "k").alias("k"), property_of(pairs, "absent").alias("absent"))
+
+
+def branch_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_discount") > 0.05, F.col("l_linenumber")).otherwise(0).alias("taken"))
+    return O.branch_counts(rows, ["l_suppkey"])
+
+
+def shared_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("line"), F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("hits"))
+    return O.shared_lines_once(rows, ["l_partkey"])
+
+
+def _statement_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.floor("l_quantity").cast("bigint").alias("q"), "l_linenumber")
+    condition = F.col("l_returnflag") != "N"
+    lines = rows.select("l_suppkey", (F.col("q") % 7).alias("count"), F.when(condition, F.col("q") % 3).alias("truecount"), F.when(condition, F.lit(2) - F.col("q") % 3).alias("falsecount"))
+    return O.statement_metrics(lines, ["l_suppkey"])
+
+
+def file_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _statement_files(spark, d)
+
+
+def all_metrics(spark: SparkSession, d: str) -> DataFrame:
+    files = _statement_files(spark, d).withColumns({"methods": F.lit(1).cast("bigint"), "coveredmethods": F.when(F.col("coveredstatements") > 0, 1).otherwise(0).cast("bigint")})
+    return O.project_metrics(files)
+
+
+def file_rollup(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    name = F.split("p_name", " ")
+    counts = {f"{m}_{s}": F.pmod(F.col("p_size") * (i + 1) + F.col("p_partkey"), F.lit(k)).cast("int") for i, m in enumerate(O.MEASURES) for s, k in (("MISSED", 5), ("COVERED", 11))}
+    classes = part.select(F.lower(F.regexp_replace("p_type", " ", ".")).alias("PACKAGE"), F.concat(name[0], F.lit("."), F.col("p_partkey").cast("string")).alias("CLASS"), *[c.alias(k) for k, c in counts.items()])
+    return O.classes_to_files(classes).select("File", "LINE_MISSED", "LINE_COVERED", "BRANCH_MISSED", "BRANCH_COVERED")
+
+
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "P", "errored").when(F.col("o_totalprice") > 300000, "failed").when(F.col("o_totalprice") < 20000, "skipped").otherwise("passed")
+    cases = read(spark, d, "orders").select("o_custkey", "o_orderpriority", status.alias("status"), F.lit(0.0).alias("time"))
+    suites = O.suite_counts(cases, ["o_orderpriority", "o_custkey"])
+    return O.with_rates(O.run_counts(suites, ["o_orderpriority"]))
+
+
+def compiled_counts(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").cast("string").alias("value"))
+    counted = read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 12).cast("string").alias("value"))
+    return O.compiled_counts(orders, counted, ["c_custkey"])
+
 
+FILES = "SELECT l_suppkey, count(*) AS statements, count(*) FILTER (CAST(floor(l_quantity) AS BIGINT) % 7 > 0) AS coveredstatements, CAST(coalesce(sum(CASE WHEN l_returnflag <> 'N' THEN 2 ELSE 0 END), 0) AS BIGINT) AS conditionals, CAST(coalesce(sum(CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity) AS BIGINT) % 3 ELSE 0 END), 0) AS BIGINT) AS coveredconditionals FROM lineitem GROUP BY 1"
 
 ALL: dict[str, tuple[Query, str | None]] = {
     "outcome_rate": (outcome_rate, "SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS passed, coalesce(count(*) FILTER (value > 50) / nullif(count(*), 0), 0.0) AS pass_rate FROM events GROUP BY event_type"),
     "funnel": (funnel, "SELECT o_orderpriority, count(*) AS generated, count(*) FILTER (o_orderstatus <> 'P') AS syntax_ok, count(*) FILTER (o_orderstatus = 'F') AS compiled, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS syntax_rate, count(*) FILTER (o_orderstatus = 'F') / count(*) AS compile_rate FROM orders GROUP BY o_orderpriority"),
     "rollup_total": (rollup_total, "WITH g AS (SELECT l_returnflag AS \"File\", count(*) FILTER (l_discount > 0.05) AS covered, count(*) AS total FROM lineitem GROUP BY 1) SELECT \"File\", covered, total, round(100.0 * covered / total, 2) AS covered_pct FROM g UNION ALL SELECT 'Total', CAST(sum(covered) AS BIGINT), CAST(sum(total) AS BIGINT), round(100.0 * sum(covered) / sum(total), 6) FROM g"),
     "left_zero_fill": (left_zero_fill, "SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey"),
-    "no_report": (no_report, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "no_report": (no_report, "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)"),
     "pct_round2": (pct_round2, "SELECT o_orderpriority, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS pct, CAST(0 AS DOUBLE) AS pct_of_none FROM orders GROUP BY 1"),
     "pct_floor2": (pct_floor2, "SELECT o_orderpriority, floor(count(*) FILTER (o_orderstatus = 'F') * 10000 / count(*)) / 100 AS pct, CAST(100 AS DOUBLE) AS pct_of_none, 'Unknown%' AS overall FROM orders GROUP BY 1"),
     "coverage_class": (coverage_class, "SELECT event_type, CASE WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS class FROM (SELECT event_type, 100.0 * count(*) FILTER (value > 20) / count(*) AS p FROM events GROUP BY 1)"),
@@ -145,10 +195,17 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "hit_counts": (hit_counts, "SELECT l_suppkey, count(*) AS lines_found, count(*) FILTER (l_quantity > 10) AS lines_hit FROM lineitem GROUP BY 1"),
     "kahan": (kahan, "SELECT o_custkey, round(fsum(o_totalprice), 2) AS total, round(fsum(o_totalprice) / count(*), 6) AS mean FROM orders GROUP BY 1"),
     "poisson_cells": (poisson_cells, "WITH RECURSIVE c AS (SELECT r_regionkey, r_regionkey + 1.0::DOUBLE AS l, 0 AS k, exp(-(r_regionkey + 1.0::DOUBLE)) AS p, exp(-(r_regionkey + 1.0::DOUBLE)) AS s FROM region UNION ALL SELECT r_regionkey, l, k + 1, p * l / (k + 1), s + p * l / (k + 1) FROM c WHERE s < 0.9999) SELECT r_regionkey, k, round(p, 9) AS p FROM c"),
-    "permutations": (permutations, "WITH RECURSIVE p AS (SELECT [CAST(r_regionkey AS VARCHAR)] AS a FROM region UNION ALL SELECT list_append(a, CAST(r_regionkey AS VARCHAR)) FROM p JOIN region ON NOT list_contains(a, CAST(r_regionkey AS VARCHAR))) SELECT array_to_string(a, ',') AS arrangement FROM p WHERE len(a) = (SELECT count(*) FROM region)"),
+    "permutations": (permutations, "WITH RECURSIVE n AS (SELECT count(*) AS n FROM region), s AS (SELECT (SELECT list(CAST(r_regionkey AS VARCHAR) ORDER BY r_regionkey) FROM region) AS a, list_transform(range(n), lambda x: 0) AS c, 1 AS i, 0 AS position, true AS shown, n FROM n UNION ALL SELECT CASE WHEN c[i + 1] < i THEN list_transform(a, lambda x, k: CASE WHEN k = i + 1 THEN a[CASE WHEN i % 2 = 0 THEN 1 ELSE c[i + 1] + 1 END] WHEN k = CASE WHEN i % 2 = 0 THEN 1 ELSE c[i + 1] + 1 END THEN a[i + 1] ELSE x END) ELSE a END, CASE WHEN c[i + 1] < i THEN list_transform(c, lambda x, k: CASE WHEN k = i + 1 THEN x + 1 ELSE x END) ELSE list_transform(c, lambda x, k: CASE WHEN k = i + 1 THEN 0 ELSE x END) END, CASE WHEN c[i + 1] < i THEN 1 ELSE i + 1 END, CASE WHEN c[i + 1] < i THEN position + 1 ELSE position END, c[i + 1] < i, n FROM s WHERE i < n) SELECT position, array_to_string(a, ',') AS arrangement FROM s WHERE shown"),
     "combinations_repl": (combinations_repl, "SELECT CAST(row_number() OVER (ORDER BY a.r_regionkey, b.r_regionkey) - 1 AS INTEGER) AS position, a.r_name AS first, b.r_name AS second FROM region a JOIN region b ON a.r_regionkey <= b.r_regionkey"),
     "type_cast_nan": (type_cast_nan, "SELECT o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS number, max(CASE WHEN try_cast(o_orderpriority AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS is_nan FROM orders GROUP BY o_orderpriority"),
-    "prop_lookup": (prop_lookup, "SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_props FROM events"),
+    "prop_lookup": (prop_lookup, "SELECT event_id, props->>'$.k' AS k, props->>'$.absent' AS absent FROM events"),
+    "branch_totals": (branch_totals, "SELECT l_suppkey, count(*) AS branches_found, count(*) FILTER (l_discount > 0.05 AND l_linenumber > 0) AS branches_hit FROM lineitem GROUP BY 1"),
+    "shared_lines": (shared_lines, "SELECT l_partkey, count(DISTINCT l_linenumber) AS lines_found, count(DISTINCT l_linenumber) FILTER (l_quantity > 25) AS lines_hit FROM lineitem GROUP BY 1"),
+    "file_metrics": (file_metrics, f"SELECT * FROM ({FILES})"),
+    "all_metrics": (all_metrics, f"SELECT *, statements + conditionals + methods AS elements, coveredstatements + coveredconditionals + coveredmethods AS coveredelements FROM (SELECT CAST(sum(statements) AS BIGINT) AS statements, CAST(sum(coveredstatements) AS BIGINT) AS coveredstatements, CAST(sum(conditionals) AS BIGINT) AS conditionals, CAST(sum(coveredconditionals) AS BIGINT) AS coveredconditionals, count(*) AS methods, count(*) FILTER (coveredstatements > 0) AS coveredmethods FROM ({FILES}))"),
+    "file_rollup": (file_rollup, "SELECT replace(lower(p_type), ' ', '/') || '/' || split_part(p_name, ' ', 1) || '.java' AS \"File\", CAST(sum((p_size * 3 + p_partkey) % 5) AS BIGINT) AS \"LINE_MISSED\", CAST(sum((p_size * 3 + p_partkey) % 11) AS BIGINT) AS \"LINE_COVERED\", CAST(sum((p_size * 2 + p_partkey) % 5) AS BIGINT) AS \"BRANCH_MISSED\", CAST(sum((p_size * 2 + p_partkey) % 11) AS BIGINT) AS \"BRANCH_COVERED\" FROM part GROUP BY 1"),
+    "run_totals": (run_totals, "WITH s AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'errored' WHEN o_totalprice > 300000 THEN 'failed' WHEN o_totalprice < 20000 THEN 'skipped' ELSE 'passed' END AS st FROM orders) SELECT o_orderpriority, count(*) AS tests, count(*) FILTER (st = 'failed') AS failures, count(*) FILTER (st = 'errored') AS errors, count(*) FILTER (st = 'skipped') AS skipped, count(*) FILTER (st = 'passed') AS passed, count(*) FILTER (st <> 'skipped') AS total, coalesce(count(*) FILTER (st = 'passed') / nullif(count(*) FILTER (st <> 'skipped'), 0), 0.0) AS pass_rate FROM s GROUP BY 1"),
+    "compiled_counts": (compiled_counts, "SELECT c_custkey, coalesce(n, 0) AS listed, CAST(c_custkey % 12 AS BIGINT) AS counted, coalesce(n, 0) = c_custkey % 12 AS agrees FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey"),
 }
 
 

@@ -80,9 +80,9 @@ def lcov(spark: SparkSession, path: str) -> DataFrame:
     text = lambda pattern, i: F.regexp_extract_all("value", F.lit(pattern), F.lit(i))
     one = lambda tag: F.regexp_extract("value", rf"(?m)^{tag}:(\d+)", 1).try_cast("int").alias(tag.lower())
     da, brda, fn, fnda = r"(?m)^DA:(\d+),(\d+)", r"(?m)^BRDA:(\d+),(\d+),(\d+),(\d+|-)", r"(?m)^FN:(\d+),(.+)$", r"(?m)^FNDA:(\d+),(.+)$"
-    hits = F.map_from_arrays(text(fnda, 2), ints(fnda, 1))
-    rows = rows.withColumn("hits_", hits)
-    functions = F.transform(F.arrays_zip(ints(fn, 1).alias("line"), text(fn, 2).alias("name")), lambda f: F.struct(f["line"].cast("int").alias("line"), f["name"].alias("name"), F.col("hits_")[f["name"]].alias("hits")))
+    rows = rows.withColumn("hits_", F.arrays_zip(text(fnda, 2).alias("name"), ints(fnda, 1).alias("hits")))
+    last = lambda name: F.try_element_at(F.filter("hits_", lambda h: h["name"] == name), F.lit(-1))["hits"]  # noqa: E731  of repeated names the last counts
+    functions = F.transform(F.arrays_zip(ints(fn, 1).alias("line"), text(fn, 2).alias("name")), lambda f: F.struct(f["line"].cast("int").alias("line"), f["name"].alias("name"), last(f["name"]).alias("hits")))
     branches = F.transform(F.arrays_zip(ints(brda, 1).alias("line"), ints(brda, 2).alias("block"), ints(brda, 3).alias("branch"), text(brda, 4).alias("taken")), lambda b: F.struct(b["line"].alias("line"), b["block"].alias("block"), b["branch"].alias("branch"), F.coalesce(b["taken"].try_cast("bigint"), F.lit(0)).alias("taken")))
     return rows.select(
         "path", F.regexp_extract("value", r"(?m)^SF:(.+)$", 1).alias("file"), functions.alias("functions"), F.arrays_zip(ints(da, 1).alias("line"), ints(da, 2).alias("hits")).alias("lines"), branches.alias("branches"),
@@ -94,9 +94,21 @@ def clover(spark: SparkSession, path: str) -> DataFrame:
     return with_path(spark.read.format("xml").option("rowTag", "file").schema(CLOVER_FILE).load(path))
 
 
+def clover_lines(files: DataFrame) -> DataFrame:
+    """A row for each line of each file; files without lines have none."""
+    rows = files.select("path", F.col("_name").alias("file"), F.explode("line").alias("l"))
+    return rows.select("path", "file", F.col("l._num").alias("line"), F.col("l._type").alias("type"), F.col("l._count").alias("count"), F.col("l._truecount").alias("truecount"), F.col("l._falsecount").alias("falsecount"))
+
+
+def clover_metrics(files: DataFrame) -> DataFrame:
+    """The metrics of each file as recorded."""
+    names = [p + c for c in ("statements", "conditionals", "methods") for p in ("", "covered")]
+    return files.select("path", F.col("_name").alias("file"), *[F.col(f"metrics._{n}").alias(n) for n in names])
+
+
 def console_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a pipe-separated console table: file and its four percentages, and uncovered lines as text."""
-    cells = F.transform(F.split("value", r"\|"), F.trim)
+    cells = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
     rows = with_path(spark.read.text(path)).where(F.size(F.split("value", r"\|")) == 6).withColumn("c", cells).where("try_cast(c[1] AS double) IS NOT NULL")
     names = ["pct_stmts", "pct_branch", "pct_funcs", "pct_lines"]
     return rows.select("path", F.col("c")[0].alias("file"), *[F.col("c")[i + 1].try_cast("double").alias(n) for i, n in enumerate(names)], F.col("c")[5].alias("uncovered"))
@@ -104,7 +116,7 @@ def console_table(spark: SparkSession, path: str) -> DataFrame:
 
 def function_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks headed by file and function labels (in Chinese) with hit and total lines and branches."""
-    text = with_path(spark.read.option("wholetext", True).text(path))
+    text = with_path(spark.read.text(path, wholetext=True))
     block = r"文件[::]\s*(.+?)\s*\n\s*函数[::]\s*(.+?)\s*\n\D*?行覆盖率[^\n]*?(\d+)\s*/\s*(\d+)[^\n]*\n\D*?分支覆盖率[^\n]*?(\d+)\s*/\s*(\d+)"
     got = lambda i: F.regexp_extract_all("value", F.lit(block), F.lit(i))
     names = ["file", "function", "lines_hit", "lines_total", "branches_hit", "branches_total"]
@@ -114,7 +126,7 @@ def function_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def html_table(spark: SparkSession, path: str) -> DataFrame:
     """Cells of summary tables: (path, row, col, value, number); numeric columns are cast, bad text is NaN."""
-    text = with_path(spark.read.option("wholetext", True).text(path))
+    text = with_path(spark.read.text(path, wholetext=True))
     heads = F.transform(F.regexp_extract_all("value", F.lit(r"<th[^>]*data-col=\"([^\"]*)\"([^>]*)>"), F.lit(1)), lambda x: x)
     kinds = F.transform(F.regexp_extract_all("value", F.lit(r"<th[^>]*data-col=\"([^\"]*)\"([^>]*)>"), F.lit(2)), lambda x: x.contains('data-type="number"'))
     rows = text.select("path", heads.alias("heads"), kinds.alias("kinds"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<tr>(\s*<td.*?)</tr>"), F.lit(1))).alias("row", "html"))
