@@ -241,3 +241,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     found = able.join(named, "v").select("vec_id", "n_links", "component_id")
     alone = packed.where("v IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).select(F.col("vec_id").alias(key), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same in DuckDB: unit vectors, all pairs of equal length, and components by the least reachable id.
+ORACLE = """
+WITH RECURSIVE able AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+u AS (SELECT DISTINCT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM able WHERE list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS v, vec_id AS r FROM u UNION SELECT l.a, r.r FROM reach r JOIN links l ON l.b = r.v),
+least AS (SELECT v, min(r) AS c FROM reach GROUP BY v),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.c, e.vec_id) AS component_id, coalesce(l.c, e.vec_id) IS NOT DISTINCT FROM e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.v = e.vec_id
+"""

@@ -68,3 +68,17 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, sk
     once = both.where("times = 1").select(names)
     often = both.where("times > 1").select(*names, "body").dropDuplicates([key, "body"]).select(names)
     return rows.where(~has_word(text)).unionByName(once).unionByName(often).toDF(*docs.columns)
+
+
+#: The same in DuckDB, for ids that are not null and not repeated: shingles as strings, all pairs that share one.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT l.a, r.r FROM reach r JOIN links l ON l.b = r.v),
+least AS (SELECT v, min(r) AS c FROM reach GROUP BY v),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, c AS class_id, coalesce(n, 0) AS n_links, c = doc_id AS kept FROM least JOIN d ON v = doc_id LEFT JOIN degree ON a = doc_id
+"""

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE}
+    return {"op3_decontamination": decontaminate.ORACLE, "op4_embedding_dedup": embed_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

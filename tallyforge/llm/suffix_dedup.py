@@ -412,3 +412,19 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
 
     joined = docs.join(told.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")), "left").select("doc_id", "text", "keys", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The same in DuckDB, for ids that are not repeated: bytes as pairs of hexadecimal digits, and the covered ones as runs.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, j, substr(h, 2000 * j + 1, 2098) AS p FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 950) // 1000)) AS j FROM d)),
+w AS (SELECT doc_id, 1000 * j + i AS i, hash(substr(p, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, j, p, unnest(range(0, least(1000, len(p) // 2 - 49))) AS i FROM p)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+hit AS (SELECT w.doc_id, i FROM w JOIN f USING (k) WHERE w.doc_id > f.first),
+edge AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM edge),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM span GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(h) // 2 AS n, coalesce(len(a), 0) AS spans, CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * b[j] + 1 END, CASE WHEN j = len(a) THEN len(h) ELSE 2 * (a[j + 1] - CASE WHEN j = 0 THEN 0 ELSE b[j] END) END)), '') END AS k FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - len(k) // 2 AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept
+"""
