@@ -39,6 +39,7 @@ def repeated_items(docs: DataFrame, mode: str, width: int, threshold: float, min
     items, mine, nodes = lsh.near_classes(docs, mode=mode, width=width, threshold=threshold, bands=bands, rows=rows, min_words=min_words, sketch=SKETCH, prune=lsh.pruner(threshold, SKETCH, tolerance))
     many = nodes.where("copies > 1 OR n_links > 0")
     first = many.groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("rep.key").isNotNull(), F.col("rep"))), F.min("rep")).alias("keeper"))
+    first = materialize(first, "first")  # a table of its own, so that a join with a class of very many nodes may be split
     named = materialize(many.join(first, "cls").select("node", "cls", "keeper"), "named")
     at = F.struct("key", "body", "item")
     gone = mine.join(named.hint("merge"), "node").where(~at.eqNullSafe(F.col("keeper"))).select("key", "body", F.struct("item", F.col("cls").alias("cluster")).alias("gone"))
