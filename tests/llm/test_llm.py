@@ -427,3 +427,17 @@ def test_empty_tables(spark):
 def test_bands():
     bands, rows = lsh.tune_bands(0.8, 1e-6, most=208)
     assert (1 - 0.8**rows) ** bands <= 1e-6 and bands * rows <= 208
+
+
+def test_toxicity_dense_beginnings():
+    """Words with one beginning and many endings mark a text only where they come back."""
+    rng = np.random.default_rng(4)
+    plain = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(list("abcdefgh"), n), rng.integers(10000, 99999, n), strict=True)]
+    clean = [" ".join([*plain(100), *(["zorgmuk%d" % i] if i % 4 == 0 else [])]) for i in range(300)]
+    bad = [" ".join([*plain(100), *(f"zorgmuk{x}" for x in rng.integers(1000, 9999, 5))]) for _ in range(60)]
+    model = toxicity.fit(clean[:200] + bad[:40], np.array([0] * 200 + [1] * 40))
+    assert not len(model.lexicon) and all(len(model.dense[k]) for k in toxicity.STEMS)
+    score = toxicity.score_texts(pa.array(clean[200:] + bad[40:], pa.large_string()), model)
+    assert (score[:100] < 0.3).all() and (score[100:] >= 0.3).all()
+    values, rows = toxicity.dense_pairs(np.array([5, 5, 5, 7, 7], np.uint64), np.array([0, 0, 1, 1, 1]), np.array([100, 1000]))
+    assert list(zip(values.tolist(), rows.tolist(), strict=True)) == [(5, 0)]  # two of 1000 words are too few
