@@ -6,7 +6,9 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    marks, so two documents can share a window only if they share its mark. Consecutive windows with the same mark are
    one run; marks go, packed by bucket, to where it shows which of them several texts have.
 2. The runs with such marks are cut out as pieces (the run's windows and the bytes they reach over) and meet by mark.
-   Of equal pieces only the smallest document's stays; in the others the whole run goes.
+   Of equal pieces only the smallest document's stays; in the others the whole run goes. Pieces of a mark that very
+   many texts have are first dealt by their own hash too, which settles equal ones; the distinct ones that are left are
+   cut into runs of windows whose hashes fall into the same part, and dealt by mark and part.
 3. Windows of the distinct pieces whose hash no second document has are cut off, equal ranges of the rest are treated
    like equal pieces, and the cut is repeated on the distinct ranges. What is left is concatenated and suffix-sorted by
    grouping: ``suffix_array`` groups suffixes by Lyndon prefix from the highest group down, finding for each suffix the
@@ -23,6 +25,7 @@ doc_id take no part and keep all. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from .shingling import buffers, mix, powers, slices, weights
 GRAM = 20
 #: Bytes of pieces that are settled at once, unless a single mark has more.
 BLOCK = 1 << 18
+#: Pieces of one mark that a task gets; marks with more are dealt over several parts.
+HOT = 10_000
 #: Bytes of text that are marked at once.
 SLICE = 1 << 18
 
@@ -153,8 +158,8 @@ def text_key(text: str | None) -> int:
     return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def shared_marks(docs: DataFrame, length: int) -> DataFrame:
-    """(key, mark) of the texts, by their key, for marks that several texts have."""
+def shared_marks(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """(key, mark, split) of the texts, by their key, for marks that several texts have, with the parts a mark is dealt over."""
     buckets = parts(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +202,27 @@ def shared_marks(docs: DataFrame, length: int) -> DataFrame:
             mark, key = mark[order], key[order]
             begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
             several = np.minimum.reduceat(key, begin) != np.maximum.reduceat(key, begin)
-            keep = np.repeat(several, np.diff(np.append(begin, len(mark))))
+            many = np.diff(np.append(begin, len(mark)))  # all of a mark's, since they meet in one bucket
+            keep, split = np.repeat(several, many), np.repeat(1 + many // hot, many)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(mark[keep].astype(np.int64))], names=["key", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(mark[keep].astype(np.int64)), pa.array(split[keep].astype(np.int32))], names=["key", "mark", "split"])
 
     sent = docs.select("text").mapInArrow(send, "bucket int, marks binary, local binary, names binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, mark long").distinct()
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, mark long, split int").distinct()
+
+
+def window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw)), out=prefix[1:])
+    return mix((prefix[at + length] - prefix[at]) * powers(len(raw) + 1, inverse=True)[at])
+
+
+def runs_of_parts(piece: bytes, length: int, split: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, start, bytes) of the runs of windows of a piece whose hashes fall into one part."""
+    part = window_hashes(np.frombuffer(piece, np.uint8), np.arange(len(piece) - length + 1), length) % np.uint64(split)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(part)).tolist(), strict=True):
+        yield int(part[a]), a, piece[a : b + length - 1]
 
 
 def contested(pieces: list[bytes], owners: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,10 +232,8 @@ def contested(pieces: list[bytes], owners: list[int], length: int) -> tuple[np.n
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     piece = np.repeat(np.arange(len(pieces)), sizes)
     m = len(raw) - length + 1
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw)), out=prefix[1:])
     at = np.flatnonzero(piece[:m] == piece[length - 1 :])
-    code = mix((prefix[at + length] - prefix[at]) * powers(len(raw) + 1, inverse=True)[at])
+    code = window_hashes(raw, at, length)
     of = piece[at]
     order = np.argsort(code)
     own = np.array(owners, np.int64)[of[order]]
@@ -262,16 +280,16 @@ def in_order(pieces: list[bytes], owners: list[int], length: int) -> Iterator[tu
     yield from close()
 
 
-def resolve(marks: list[int], pieces: list[bytes], owners: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+def resolve(marks: list[tuple[int, int]], pieces: list[bytes], owners: list[int], length: int) -> Iterator[tuple[int, int, int]]:
     """(piece, first window's start in it, number of windows) of windows that also start in a piece of a smaller owner.
 
     Windows that no second owner can have are cut off first, by their hashes. Of equal ranges among the rest the
     smallest owner's stays for the suffix sort; in the others all windows go, as with equal pieces."""
-    at: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    at: dict[tuple[tuple[int, int], bytes], list[tuple[int, int]]] = {}
     for p, a, c in zip(*(x.tolist() for x in contested(pieces, owners, length)), strict=True):
         at.setdefault((marks[p], pieces[p][a : a + c + length - 1]), []).append((p, a))
-    tally: dict[int, int] = {}
-    ranges: list[tuple[int, bytes, int, list[tuple[int, int]]]] = []
+    tally: dict[tuple[int, int], int] = {}
+    ranges: list[tuple[tuple[int, int], bytes, int, list[tuple[int, int]]]] = []
     for (mark, body), places in at.items():
         least = min(owners[p] for p, _ in places)
         tally[mark] = tally.get(mark, 0) + 1
@@ -287,8 +305,14 @@ def resolve(marks: list[int], pieces: list[bytes], owners: list[int], length: in
         yield from ((p, a + begin + i, 1) for p, a in ranges[r][3])
 
 
-def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, start, end): byte ranges that go, of the documents that are the first of their text."""
+#: Columns of pieces as they are dealt, and of what settling them gives.
+SENT = ["mark", "part", "piece", "doc_id", "start", "split"]
+TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+KEPT = {"doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "mark": pa.int64(), "piece": pa.binary(), "split": pa.int32()}
+
+
+def repeated_ranges(docs: DataFrame, length: int = 50, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, start, end): byte ranges that go, of the documents that are the first of their text; and these documents."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,8 +320,8 @@ def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
 
     keyed = docs.select("doc_id", "text").mapInArrow(name, "doc_id long, key long")
     first = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    marks = materialize(shared_marks(docs, length), "marks")
-    wanted = marks.groupBy("key").agg(F.collect_list("mark").alias("marks")).join(first, "key").select(F.col("doc_id").alias("id_"), "key", "marks")
+    marks = materialize(shared_marks(docs, length, hot), "marks")
+    wanted = marks.groupBy("key").agg(F.collect_list(F.struct("mark", "split")).alias("marks")).join(first, "key").select(F.col("doc_id").alias("id_"), "key", "marks")
     wanted = materialize(wanted, "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,29 +333,43 @@ def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
                 names = np.array([text_key(x) for x in part.column(1).to_pylist()], np.int64)
                 lists = part.column(3)
                 own = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-                values = lists.flatten().to_numpy().astype(np.uint64)
+                values, splits = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                wanted_ = mix(values.astype(np.uint64)) + own.astype(np.uint64)
+                order = np.argsort(wanted_)
+                asked = mix(marks) + rows.astype(np.uint64)
+                found = order[np.minimum(np.searchsorted(wanted_, asked, sorter=order), len(order) - 1)] if len(order) else np.zeros(len(asked), np.int64)
                 right = names == part.column(2).to_numpy()
-                keep = np.isin(mix(marks) + rows.astype(np.uint64), mix(values) + own.astype(np.uint64)) & right[rows] if len(rows) else np.zeros(0, bool)
+                keep = (wanted_[found] == asked) & right[rows] if len(rows) and len(order) else np.zeros(len(rows), bool)
+                split = splits[found[keep]]
                 at_, rows_, count_ = starts[keep], rows[keep], count[keep]
                 body = raw.tobytes()
                 pieces = [body[a : a + c + length - 1] for a, c in zip(at_.tolist(), count_.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(marks[keep].astype(np.int64)), pa.array(pieces, pa.binary()), part.column(0).take(pa.array(rows_)), pa.array(at_ - offsets[rows_])], names=["mark", "piece", "doc_id", "start"])
+                dealt_to = [0 if k == 1 else zlib.crc32(x) % k for x, k in zip(pieces, split.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(marks[keep].astype(np.int64)), pa.array(dealt_to, pa.int32()), pa.array(pieces, pa.binary()), part.column(0).take(pa.array(rows_)), pa.array(at_ - offsets[rows_]), pa.array(split, pa.int32())], names=SENT)
 
     source = docs.select("doc_id", "text")
     held = source.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_"))).select("doc_id", "text", "key", "marks")
-    pieces = held.mapInArrow(cut, "mark long, piece binary, doc_id long, start long")
-    dealt = pieces.repartition(parts(docs.sparkSession), "mark").sortWithinPartitions("mark", "piece", "doc_id", "start")
+    def deal(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition(parts(docs.sparkSession), "mark", "part").sortWithinPartitions("mark", "part", "piece", "doc_id", "start")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = []
+                for mark, piece, doc, start, split in zip(*(batch.column(k).slice(at, 1000).to_pylist() for k in range(5)), strict=True):
+                    # a piece has up to length - GRAM + 1 windows, so that many times the parts keep a part's size
+                    rows += [(mark, part, x, doc, start + a, 1) for part, a, x in runs_of_parts(piece, length, split * (length - GRAM + 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=SENT)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple[int, bytes, int, int]] = []  # mark, piece, doc, start: the first of each distinct piece
-        out: tuple[list, list, list] = ([], [], [])
+        """Ranges that go; and, with their mark and bytes, the distinct pieces of marks that are dealt over parts."""
+        block: list[tuple[tuple[int, int], bytes, int, int]] = []  # mark and part, piece, doc, start: the first of each distinct piece
+        out: list[tuple] = []
         mark = piece = owner = None
         bytes_held = 0
 
         def put(doc: int, a: int, b: int) -> None:
-            out[0].append(doc)
-            out[1].append(a)
-            out[2].append(b)
+            out.append((doc, a, b, None, None, None))
 
         def flush() -> None:
             nonlocal bytes_held
@@ -351,33 +389,43 @@ def repeated_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
             block.clear()
             bytes_held = 0
 
+        def rows() -> pa.RecordBatch:
+            cols = zip(*out, strict=True) if out else [()] * 6
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KEPT.values(), strict=True)], names=list(KEPT))
+            out.clear()
+            return batch
+
         for batch in batches:
-            for m, p, doc, start in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if m == mark and p == piece:
-                    if doc != owner:
-                        put(doc, start, start + len(p))
-                    else:
-                        block.append((m, p, doc, start))  # again in the same document
+            for m, part, p, doc, start, split in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (m, part) == mark and p == piece and doc != owner:
+                    put(doc, start, start + len(p))
                     continue
-                if m != mark and bytes_held > BLOCK:
+                if (m, part) != mark and bytes_held > BLOCK:
                     flush()
-                mark, piece, owner = m, p, doc
-                block.append((m, p, doc, start))
-                bytes_held += len(p) + 1
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "end"])
-                out = [], [], []
+                if (m, part) != mark or p != piece:
+                    mark, piece, owner = (m, part), p, doc
+                if split > 1:
+                    out.append((doc, start, None, m, p, split))
+                else:  # once more where it is again in the same document
+                    block.append((mark, p, doc, start))
+                    bytes_held += len(p) + 1
+            yield rows()
         flush()
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "end"])
+        yield rows()
 
-    return dealt.mapInArrow(settle, "doc_id long, start long, end long"), first
+    schema = "mark long, part int, piece binary, doc_id long, start long, split int"
+    told = "doc_id long, start long, end long, mark long, piece binary, split int"
+    first_told = materialize(deal(held.mapInArrow(cut, schema)).mapInArrow(settle, told), "settled")
+    left = first_told.where("piece IS NOT NULL").select("mark", "piece", "doc_id", "start", "split")
+    rest = deal(left.mapInArrow(spread, schema)).mapInArrow(settle, told)
+    ranges = first_told.where("piece IS NULL").unionByName(rest).select("doc_id", "start", "end")
+    return ranges, first
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges, first = repeated_ranges(docs.where("doc_id IS NOT NULL"), length)
+    ranges, first = repeated_ranges(docs.where("doc_id IS NOT NULL"), length, hot)
     per_doc = ranges.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     firsts = first.select(F.col("doc_id").alias("id_"), "key").groupBy("id_").agg(F.collect_set("key").alias("keys"))
     told = materialize(firsts.join(per_doc.withColumnRenamed("id_", "range_id"), F.col("id_").eqNullSafe(F.col("range_id")), "left").select("id_", "keys", "ranges"), "ranges")

@@ -101,10 +101,16 @@ def test_resolve_equals_brute_force():
         assert got == want
 
 
-def test_suffix_dedup(spark, docs):
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeated_bytes(docs).toPandas().itertuples()}
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup(spark, docs, hot):
+    """Also with all marks dealt over parts, as those are that many texts have."""
+    rng = np.random.default_rng(8)
+    line = "a line that stands in many texts, each time between other words"
+    more = [(5000 + i, " ".join([*words(3, int(rng.integers(6))), line, *words(3, int(rng.integers(6)))])) for i in range(60)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeated_bytes(docs, hot=hot).toPandas().itertuples()}
     first = {}
-    rows = sorted([r for r in fixture() if r[0] is not None], key=lambda r: r[0])
+    rows = sorted([*(r for r in fixture() if r[0] is not None), *more], key=lambda r: r[0])
     for i, t, *_ in rows:
         b = (t or "").encode()
         for k in range(len(b) - 49):
@@ -117,6 +123,7 @@ def test_suffix_dedup(spark, docs):
                 gone[k : k + 50] = b"\1" * 50
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
         assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
+        assert got[i].n_spans == bytes(gone).count(b"\0\1") + gone.startswith(b"\1")
 
 
 def test_jaccard_classes(spark, docs):
