@@ -5,7 +5,8 @@ into chunks and chunks into blocks; a pair of blocks is one unit of work, so tha
 two chunks form a tile unless their ranges on that axis are too far apart for any pair to reach the
 threshold (unit vectors of cosine c are sqrt(2 - 2c) apart). In a tile, products of the leading dimensions plus the
 product of the suffix norms bound the cosine from above; pairs whose bound is below the threshold stop there, the rest
-go on to more dimensions, and the last ones get their exact cosine in double precision from the unrotated vectors.
+go on to more dimensions, and the last ones get their cosine in double precision from the unrotated vectors. Where that
+is so near the threshold that rounding could decide, exact arithmetic does: a cosine of exactly the threshold links.
 
 A tile returns link counts and a spanning forest, never all pairs, and exact copies are one row throughout.
 
@@ -18,6 +19,7 @@ and each gives its own row. An empty table gives an empty result. Further column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,24 @@ ROWS = 512
 FAN = 8
 
 
+def scaled(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose largest component is from 0.5 to 1, and their lengths. They are scaled by powers of two, which rounds
+    nothing, so no square overflows or vanishes and a cosine at the threshold stays there."""
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, initial=0.0))[1][:, None])
+    return raw, np.sqrt(np.einsum("ij,ij->i", raw, raw))
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
-    """Rows of length 1. The largest component is taken out first, so that no square overflows or vanishes."""
-    raw = raw / np.abs(raw).max(axis=1, initial=0.0)[:, None]
-    return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+    """Rows of length 1."""
+    rows, length = scaled(raw)
+    return rows / length[:, None]
+
+
+def reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the cosine of two vectors reaches the threshold, as the decimal number it is written as, without rounding."""
+    x, y = ([Fraction(v) for v in r.tolist()] for r in (a, b))
+    dot, least = sum(p * q for p, q in zip(x, y, strict=True)), Fraction(str(threshold))
+    return dot * abs(dot) >= least * abs(least) * sum(p * p for p in x) * sum(q * q for q in y)
 
 
 def valid_rows(vectors: pa.Array) -> list[bytes | None]:
@@ -90,10 +106,11 @@ def axes(vectors: DataFrame, dims: int) -> np.ndarray:
     return np.ascontiguousarray(vecs[:, ::-1])
 
 
-def tile_links(ua: np.ndarray, ub: np.ndarray, ra: np.ndarray, rb: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (left, right) places of pairs whose cosine reaches the threshold; of one chunk, left < right. ``ra`` and
-    ``rb`` are the unit vectors ``ua`` and ``ub`` on the principal axes."""
-    dims = ua.shape[1]
+def tile_links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], ra: np.ndarray, rb: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (left, right) places of pairs whose cosine reaches the threshold; of one chunk, left < right. ``a`` and
+    ``b`` are ``scaled`` vectors, ``ra`` and ``rb`` their unit vectors on the principal axes."""
+    (va, length_a), (vb, length_b) = a, b
+    dims = va.shape[1]
     stops = [k for k in LEADING if k < dims] or [dims]
 
     def rest(r: np.ndarray, k: int) -> np.ndarray:
@@ -103,7 +120,7 @@ def tile_links(ua: np.ndarray, ub: np.ndarray, ra: np.ndarray, rb: np.ndarray, s
     k0 = stops[0]
     wide_b = np.ascontiguousarray(np.concatenate([rb[:, :k0], suffix_b[k0][:, None]], axis=1).T)
     least = threshold - 1e-9
-    for at in range(0, len(ua), ROWS):
+    for at in range(0, len(va), ROWS):
         begin = at if same else 0
         bound = np.concatenate([ra[at : at + ROWS, :k0], suffix_a[k0][at : at + ROWS, None]], axis=1) @ wide_b[:, begin:]
         left, right = np.nonzero(bound >= least)
@@ -115,7 +132,10 @@ def tile_links(ua: np.ndarray, ub: np.ndarray, ra: np.ndarray, rb: np.ndarray, s
             part = np.einsum("ij,ij->i", ra[left, :k], rb[right, :k]) + suffix_a[k][left] * suffix_b[k][right]
             left, right = left[part >= least], right[part >= least]
         if len(left):
-            good = np.einsum("ij,ij->i", ua[left], ub[right]) >= threshold
+            cosine = np.einsum("ij,ij->i", va[left], vb[right]) / (length_a[left] * length_b[right])
+            good = cosine >= threshold
+            for k in np.flatnonzero(np.abs(cosine - threshold) <= 1e-15 * dims).tolist():  # within what rounding may change
+                good[k] = reaches(va[left[k]], vb[right[k]], threshold)
             left, right = left[good], right[good]
         if len(left):
             yield left, right
@@ -177,7 +197,7 @@ def length_links(nodes: DataFrame, dims: int, threshold: float, chunk: int) -> D
         count = np.zeros(len(names), np.int64)
         label = np.arange(len(names))
         tree: list[tuple[int, int]] = []
-        for x, y in tile_links(one["unit"], two["unit"], one["turned"], two["turned"], same, threshold):
+        for x, y in tile_links(one["scaled"], two["scaled"], one["turned"], two["turned"], same, threshold):
             r = y if same else y + len(na)
             count += np.bincount(x, cb[y], len(names)).astype(np.int64) + np.bincount(r, ca[x], len(names)).astype(np.int64)
             begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() + [len(x)]
@@ -201,8 +221,8 @@ def length_links(nodes: DataFrame, dims: int, threshold: float, chunk: int) -> D
         for (a_id, b_id), t in grouped(batches, 2):
             sides: tuple[list[dict], list[dict]] = ([], [])
             for r in t.to_pylist():
-                u = unit(np.frombuffer(r["vectors"], np.float64).reshape(-1, dims))
-                sides[r["side"]].append({"lo": r["lo"], "hi": r["hi"], "nodes": np.frombuffer(r["nodes"], np.int64), "copies": np.frombuffer(r["copies"], np.int64), "unit": u, "turned": u @ turn})
+                rows, length = scaled(np.frombuffer(r["vectors"], np.float64).reshape(-1, dims))
+                sides[r["side"]].append({"lo": r["lo"], "hi": r["hi"], "nodes": np.frombuffer(r["nodes"], np.int64), "copies": np.frombuffer(r["copies"], np.int64), "scaled": (rows, length), "turned": rows / length[:, None] @ turn})
             alone = a_id == b_id
             for i, one in enumerate(sides[0]):
                 for j, two in enumerate(sides[0] if alone else sides[1]):

@@ -7,7 +7,9 @@ outputs); the average of these over a whole text is one table lookup for each wo
 Training uses at most ``most`` labelled rows outside the held-out fold (a documented bound); scores cover all rows and
 whole texts. Defined cases: null and empty texts have no feature and get the score of the bias alone; labels of other
 ids, null labels and null ids are not learned from; with fewer than two labels present the score is their share (0.5
-without any). Further columns are ignored.
+without any); of several texts of one labelled id one is learned from, and of several labels the greater. Each of several
+repeated rows gets its own row and the same score; a score at the threshold is predicted 1. An empty table gives an empty
+result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

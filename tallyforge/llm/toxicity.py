@@ -16,7 +16,9 @@ and the lexicon features, and scores every text.
 
 At most ``most`` labelled rows outside the held-out fold are learned from (a documented bound). Defined cases: null
 and empty texts have no feature and get the score of the bias; with no labelled rows only the fixed list counts; null
-labels and ids are not learned from. Further columns are ignored.
+labels and ids are not learned from; of several texts of one labelled id one is, and of several labels the toxic one;
+each of several repeated rows gets its own row and the same score; a score at the threshold is predicted toxic. An empty
+table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -382,6 +382,32 @@ def test_very_long_texts(spark):
         assert out.count() == 3
 
 
+def test_cosine_at_the_threshold(spark):
+    """Lengths of 10 and 1 and a product of 9 are a cosine of exactly 0.9, which links; a little less does not."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [9.0, -3.0, -3.0, -1.0001]), (4, [0.0, 0.0, 0.0, 5.0])]
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and got[2].component_id == 1 and got[3].kept
+
+
+@pytest.mark.parametrize(("score", "label", "of", "out"), [(toxicity.score_toxicity, "toxic", 4, 2), (quality.score_quality, "quality", 5, 0)])
+def test_scores_of_odd_rows(spark, score, label, of, out):
+    """Null, empty and repeated texts, rows without an id and clashing names; a score at the threshold counts as reached."""
+    rows = [(i, " ".join(words(60, i)) + (" zorgly idiot" if i % 2 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(None, 1), (3, None)], f"doc_id long, {label} int")
+    rows += [(200, None), (201, ""), (202, None), rows[7], (7, rows[7][1]), (None, rows[7][1])]
+    docs = spark.createDataFrame([(*r, 0.5, 7, "x") for r in rows], "doc_id long, text string, score double, predicted int, held_out string")
+    got = score(docs, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % of == out) for r in got if r.doc_id is not None)
+    assert len({r.score for r in got if r.doc_id in (200, 201, 202)}) == 1 and len({r.score for r in got if r.doc_id in (7, None)}) == 1
+    if label == "toxic":
+        at = sorted(r.score for r in got)[len(got) // 2]
+        kept = toxicity.drop_toxic(docs, labels, threshold=at)
+        assert kept.columns == docs.columns
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.score < at)
+
+
 def test_learning_sample(spark):
     rows = [(i, f"text {i} {n}") for i in range(200) for n in range(3)] + [(None, "no id"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
