@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embed_dedup, jaccard_join, lexical_search, paragraph_dedup, quality, quality_rules, secrets, suffix_dedup, token_store, toxicity
+from . import bpe, decontaminate, embed_dedup, jaccard_join, lexical_search, paragraph_dedup, quality, quality_rules, secrets, spelling, suffix_dedup, token_store, toxicity
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,9 +75,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_bpe, op2_toxicity, op3_decontamination, op4_embedding_dedup, op5_secrets, op6_paragraph_dedup, op7_jaccard_join, op8_quality, op9_token_store, op10_suffix_dedup, op11_quality_rules, op12_lexical_search, pipeline)
+    named = (op1_bpe, op2_toxicity, op3_decontamination, op4_embedding_dedup, op5_secrets, op6_paragraph_dedup, op7_jaccard_join, op8_quality, op9_token_store, op10_suffix_dedup, op11_quality_rules, op12_lexical_search, op13_spelling, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE, "op4_embedding_dedup": embed_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE, "op11_quality_rules": quality_rules.ORACLE, "op12_lexical_search": lexical_search.ORACLE}
+    return {"op3_decontamination": decontaminate.ORACLE, "op4_embedding_dedup": embed_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE, "op11_quality_rules": quality_rules.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_spelling": spelling.ORACLE}
