@@ -202,10 +202,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, block: int = 50_000)
     blocks = -(-asked.count() // block)
     out = []
     for b in range(blocks):
-        pairs = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()  # about ``block`` rows
+        pairs = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
         if not len(pairs):
             continue
-        words, number = Vocabulary.of(terms := sorted(set(pairs["term"])))
+        ids = {x: i for i, x in enumerate(dict.fromkeys(pairs["item_id"].to_pylist()))}
+        terms = sorted(set(pairs["term"].to_pylist()))
+        words, number = Vocabulary.of(terms)
         hits = materialize(found_terms(docs, words), "hits")
         seen = hits.agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
         if not seen["docs"]:
@@ -214,9 +216,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, block: int = 50_000)
         weight, kth, top = (np.zeros(len(terms), np.int64) for _ in range(3))
         for r in term_bounds(hits, seen["docs"], seen["terms"], k).toLocalIterator():  # one row a term of the block
             weight[r.term], kth[r.term], top[r.term] = math.floor(1000 * math.log((2 * seen["docs"] + 2) / (2 * r.df + 1))), r.kth, r.top
-        codes, ids = pairs["item_id"].factorize(use_na_sentinel=False)
-        known = Items.of(codes, number[np.searchsorted(np.array(terms, object), pairs["term"].to_numpy(object))], weight, kth, top)
-        names = spark.createDataFrame([(i, None if x != x or x is None else x.item() if hasattr(x, "item") else x) for i, x in enumerate(ids)], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
+        place = {t: number[i] for i, t in enumerate(terms)}
+        known = Items.of(np.array([ids[x] for x in pairs["item_id"].to_pylist()]), np.array([place[t] for t in pairs["term"].to_pylist()]), weight, kth, top)
+        names = spark.createDataFrame([(i, x) for x, i in ids.items()], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
         out.append(materialize(best_of_tasks(hits, known, seen["docs"], seen["terms"], k).join(F.broadcast(names), "item").drop("item"), "best"))
         discard(hits)
     discard(asked)

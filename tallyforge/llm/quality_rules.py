@@ -14,6 +14,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
+COUNTS = "n_words word_chars n_symbols n_stop_words n_letter_words n_lines n_dup_lines n_bullet_lines n_open_lines n_repeat_words".split()
 #: Function words of the four languages; at least a few of them stand in any prose of some length.
 STOP_WORDS = "the of and to in a is it that for was on are as with at by de la le et les des un une est dans que qui en el los las y se del por con der die das und ist von den mit nicht ein eine zu im".split()
 
@@ -47,12 +49,17 @@ RULES = (
 )
 
 
-def holds(rule: Rule) -> Column:
-    part, whole = F.col(rule.part) * 100, F.col(rule.whole)
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def holds(rule: Rule, m: Column) -> Column:
+    part, whole = m[rule.part] * 100, m[rule.whole]
     within = part >= whole * rule.least
     if rule.most is not None:
         within &= part <= whole * rule.most
-    return within if not rule.words else (F.col("n_words") < rule.words) | within
+    return within if not rule.words else (m["n_words"] < rule.words) | within
 
 
 def repeated_words(words: Column, hashes: Column) -> Column:
@@ -60,14 +67,10 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     high, low = F.lit(-(1 << 32)), F.lit((1 << 32) - 1)
     places = F.sort_array(F.transform(hashes, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("bigint"))))
 
-    def twins(items: Column, same) -> Column:
+    def twins(items: Column, same: Callable[[Column], Column]) -> Column:
         near = lambda x, i: same(F.get(items, i)).eqNullSafe(same(x))
         return F.filter(items, lambda x, j: near(x, j - 1) | near(x, j + 1))
 
-    def named(value: Column, body) -> Column:
-        """``body`` of a value that is computed once."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, k: F.least(F.get(at, k + 1) - p, F.lit(WINDOW).cast("bigint"))), F.lit(0).cast("bigint"), lambda n, x: n + x)
 
@@ -79,45 +82,56 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     return sure.otherwise(named(places, lambda s: named(twins(s, lambda x: x.bitwiseAND(high)), exact)))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and all counts that rules speak of."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
+def repeated(words: Column) -> Column:
+    def windows(hashes: Column) -> Column:
+        last = F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))
+        return F.transform(F.slice(hashes, F.lit(1), last), lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, WINDOW)]))
+
+    return named(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: named(windows(hashes), lambda w: repeated_words(words, w)))
+
+
+def measures(text: Column) -> Column:
+    """All counts of a text that rules speak of, as one struct."""
     long = lambda c: c.cast("bigint")
-    lines = lambda pattern: long(F.size(F.filter("lines", lambda x: x.rlike(pattern))))
-    rows = rows.select(
-        "doc_id",
-        "words",
-        long(F.size("words")).alias("n_words"),
-        long(F.length(F.array_join("words", ""))).alias("word_chars"),
-        long(F.regexp_count("text", F.lit(SYMBOL))).alias("n_symbols"),
-        long(F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS)))).alias("n_stop_words"),
-        long(F.size(F.filter("words", lambda w: w.rlike(r"\p{L}")))).alias("n_letter_words"),
-        long(F.size("lines")).alias("n_lines"),
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        lines(r"^[\x20\x09]*[-*•]").alias("n_bullet_lines"),
-        lines(r"(\.\.\.|…)[\x20\x09\x0D]*$").alias("n_open_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-    )
-    window = lambda x, i: F.xxhash64(x, *[F.get("hashes", i + k) for k in range(1, WINDOW)])
-    rows = rows.withColumn("windows", F.transform(F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))), window))
-    return rows.withColumn("n_repeat_words", repeated_words(F.col("words"), F.col("windows"))).drop("words", "hashes", "windows")
-
-
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 10, most_repeated: int = 20) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, kept, and the names of the rules of the table that failed."""
-    rows = counts(docs)
-    base = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
-    failed = F.array_compact(F.array(*[F.when(~holds(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
-    rows = rows.select("*", base.alias("base_failed"), F.array_join(failed, ",").alias("failed"))
-    return rows.select("*", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"))
+
+    def counted(words: Column, lines: Column) -> Column:
+        like = lambda pattern: long(F.size(F.filter(lines, lambda x: x.rlike(pattern))))
+        return F.struct(
+            long(F.size(words)).alias("n_words"),
+            long(F.length(F.array_join(words, ""))).alias("word_chars"),
+            long(F.regexp_count(text, F.lit(SYMBOL))).alias("n_symbols"),
+            long(F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS)))).alias("n_stop_words"),
+            long(F.size(F.filter(words, lambda w: w.rlike(r"\p{L}")))).alias("n_letter_words"),
+            long(F.size(lines)).alias("n_lines"),
+            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+            like(r"^[\x20\x09]*[-*•]").alias("n_bullet_lines"),
+            like(r"(\.\.\.|…)[\x20\x09\x0D]*$").alias("n_open_lines"),
+            repeated(words).alias("n_repeat_words"),
+        )
+
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    return named(F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("lines")), lambda t: counted(t["words"], t["lines"]))
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, least_words: int = 10, most_repeated: int = 20) -> Column:
+    """The counts, base_failed, the names of the rules of the table that failed, and kept, as one struct."""
+
+    def judged(m: Column) -> Column:
+        base = (m["n_words"] < least_words) | (m["n_repeat_words"] * 100 > m["n_words"] * most_repeated)
+        failed = F.array_join(F.array_compact(F.array(*[F.when(~holds(r, m), F.lit(r.name)) for r in rules])), ",") if rules else F.lit("")
+        return named(F.struct(base.alias("base"), failed.alias("failed")), lambda v: F.struct(*[m[c].alias(c) for c in COUNTS], v["base"].alias("base_failed"), v["failed"].alias("failed"), (~v["base"] & (v["failed"] == "")).alias("kept")))
+
+    return named(measures(F.coalesce(text, F.lit(""))), judged)
+
+
+def apply_rules(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, failed, kept."""
+    return docs.select("doc_id", verdict(F.col("text"), **options).alias("verdict")).select("doc_id", "verdict.*")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    inner = marked.select(F.struct("row").alias("doc_id"), F.col("row")["text"].alias("text"))
-    return apply_rules(inner, **options).where("kept").select(F.col("doc_id")["row"].alias("row")).select("row.*")
+    return docs.where(verdict(F.col("text"), **options)["kept"])
 
 
 def sql_rule(rule: Rule) -> str:
