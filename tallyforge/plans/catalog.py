@@ -102,19 +102,39 @@ def kahan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def poisson_cells(spark: SparkSession, d: str) -> DataFrame:
-    r = read(spark, d, "region").select("r_regionkey", N.poisson_cells(F.col("r_regionkey") + F.lit(1.0)).alias("cells"))
-    return r.select("r_regionkey", F.posexplode("cells").alias("k", "p")).withColumn("p", F.round("p", 9))
+    r = read(spark, d, "region").select("r_regionkey", (F.col("r_regionkey") + F.lit(1.0)).alias("rate"))
+    return N.poisson_rows(r, "rate").select("r_regionkey", F.col("k").cast("int").alias("k"), F.round("p", 9).alias("p"))
+
+
+def poisson_of_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of customers with so many orders, if orders fell to the customers of a nation by chance."""
+    counts = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    rates = read(spark, d, "customer").join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg((F.coalesce(F.sum("n"), F.lit(0)) / F.count("*")).alias("rate"))
+    return N.poisson_rows(rates, "rate").select("c_nationkey", "k", F.round("p", 9).alias("p"))
 
 
 def permutations(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey"))), lambda s: s["r_regionkey"].cast("string")).alias("items"))
-    return N.permutations(spark, items, "items").select("position", F.array_join("arrangement", ",").alias("arrangement"))
+    return N.permutations(items, "items").select("position", F.array_join("arrangement", ",").alias("arrangement"))
+
+
+def order_permutations(spark: SparkSession, d: str) -> DataFrame:
+    """All orders of the (return flag, line status) pairs of each order."""
+    items = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("items"))
+    return N.permutations(items, "items").select("l_orderkey", "position", F.array_join("arrangement", ",").alias("arrangement"))
 
 
 def combinations_repl(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda s: s["r_name"]).alias("items"))
-    rows = items.select(F.posexplode(N.combinations_with_replacement(F.col("items"), 2)).alias("position", "pair"))
-    return rows.select("position", F.get("pair", F.lit(0)).alias("first"), F.get("pair", F.lit(1)).alias("second"))
+    rows = N.combinations_with_replacement(items, "items", 2)
+    return rows.select("position", F.get("combination", F.lit(0)).alias("first"), F.get("combination", F.lit(1)).alias("second"))
+
+
+def order_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """All triples of the lines of each order, repetition allowed."""
+    items = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("items"))
+    rows = N.combinations_with_replacement(items, "items", 3)
+    return rows.select("l_orderkey", "position", F.array_join(F.transform("combination", lambda x: x.cast("string")), ",").alias("lines"))
 
 
 def type_cast_nan(spark: SparkSession, d: str) -> DataFrame:
@@ -177,6 +197,13 @@ def compiled_counts(spark: SparkSession, d: str) -> DataFrame:
 
 FILES = "SELECT l_suppkey, count(*) AS statements, count(*) FILTER (CAST(floor(l_quantity) AS BIGINT) % 7 > 0) AS coveredstatements, CAST(coalesce(sum(CASE WHEN l_returnflag <> 'N' THEN 2 ELSE 0 END), 0) AS BIGINT) AS conditionals, CAST(coalesce(sum(CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity) AS BIGINT) % 3 ELSE 0 END), 0) AS BIGINT) AS coveredconditionals FROM lineitem GROUP BY 1"
 
+#: Every order of a list, one swap from the one before: ``c`` counts the swaps at each place, ``i`` is the place at hand.
+SWAPS = """WITH RECURSIVE b AS ({items}), s AS (SELECT {keys}a, list_transform(range(len(a)), lambda x: 0) AS c, 1 AS i, CAST(0 AS BIGINT) AS position, true AS shown, len(a) AS n FROM b
+UNION ALL SELECT {keys}CASE WHEN c[i + 1] < i THEN list_transform(a, lambda x, k: CASE WHEN k = i + 1 THEN a[CASE WHEN i % 2 = 0 THEN 1 ELSE c[i + 1] + 1 END] WHEN k = CASE WHEN i % 2 = 0 THEN 1 ELSE c[i + 1] + 1 END THEN a[i + 1] ELSE x END) ELSE a END,
+CASE WHEN c[i + 1] < i THEN list_transform(c, lambda x, k: CASE WHEN k = i + 1 THEN x + 1 ELSE x END) ELSE list_transform(c, lambda x, k: CASE WHEN k = i + 1 THEN 0 ELSE x END) END,
+CASE WHEN c[i + 1] < i THEN 1 ELSE i + 1 END, CASE WHEN c[i + 1] < i THEN position + 1 ELSE position END, c[i + 1] < i, n FROM s WHERE i < n)
+SELECT {keys}position, array_to_string(a, ',') AS arrangement FROM s WHERE shown"""
+
 ALL: dict[str, tuple[Query, str | None]] = {
     "outcome_rate": (outcome_rate, "SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS passed, coalesce(count(*) FILTER (value > 50) / nullif(count(*), 0), 0.0) AS pass_rate FROM events GROUP BY event_type"),
     "funnel": (funnel, "SELECT o_orderpriority, count(*) AS generated, count(*) FILTER (o_orderstatus <> 'P') AS syntax_ok, count(*) FILTER (o_orderstatus = 'F') AS compiled, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS syntax_rate, count(*) FILTER (o_orderstatus = 'F') / count(*) AS compile_rate FROM orders GROUP BY o_orderpriority"),
@@ -195,8 +222,11 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "hit_counts": (hit_counts, "SELECT l_suppkey, count(*) AS lines_found, count(*) FILTER (l_quantity > 10) AS lines_hit FROM lineitem GROUP BY 1"),
     "kahan": (kahan, "SELECT o_custkey, round(fsum(o_totalprice), 2) AS total, round(fsum(o_totalprice) / count(*), 6) AS mean FROM orders GROUP BY 1"),
     "poisson_cells": (poisson_cells, "WITH RECURSIVE c AS (SELECT r_regionkey, r_regionkey + 1.0::DOUBLE AS l, 0 AS k, exp(-(r_regionkey + 1.0::DOUBLE)) AS p, exp(-(r_regionkey + 1.0::DOUBLE)) AS s FROM region UNION ALL SELECT r_regionkey, l, k + 1, p * l / (k + 1), s + p * l / (k + 1) FROM c WHERE s < 0.9999) SELECT r_regionkey, k, round(p, 9) AS p FROM c"),
-    "permutations": (permutations, "WITH RECURSIVE n AS (SELECT count(*) AS n FROM region), s AS (SELECT (SELECT list(CAST(r_regionkey AS VARCHAR) ORDER BY r_regionkey) FROM region) AS a, list_transform(range(n), lambda x: 0) AS c, 1 AS i, 0 AS position, true AS shown, n FROM n UNION ALL SELECT CASE WHEN c[i + 1] < i THEN list_transform(a, lambda x, k: CASE WHEN k = i + 1 THEN a[CASE WHEN i % 2 = 0 THEN 1 ELSE c[i + 1] + 1 END] WHEN k = CASE WHEN i % 2 = 0 THEN 1 ELSE c[i + 1] + 1 END THEN a[i + 1] ELSE x END) ELSE a END, CASE WHEN c[i + 1] < i THEN list_transform(c, lambda x, k: CASE WHEN k = i + 1 THEN x + 1 ELSE x END) ELSE list_transform(c, lambda x, k: CASE WHEN k = i + 1 THEN 0 ELSE x END) END, CASE WHEN c[i + 1] < i THEN 1 ELSE i + 1 END, CASE WHEN c[i + 1] < i THEN position + 1 ELSE position END, c[i + 1] < i, n FROM s WHERE i < n) SELECT position, array_to_string(a, ',') AS arrangement FROM s WHERE shown"),
-    "combinations_repl": (combinations_repl, "SELECT CAST(row_number() OVER (ORDER BY a.r_regionkey, b.r_regionkey) - 1 AS INTEGER) AS position, a.r_name AS first, b.r_name AS second FROM region a JOIN region b ON a.r_regionkey <= b.r_regionkey"),
+    "poisson_of_counts": (poisson_of_counts, "WITH RECURSIVE r AS (SELECT c_nationkey, coalesce(sum(n), 0) / count(*) AS l FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1), c AS (SELECT c_nationkey, l, CAST(0 AS BIGINT) AS k, exp(-l) AS p, exp(-l) AS s FROM r WHERE l > 0 UNION ALL SELECT c_nationkey, l, k + 1, p * l / (k + 1), s + p * l / (k + 1) FROM c WHERE s < 0.9999) SELECT c_nationkey, k, round(p, 9) AS p FROM c"),
+    "permutations": (permutations, SWAPS.format(keys="", items="SELECT list(CAST(r_regionkey AS VARCHAR) ORDER BY r_regionkey) AS a FROM region")),
+    "order_permutations": (order_permutations, SWAPS.format(keys="l_orderkey, ", items="SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS a FROM lineitem GROUP BY 1")),
+    "combinations_repl": (combinations_repl, "SELECT row_number() OVER (ORDER BY a.r_regionkey, b.r_regionkey) - 1 AS position, a.r_name AS first, b.r_name AS second FROM region a JOIN region b ON a.r_regionkey <= b.r_regionkey"),
+    "order_combinations": (order_combinations, "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS x FROM lineitem) SELECT a.l_orderkey, row_number() OVER (PARTITION BY a.l_orderkey ORDER BY a.x, b.x, c.x) - 1 AS position, concat_ws(',', a.x, b.x, c.x) AS lines FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.x <= b.x JOIN l c ON a.l_orderkey = c.l_orderkey AND b.x <= c.x"),
     "type_cast_nan": (type_cast_nan, "SELECT o_orderpriority, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS number, max(CASE WHEN try_cast(o_orderpriority AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS is_nan FROM orders GROUP BY o_orderpriority"),
     "prop_lookup": (prop_lookup, "SELECT event_id, props->>'$.k' AS k, props->>'$.absent' AS absent FROM events"),
     "branch_totals": (branch_totals, "SELECT l_suppkey, count(*) AS branches_found, count(*) FILTER (l_discount > 0.05 AND l_linenumber > 0) AS branches_hit FROM lineitem GROUP BY 1"),

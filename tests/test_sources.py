@@ -62,8 +62,9 @@ def test_functions(spark):
     assert 0.9999 <= sum(large) < 1 and sum(large[:-1]) < 0.9999 and math.isclose(large[800], 0.0141032, rel_tol=1e-4)
     with pytest.raises(Exception, match="at least one data point"):
         one.select(N.compensated_mean(F.array().cast("array<double>"))).collect()
-    assert ["".join(map(str, p)) for p in N.heap_orders([1, 2, 3])] == ["123", "213", "312", "132", "231", "321"]
-    assert N.heap_orders([]) == [[]] and math.isclose(N.EPSILON, 1e-4)
+    orders = N.permutations(spark.createDataFrame([(1, [1, 2, 3]), (2, [])], "id int, items array<int>"), "items").orderBy("id", "position").collect()
+    assert ["".join(map(str, r.arrangement)) for r in orders] == ["123", "213", "312", "132", "231", "321", ""]
+    assert math.isclose(N.EPSILON, 1e-4)
     names = one.select(source_file(F.lit("a.b"), F.lit("C.D")).alias("f"), path_of_class(F.lit("a.C")).alias("p")).first()
     assert tuple(names) == ("a/b/C.java", "./target/test-classes/a/C.class")
 
