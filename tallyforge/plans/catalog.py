@@ -74,13 +74,27 @@ def sorted_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     state = T.SortState(T.columns_of(rows))
     state.click(2)  # a number: descending at first
-    return state.positions(rows, "s_suppkey", ["s_nationkey"]).drop("s_acctbal")
+    return state.positions(rows, "s_suppkey", ["s_nationkey"]).select("s_suppkey", "s_nationkey", F.col("position").cast("int").alias("position"))
+
+
+def whole_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each order in a table sorted by a text column, descending."""
+    rows = read(spark, d, "orders").select("o_orderpriority", "o_orderkey")
+    state = T.SortState(T.columns_of(rows))
+    state.click(0)  # the first column is in order already, so it flips
+    return state.positions(rows, "o_orderkey")
 
 
 def next_prev_wrap(spark: SparkSession, d: str) -> DataFrame:
     return T.with_neighbours(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey", "n_nationkey", ["n_regionkey"])
 
 
+def whole_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The lines without a discount, each with the next and the one before in the whole table."""
+    rows = read(spark, d, "lineitem").where("l_discount = 0").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line")).distinct()
+    return T.with_neighbours(rows, "line", "line")
+
+
 def uncovered_spans(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
     lines = li.groupBy("l_orderkey", "l_linenumber").agg(F.count_if(F.col("l_quantity") > 25).alias("hits"))
@@ -217,6 +231,8 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "regex_fallback": (regex_fallback, "SELECT s_suppkey, s_name || ' (A[' AS name FROM supplier WHERE contains(lower(s_name || ' (A['), '1 (a[')"),
     "sorted_positions": (sorted_positions, "SELECT s_suppkey, s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS position FROM supplier"),
     "next_prev_wrap": (next_prev_wrap, "SELECT n_nationkey, n_regionkey, coalesce(lead(n_nationkey) OVER w, first_value(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_, coalesce(lag(n_nationkey) OVER w, last_value(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_ FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)"),
+    "whole_positions": (whole_positions, "SELECT o_orderpriority, o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS position FROM orders"),
+    "whole_neighbours": (whole_neighbours, "WITH l AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber AS line FROM lineitem WHERE l_discount = 0) SELECT line, coalesce(lead(line) OVER w, min(line) OVER ()) AS next_, coalesce(lag(line) OVER w, max(line) OVER ()) AS previous_ FROM l WINDOW w AS (ORDER BY line)"),
     "uncovered_spans": (uncovered_spans, "WITH s AS (SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 100 + 1 END AS parent, count(*) FILTER (l_quantity > 25) AS hits FROM lineitem GROUP BY l_orderkey, l_linenumber), u AS (SELECT * FROM s WHERE hits = 0) SELECT id, hits FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.id = u.parent)"),
     "uncovered_list": (uncovered_list, "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS uncovered FROM lineitem WHERE l_discount = 0 GROUP BY 1"),
     "hit_counts": (hit_counts, "SELECT l_suppkey, count(*) AS lines_found, count(*) FILTER (l_quantity > 10) AS lines_hit FROM lineitem GROUP BY 1"),
