@@ -2,20 +2,21 @@
 
 Voters are lexicons and patterns. Each says toxic, clean, or nothing:
 
-* a fixed list of English insults, and the same list after common letter substitutions;
+* fixed lists of insults: one English word, two of them, and a German, French or Spanish one;
 * lexicons of words, and of word beginnings of 4, 5 and 6 bytes, that are far more frequent in toxic than in clean
   texts of the learning sample, dealt by hash over several voters; texts without any such word get a clean vote;
 * beginnings that words of toxic texts come back to: at least two words of a text and one in 200 begin so, and hardly
   any clean text does that with the same beginning. This finds insults with many endings, in any language;
 * the share of such words in a text; shouting; an insult beside a second-person word.
 
-The generative model treats the true label as hidden. Expectation-maximisation estimates each voter's rates and, after
-some rounds and from then on in each of them, the correlation of the voters' residuals given the label, which lowers
-the weight of voters that say the same thing; the posterior label of each learning row follows. A logistic regression in numpy learns these posteriors from the votes
-and the lexicon features, and scores every text.
+The generative model treats the true label as hidden. Expectation-maximisation estimates how right each voter is with each
+answer it gives (an abstention is missing, not an answer), and after some rounds the correlations of the voters' residuals
+given the label: voters that copy one another form a cluster, of which one full vote counts. The posterior label of each
+learning row follows. A logistic regression in numpy learns these posteriors from the votes and the lexicon features, and
+scores every text.
 
 At most ``most`` labelled rows outside the held-out fold are learned from (a documented bound). Defined cases: null
-and empty texts have no feature and get the score of the bias; with no labelled rows only the fixed list counts; null
+and empty texts have no feature and get the score of the bias; with no labelled rows, or labels of one kind only, just the fixed lists count; null
 labels and ids are not learned from; of several texts of one labelled id one is, and of several labels the toxic one;
 each of several repeated rows gets its own row and the same score; a score at the threshold is predicted toxic. An empty
 table gives an empty result. Further columns are ignored, whatever their names.
@@ -36,10 +37,17 @@ from .learning import fold, labelled_sample, sigmoid
 from .shingling import minhashes, mix, powers, shingles, slices, word_hashes
 
 INSULTS = "idiot moron stupid loser trash scum worthless pathetic disgusting clown dumb fool imbecile jerk bastard vermin filth".split()
+#: Insults of further languages, one voter each.
+FURTHER = (
+    "trottel dummkopf abschaum versager wertlos ekelhaft schwachkopf drecksack arschloch widerlich".split(),
+    "imbécile crétin abruti salaud minable dégoûtant racaille connard vaurien pourriture".split(),
+    "imbécil estúpido basura escoria inútil patético asqueroso payaso perdedor cretino".split(),
+)
 SECOND_PERSON = "you your youre tu du te dich usted vous".split()
 STEMS = (4, 5, 6)
 GROUPS = 6
-N_VOTERS = 2 + GROUPS + 2 * len(STEMS) + 3
+FIXED = 2 + len(FURTHER)
+N_VOTERS = FIXED + GROUPS + 2 * len(STEMS) + 3
 ABSTAIN = -1
 
 
@@ -84,6 +92,7 @@ def inside(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 class Model:
     insults: np.ndarray
     second: np.ndarray
+    further: list[np.ndarray]
     lexicon: np.ndarray
     stems: dict[int, np.ndarray]
     dense: dict[int, np.ndarray]
@@ -98,7 +107,7 @@ def dense_pairs(values: np.ndarray, rows: np.ndarray, total: np.ndarray, share:
     return values[once], rows[once]
 
 
-def votes(found: dict[str, np.ndarray], lex: np.ndarray, stems: dict[int, np.ndarray], dense: dict[int, np.ndarray], insults: np.ndarray, second: np.ndarray) -> np.ndarray:
+def votes(found: dict[str, np.ndarray], lex: np.ndarray, stems: dict[int, np.ndarray], dense: dict[int, np.ndarray], insults: np.ndarray, second: np.ndarray, further: list[np.ndarray]) -> np.ndarray:
     """One row of votes (1 toxic, 0 clean, -1 none) for each text."""
     n, words, rows = found["n"], found["words"], found["rows"]
     out = np.full((n, N_VOTERS), ABSTAIN, np.int8)
@@ -107,22 +116,24 @@ def votes(found: dict[str, np.ndarray], lex: np.ndarray, stems: dict[int, np.nda
     fixed = np.bincount(rows[insult], minlength=n)
     out[fixed > 0, 0] = 1
     out[fixed > 1, 1] = 1
+    for i, own in enumerate(further):
+        out[np.bincount(rows[inside(words, own)], minlength=n) > 0, 2 + i] = 1
     learned = inside(words, lex)
     group = (words[learned] >> np.uint64(40)) % np.uint64(GROUPS)
-    any_hit = fixed.copy()
+    any_hit = fixed + (out[:, 2:FIXED] == 1).sum(1)
     for g in range(GROUPS):
         hit = np.bincount(rows[learned][group == g], minlength=n)
         any_hit += hit
-        out[hit > 0, 2 + g] = 1
+        out[hit > 0, FIXED + g] = 1
     for i, k in enumerate(STEMS):
         hit = np.bincount(found[f"of{k}"][inside(found[f"stem{k}"], stems[k])], minlength=n)
-        out[hit > 0, 2 + GROUPS + i] = 1
+        out[hit > 0, FIXED + GROUPS + i] = 1
         any_hit += hit
         known = inside(found[f"stem{k}"], dense[k])
         hit = np.bincount(dense_pairs(found[f"stem{k}"][known], found[f"of{k}"][known], total)[1], minlength=n)
-        out[hit > 0, 2 + GROUPS + len(STEMS) + i] = 1
+        out[hit > 0, FIXED + GROUPS + len(STEMS) + i] = 1
         any_hit += hit
-    at = 2 + GROUPS + 2 * len(STEMS)
+    at = FIXED + GROUPS + 2 * len(STEMS)
     out[any_hit == 0, at] = 0
     out[any_hit > 0.002 * np.maximum(total, 1), at] = 1
     out[(any_hit == 0) & (total > 0), at + 1] = 0
@@ -137,38 +148,62 @@ def votes(found: dict[str, np.ndarray], lex: np.ndarray, stems: dict[int, np.nda
     return out
 
 
-def frequent_in(values: np.ndarray, rows: np.ndarray, y: np.ndarray, clean: float = 0.02) -> np.ndarray:
-    """Sorted values that mark toxic texts: in at most ``clean`` times as many clean ones, and in so many toxic ones
-    that chance would not bring about one such value among all. (value, row) pairs are distinct."""
+def frequent_in(values: np.ndarray, rows: np.ndarray, y: np.ndarray, clean: float = 0.02, least: int = 3) -> np.ndarray:
+    """Sorted values that mark toxic texts: in at least ``least`` of them, and in at most ``clean`` times as many clean ones;
+    and seldom enough in the clean ones for the number of toxic ones not to be chance. (value, row) pairs are distinct."""
     distinct, place = np.unique(values, return_inverse=True)
     toxic = y[rows] == 1
     bad, good = np.bincount(place[toxic], minlength=len(distinct)), np.bincount(place[~toxic], minlength=len(distinct))
-    least = max(3, int(np.ceil(np.log(2 * max(len(distinct), 2)) / -np.log(y.mean()))))
-    return distinct[(bad >= least) & (good <= clean * bad)]
-
-
-def label_model(v: np.ndarray, share: float, rounds: int = 30, alone: int = 10) -> np.ndarray:
-    """Posterior probability of the toxic label for each row of votes, by EM with correlated voters discounted."""
+    share = y.mean()
+    # of so many texts with the value, all but ``good`` toxic: chance, times the number of values that so many texts hold
+    held = np.bincount(bad + good)
+    alike = np.maximum(held[bad + good], 1)
+    chance = np.log(alike) + bad * np.log(share) + good * np.log(np.maximum(bad + good, 1))
+    return distinct[(bad >= least) & (good <= clean * bad) & (chance <= np.log(0.5))]
+
+
+def clusters(corr: np.ndarray, least: float) -> np.ndarray:
+    """The smallest voter that each voter is tied to by correlations of at least ``least``, directly or through others."""
+    of = np.arange(len(corr))
+    for _ in of:
+        of = np.where(corr >= least, of[None, :], len(of)).min(1, initial=len(of)).clip(max=of)
+    return of
+
+
+def label_model(v: np.ndarray, share: float, rounds: int = 30, copies: float = 0.3, belief: float = 0.9) -> np.ndarray:
+    """Posterior probability of the toxic label for each row of votes, by EM.
+
+    A voter has an accuracy for each answer it gives; an abstention says nothing. Before any row is seen a toxic vote is held
+    to be right with probability ``belief``, at the weight of two rows: what no other voter speaks for or against stays
+    there. Voters whose answers agree beyond what
+    the label explains, by a correlation of their residuals of ``copies`` or more, are copies of one another: of a cluster
+    the strongest answer given counts, and counts in full.
+    """
     patterns, place, counts = np.unique(v, axis=0, return_inverse=True, return_counts=True)
     place = place.reshape(-1)
-    says = np.stack([patterns == k for k in (-1, 0, 1)])  # answer, pattern, voter
-    post = np.clip((patterns == 1).mean(1) / np.maximum((patterns >= 0).mean(1), 1e-9), 0.02, 0.98)
-    weight = np.ones(v.shape[1])
-    prior = share
+    answers = (patterns == 0, patterns == 1)
+    post = np.where(answers[1].any(1), np.clip(answers[1].sum(1) / np.maximum((patterns >= 0).sum(1), 1), 0.5, 0.98), np.where(answers[0].any(1), 0.02, share))
+    cluster = np.arange(v.shape[1])
+    base = np.log(share / (1 - share))
     for r in range(rounds):
-        mass = np.stack([(1 - post) * counts, post * counts])  # label, pattern
-        rates = np.einsum("apv,lp->lav", says, mass) + 0.1
-        rates /= rates.sum(1, keepdims=True)
-        logs = np.einsum("apv,lav,v->lp", says, np.log(rates), weight)
-        prior = np.clip((mass[1].sum() + share * 50) / (counts.sum() + 50), 1e-3, 1 - 1e-3)
-        post = sigmoid(logs[1] - logs[0] + np.log(prior / (1 - prior)))
-        if r >= alone:  # correlations given the label lower the weight of voters that repeat each other
+        # what an answer adds to the log-odds: those of the label among rows with this answer, less those of all rows
+        add = []
+        for said, hope in zip(answers, (share * (1 - belief), belief), strict=True):
+            rows = (said * counts[:, None]).sum(0)
+            toxic = (said * (counts * post)[:, None]).sum(0)
+            add.append(np.log((toxic + 2 * hope) / (rows - toxic + 2 * (1 - hope))) - base)
+        gives = np.where(answers[1], np.maximum(add[1], 0), np.where(answers[0], np.minimum(add[0], 0), 0.0))
+        up = np.stack([np.where(cluster == c, gives, 0).max(1) for c in np.unique(cluster)], axis=1)
+        down = np.stack([np.where(cluster == c, gives, 0).min(1) for c in np.unique(cluster)], axis=1)
+        post = sigmoid(up.sum(1) + down.sum(1) + base)
+        if r == rounds // 3:
             value = np.where(patterns < 0, 0.0, 2.0 * patterns - 1)
-            means = np.stack([(m[:, None] * value).sum(0) / max(m.sum(), 1e-9) for m in mass])
-            cov = sum((m[:, None] * (value - mu)).T @ (value - mu) for m, mu in zip(mass, means, strict=True)) / counts.sum()
+            cov = np.zeros((v.shape[1],) * 2)
+            for m in (counts * (1 - post), counts * post):
+                off = value - (m[:, None] * value).sum(0) / max(m.sum(), 1e-9)
+                cov += (m[:, None] * off).T @ off / counts.sum()
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(sd, sd), -1, 1)
-            weight = 1 / np.maximum(1, (np.maximum(corr, 0) ** 2).sum(1))
+            cluster = clusters(cov / np.outer(sd, sd), copies)
     return post[place]
 
 
@@ -204,7 +239,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
             value, row = dense_pairs(found[f"stem{k}"], found[f"of{k}"], total)
             often[k].append(np.stack([value, row.astype(np.uint64) + np.uint64(rows_before)]))
         rows_before += n
-    insults, second = hashes_of(INSULTS), hashes_of(SECOND_PERSON)
+    insults, second, further = hashes_of(INSULTS), hashes_of(SECOND_PERSON), [hashes_of(w) for w in FURTHER]
     empty = np.empty(0, np.uint64)
     tables = {}
     for name in ("words", *(f"stem{k}" for k in STEMS)):
@@ -218,9 +253,9 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
             dense[k] = frequent_in(both[0], both[1].astype(np.int64), y, clean=0.1)
     if not len(y) or not 0 < y.sum() < len(y):
         weights = np.zeros(2 * N_VOTERS + 3)
-        weights[1] = 4.0
-        return Model(insults, second, lex, stems, dense, weights, -2.0)
-    v = np.concatenate([votes(p, lex, stems, dense, insults, second) for p in parts])
+        weights[N_VOTERS : N_VOTERS + FIXED] = 4.0
+        return Model(insults, second, further, lex, stems, dense, weights, -2.0)
+    v = np.concatenate([votes(p, lex, stems, dense, insults, second, further) for p in parts])
     target = label_model(v, float(y.mean()))
     x = np.concatenate([design(p, v_, lex, stems) for p, v_ in zip(parts, np.split(v, np.cumsum([p["n"] for p in parts])[:-1]), strict=True)])
     weights, bias = np.zeros(x.shape[1]), 0.0
@@ -229,7 +264,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         rate = 2.0 / (1 + step / 100)
         weights -= rate * (x.T @ gap / len(x) + 1e-4 * weights)
         bias -= rate * gap.mean()
-    return Model(insults, second, lex, stems, dense, weights, float(bias))
+    return Model(insults, second, further, lex, stems, dense, weights, float(bias))
 
 
 def design(found: dict[str, np.ndarray], v: np.ndarray, lex: np.ndarray, stems: dict[int, np.ndarray]) -> np.ndarray:
@@ -244,7 +279,7 @@ def design(found: dict[str, np.ndarray], v: np.ndarray, lex: np.ndarray, stems:
 
 def score_texts(texts: pa.Array, m: Model) -> np.ndarray:
     found = counted(texts)
-    return sigmoid(design(found, votes(found, m.lexicon, m.stems, m.dense, m.insults, m.second), m.lexicon, m.stems) @ m.weights + m.bias)
+    return sigmoid(design(found, votes(found, m.lexicon, m.stems, m.dense, m.insults, m.second, m.further), m.lexicon, m.stems) @ m.weights + m.bias)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, threshold: float = 0.3) -> DataFrame:
