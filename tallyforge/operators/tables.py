@@ -29,6 +29,11 @@ def columns_of(df: DataFrame, fixed: tuple[str, ...] = ()) -> list[ColumnInfo]:
     return out
 
 
+def declared_columns(columns: DataFrame) -> list[ColumnInfo]:
+    """The columns that the header of one table declares, in order: rows of (i, key, sortable, type, descending_first)."""
+    return [ColumnInfo(r["key"], r["sortable"], r["type"], r["descending_first"]) for r in columns.orderBy("i").collect()]
+
+
 def matches_row(df: DataFrame, pattern: str, columns: list[str] | None = None) -> Column:
     """Regardless of case: the pattern, of the dialect of ``functions.patterns``, occurs in the row's whole text; one that
     is invalid there is taken literally."""

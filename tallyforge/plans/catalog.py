@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexing as X
 from ..functions import numeric as N
 from ..functions import ratios as R
 from ..functions.text import line_list, property_of
+from ..operators import reconcile as C
 from ..operators import results as O
 from ..operators import tables as T
 
@@ -209,6 +211,31 @@ def compiled_counts(spark: SparkSession, d: str) -> DataFrame:
     return O.compiled_counts(orders, counted, ["c_custkey"])
 
 
+def reconciled_orders(spark: SparkSession, d: str) -> DataFrame:
+    """What orders and their lines say of an order's price and lines."""
+    orders = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("total"))
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count("*").alias("lines"))
+    return C.reconcile({"orders": orders, "items": lines}, ["o_orderkey"], ["total", "lines"], 0.005).withColumn("gap", F.round("gap", 2))
+
+
+def shared_line_gap(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_partkey", "l_returnflag", F.col("l_linenumber").alias("line"), F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("hits"))
+    return C.shared_line_gap(rows, ["l_partkey"], "l_returnflag")
+
+
+def source_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return X.token_rows(read(spark, d, "events").select("event_id", "props"), "props").drop("props")
+
+
+def page_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Comments, declarations, tags and characters of each page."""
+    pages = read(spark, d, "pages").select("page_id", "html")
+    rows = X.token_rows(pages, "html", "markup").groupBy("page_id")
+    part = F.substring("html", F.col("start") + 1, F.col("stop") - F.col("start"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return rows.agg(count("com").alias("comments"), count("dec").alias("declarations"), F.count_if((F.col("kind") == "tag") & part.startswith("<")).alias("tags"), F.sum(F.col("stop") - F.col("start")).alias("chars"))
+
+
 FILES = "SELECT l_suppkey, count(*) AS statements, count(*) FILTER (CAST(floor(l_quantity) AS BIGINT) % 7 > 0) AS coveredstatements, CAST(coalesce(sum(CASE WHEN l_returnflag <> 'N' THEN 2 ELSE 0 END), 0) AS BIGINT) AS conditionals, CAST(coalesce(sum(CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity) AS BIGINT) % 3 ELSE 0 END), 0) AS BIGINT) AS coveredconditionals FROM lineitem GROUP BY 1"
 
 #: Every order of a list, one swap from the one before: ``c`` counts the swaps at each place, ``i`` is the place at hand.
@@ -252,6 +279,10 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "file_rollup": (file_rollup, "SELECT replace(lower(p_type), ' ', '/') || '/' || split_part(p_name, ' ', 1) || '.java' AS \"File\", CAST(sum((p_size * 3 + p_partkey) % 5) AS BIGINT) AS \"LINE_MISSED\", CAST(sum((p_size * 3 + p_partkey) % 11) AS BIGINT) AS \"LINE_COVERED\", CAST(sum((p_size * 2 + p_partkey) % 5) AS BIGINT) AS \"BRANCH_MISSED\", CAST(sum((p_size * 2 + p_partkey) % 11) AS BIGINT) AS \"BRANCH_COVERED\" FROM part GROUP BY 1"),
     "run_totals": (run_totals, "WITH s AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'errored' WHEN o_totalprice > 300000 THEN 'failed' WHEN o_totalprice < 20000 THEN 'skipped' ELSE 'passed' END AS st FROM orders) SELECT o_orderpriority, count(*) AS tests, count(*) FILTER (st = 'failed') AS failures, count(*) FILTER (st = 'errored') AS errors, count(*) FILTER (st = 'skipped') AS skipped, count(*) FILTER (st = 'passed') AS passed, count(*) FILTER (st <> 'skipped') AS total, coalesce(count(*) FILTER (st = 'passed') / nullif(count(*) FILTER (st <> 'skipped'), 0), 0.0) AS pass_rate FROM s GROUP BY 1"),
     "compiled_counts": (compiled_counts, "SELECT c_custkey, coalesce(n, 0) AS listed, CAST(c_custkey % 12 AS BIGINT) AS counted, coalesce(n, 0) = c_custkey % 12 AS agrees FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey"),
+    "reconciled_orders": (reconciled_orders, "WITH i AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total, count(*) AS lines FROM lineitem GROUP BY 1), b AS (SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, o_orderkey IS NULL AS no_order, l_orderkey IS NULL AS no_items, o_totalprice, total, CAST(lines AS DOUBLE) AS lines FROM orders FULL JOIN i ON o_orderkey = l_orderkey) SELECT o_orderkey, 'total' AS metric, o_totalprice AS orders, total AS items, CASE WHEN no_order THEN 'missing in orders' WHEN no_items THEN 'missing in items' WHEN abs(o_totalprice - total) > 0.005 THEN 'differs' ELSE 'equal' END AS status, round(abs(o_totalprice - total), 2) AS gap FROM b UNION ALL SELECT o_orderkey, 'lines', NULL, lines, 'missing in orders', NULL FROM b WHERE NOT no_items"),
+    "shared_line_gap": (shared_line_gap, "WITH c AS (SELECT l_partkey, l_returnflag, l_linenumber, max(l_quantity) > 25 AS hit FROM lineitem GROUP BY 1, 2, 3), f AS (SELECT l_partkey, l_linenumber, max(l_quantity) > 25 AS hit FROM lineitem GROUP BY 1, 2), x AS (SELECT l_partkey, count(*) AS class_found, count(*) FILTER (hit) AS class_hit FROM c GROUP BY 1), y AS (SELECT l_partkey, count(*) AS lines_found, count(*) FILTER (hit) AS lines_hit FROM f GROUP BY 1) SELECT l_partkey, class_found, class_hit, lines_found, lines_hit, class_found - lines_found AS found_gap, class_hit - lines_hit AS hit_gap FROM x JOIN y USING (l_partkey)"),
+    "source_tokens": (source_tokens, r"""WITH t AS (SELECT event_id, unnest(x) AS token, generate_subscripts(x, 1) - 1 AS n FROM (SELECT event_id, regexp_extract_all(props, '\s+|"(?:[^"\\]|\\.)*"|[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|[A-Za-z_$][A-Za-z0-9_$]*|.') AS x FROM events)), s AS (SELECT *, sum(length(token)) OVER (PARTITION BY event_id ORDER BY n) AS stop FROM t) SELECT event_id, CAST(n AS INTEGER) AS n, CASE WHEN regexp_matches(token, '^\s') THEN 'pln' WHEN token[1] = '"' THEN 'str' WHEN regexp_matches(token, '^[0-9]') OR token IN ('true', 'false', 'null') THEN 'lit' WHEN regexp_matches(token, '^[A-Za-z_$]') THEN 'pln' ELSE 'pun' END AS kind, CAST(stop - length(token) AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM s"""),
+    "page_markup": (page_markup, r"""WITH p AS (SELECT page_id, length(html) AS chars, regexp_replace(html, '(?is)(<(script|style)(?:\s[^>]*)?>).*?(</(?:script|style)[\s/>])', '\1\3', 'g') AS h FROM pages) SELECT page_id, len(regexp_extract_all(h, '(?s)<!--.*?-->')) AS comments, len(regexp_extract_all(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '<[!?]')) AS declarations, len(regexp_extract_all(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '</?[A-Za-z]')) AS tags, chars FROM p WHERE chars > 0"""),
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import ColumnInfo, number_cell
+
 MAVEN_RUN = """total bigint, syntax_correct bigint, syntax_correct_rate double, compile_pass bigint,
 test_summary struct<total bigint, passed bigint, failures bigint, errors bigint, pass_rate double>,
 coverage_summary struct<instruction_coverage double, branch_coverage double, line_coverage double, complexity_coverage double, method_coverage double>"""
@@ -124,15 +126,46 @@ def function_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "b.file", "b.function", *[F.col(f"b.{n}").cast("int").alias(n) for n in names[2:]])
 
 
+def funnel_head(spark: SparkSession, path: str) -> DataFrame:
+    """The head of a console report: tests generated, those that parse, those that compile; null where a line is missing."""
+    text = with_path(spark.read.text(path, wholetext=True))
+    number = lambda label: F.regexp_extract("value", rf"(?m)^{label}:\s*(\d+)", 1).try_cast("bigint")
+    return text.select("path", number("Total tests generated").alias("generated"), number("Syntax check passed").alias("syntax_ok"), number("Compile/runtime check passed").alias("compiled"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in the text of a tag, quoted in any way or bare, its entities read; null without one."""
+    found = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    value = F.regexp_replace(found, "(?s)^[\"'](.*)[\"']$", "$1")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(char))
+    return F.when(found != "", value)
+
+
+def html_columns(spark: SparkSession, path: str) -> DataFrame:
+    """The columns that the header of each summary table declares: (path, i, key, sortable, type, descending_first)."""
+    text = with_path(spark.read.text(path, wholetext=True))
+    heads = text.select("path", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)<th(?=[\s>])[^>]*>"), F.lit(0))).alias("i", "tag"))
+    kind = F.coalesce(F.nullif(attribute(F.col("tag"), "data-type"), F.lit("")), F.lit("string"))
+    fixed = F.coalesce(attribute(F.col("tag"), "data-nosort"), F.lit("")) != ""
+    return heads.select("path", "i", attribute(F.col("tag"), "data-col").alias("key"), (~fixed).alias("sortable"), kind.alias("type"), (~fixed & (kind == "number")).alias("descending_first"))
+
+
 def html_table(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of summary tables: (path, row, col, value, number); numeric columns are cast, bad text is NaN."""
+    """Cells of summary tables: (path, row, i, col, value, number). A cell belongs to the column at its place in the row, also
+    if it has no value; those of columns of numbers are read as numbers, and one without a value counts as 0."""
     text = with_path(spark.read.text(path, wholetext=True))
-    heads = F.transform(F.regexp_extract_all("value", F.lit(r"<th[^>]*data-col=\"([^\"]*)\"([^>]*)>"), F.lit(1)), lambda x: x)
-    kinds = F.transform(F.regexp_extract_all("value", F.lit(r"<th[^>]*data-col=\"([^\"]*)\"([^>]*)>"), F.lit(2)), lambda x: x.contains('data-type="number"'))
-    rows = text.select("path", heads.alias("heads"), kinds.alias("kinds"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<tr>(\s*<td.*?)</tr>"), F.lit(1))).alias("row", "html"))
-    cells = rows.select("path", "heads", "kinds", "row", F.posexplode(F.regexp_extract_all("html", F.lit(r"<td[^>]*data-value=\"([^\"]*)\""), F.lit(1))).alias("i", "value"))
-    number = F.when(F.trim("value") == "", 0.0).otherwise(F.coalesce(F.col("value").try_cast("double"), F.lit(float("nan"))))
-    return cells.select("path", "row", F.get("heads", F.col("i")).alias("col"), "value", F.when(F.get("kinds", F.col("i")), number).alias("number"))
+    rows = text.select("path", F.posexplode(F.filter(F.regexp_extract_all("value", F.lit(r"(?is)<tr(?=[\s>])[^>]*>(.*?)(?:</tr>|\z)"), F.lit(1)), lambda x: x.rlike(r"(?i)<td[\s>]"))).alias("row", "html"))
+    cells = rows.select("path", "row", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<td(?=[\s>])[^>]*>"), F.lit(0))).alias("i", "tag"))
+    known = html_columns(spark, path).select("path", "i", F.col("key").alias("col"), "type")
+    cells = cells.join(known, ["path", "i"], "left").withColumn("value", attribute(F.col("tag"), "data-value"))
+    return cells.select("path", "row", "i", "col", "value", F.when(F.col("type") == "number", number_cell(F.col("value"))).alias("number"))
+
+
+def table_of(cells: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
+    """Cells of one shape of table as rows: path, row, and a typed column for each of ``columns``."""
+    pick = lambda c: F.max(F.when(F.col("col") == c.key, F.col("number" if c.type == "number" else "value"))).alias(c.key)
+    return cells.groupBy("path", "row").agg(*[pick(c) for c in columns])
 
 
 def timestamp_of(millis: Column) -> Column:
