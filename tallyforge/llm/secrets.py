@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: A private key from its first line to its END line; where none follows, as far as lines of its alphabet go.
-PEM_BODY = r"[^-]*+(?:-{1,4}+[^-]++){0,200}+(?=-----END [A-Z ]*PRIVATE KEY-----)"
-PEM_REST = r"(?:[\s\\nr]{0,8}[A-Za-z0-9+/=]{16,}+){0,400}+(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?=\r?\n|$))?"
+PEM_BODY = r"[^-]*+(?:-{1,4}+[^-]++)*+(?=-----END [A-Z ]*PRIVATE KEY-----)"
+PEM_REST = r"(?:[\s\\nr]{0,8}[A-Za-z0-9+/=]{16,}+)*+(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?=\r?\n|$))?"
 PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----({PEM_BODY}|{PEM_REST})(?:-----END [A-Z ]*PRIVATE KEY-----)?"
 #: (kind, pattern, group with the secret, least length of that group, literal or pattern that any match holds).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
