@@ -9,7 +9,9 @@ fewer with a probability below ``missed`` only; exact containment of shingles ve
 numbers is broadcast, and only below ``BROADCAST_BYTES``.
 
 A word is a maximal run of letters and digits (Unicode) of the lower-cased text; a shingle is ``width`` words; a text
-with fewer words has one shingle, of all its words, so such an item is found only as a whole text. Defined cases: null or
+with fewer words has one shingle, of all its words. For items that short, documents are cut into windows of as many words
+as well (each such length is a further pass over the documents, and only lengths that occur are made), so that a test item
+of two words is found inside a long text. Defined cases: null or
 empty texts, and items without words, match nothing; items with the same id are one item with the shingles of all (a
 null id is one item, too); rows with a null id match like others and give null ids; repeated rows give their pairs once.
 ``drop_contaminated`` tells rows by id and text. Empty tables give an empty result, or all documents. Further columns
@@ -19,6 +21,7 @@ are ignored by the search and kept by the removal, whatever their names.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,11 @@ def each_gram(df: DataFrame, text: str, width: int) -> DataFrame:
     return with_words(df, text).select(*kept, F.inline(windows(width))).select(*kept, F.xxhash64(*[f"c{k}" for k in range(width)]).alias("gram"))
 
 
+def all_grams(df: DataFrame, text: str, width: int, short: list[int]) -> DataFrame:
+    """The shingles of each text, and its windows of each of the ``short`` lengths."""
+    return reduce(DataFrame.unionByName, [each_gram(df, text, w) for w in (width, *short)])
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """Broadcast if it has been seen to be small: its rows, of a few numbers each, are counted. Beyond, the join shuffles."""
     return F.broadcast(df) if df.count() * 24 <= BROADCAST_BYTES else df
@@ -72,6 +80,8 @@ def containing(docs: DataFrame, benchmark: DataFrame, width: int, threshold: flo
     """docs: (key, body, text). (key, body, item_id, n_shared, n_item) of rows that hold ``threshold`` of an item."""
     docs = docs.where("text IS NOT NULL")
     items = benchmark.select(F.col(item).alias("item_id"), F.col("text").alias("item_text")).where("item_text IS NOT NULL")
+    counted = with_words(items, "item_text").where((F.size("h_") > 0) & (F.size("h_") < width))
+    short = sorted(r["n"] for r in counted.select(F.size("h_").alias("n")).distinct().collect())  # fewer than ``width``
     grams = materialize(each_gram(items, "item_text", width).distinct(), "items")
     sizes = grams.groupBy("item_id").agg(F.count("*").alias("n_item"))
     # one number names an item from here on, whatever its id is
@@ -83,13 +93,13 @@ def containing(docs: DataFrame, benchmark: DataFrame, width: int, threshold: flo
     large = sized.where(F.col("n_item") > draws).select("item", "gram", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k"))
     won = large.groupBy("item", "k").agg(F.min(F.struct(F.xxhash64("gram", "k").alias("h"), "gram"))["gram"].alias("gram")).groupBy("item", "gram").agg(F.count("*").cast("int").alias("times"))
     winners = materialize(small.unionByName(won.withColumn("least", F.lit(least_drawn(draws, threshold, missed)))), "winners")
-    hits = materialize(each_gram(docs, "text", width).join(bounded(winners.select("gram").distinct()), "gram").select("key", "body", "gram").distinct(), "hits")
+    hits = materialize(all_grams(docs, "text", width, short).join(bounded(winners.select("gram").distinct()), "gram").select("key", "body", "gram").distinct(), "hits")
     near = hits.join(bounded(winners), "gram").groupBy("key", "body", "item").agg(F.sum("times").alias("held"), F.min("least").alias("least")).where("held >= least")
     near = materialize(near.select("key", "body", "item"), "candidates")
     # exact containment: the candidates' shingles meet those of their items
     chosen = near.select(F.col("key").alias("key_"), F.col("body").alias("body_")).distinct()
     source = docs.join(chosen.hint("merge"), F.col("key").eqNullSafe(F.col("key_")) & (F.col("body") == F.col("body_")), "left_semi")
-    have = each_gram(source, "text", width).select(F.struct("key", "body").alias("row"), "gram").distinct()
+    have = all_grams(source, "text", width, short).select(F.struct("key", "body").alias("row"), "gram").distinct()
     want = near.join(grams, "item").select(F.struct("key", "body").alias("row"), "gram", "item")
     found = want.join(have, ["row", "gram"]).groupBy("row", "item").agg(F.count("*").alias("n_shared"))
     found = found.join(bounded(named), "item").where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
@@ -117,11 +127,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, thr
     return rows.join(hits.hint("merge"), F.col(own["doc_id"]).eqNullSafe(F.col("key")) & (body_of(own["text"]) == F.col("body")), "left_anti").toDF(*docs.columns)
 
 
-#: The same in DuckDB, over shingles as strings.
+#: The same in DuckDB, over shingles as strings; windows of one to four words are there for items that short.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-dg AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+dg AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d UNION SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 4))),
 bg AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM b),
 n AS (SELECT item_id, count(*) AS n_item FROM bg GROUP BY item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
