@@ -15,6 +15,7 @@ empty result. Further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import json
 import re
@@ -35,7 +36,8 @@ SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x
 _SPECIAL = re.compile(r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİŉƀ-\U0010ffff]")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _LATIN_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-ſ\xaa\xb5\xba]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|(?:[^\s\w]|_)+")
-_ANY_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+
 #: Pieces of up to ``LONGEST`` characters that a worker remembers; then it starts anew.
 REMEMBERED = 700_000
 LONGEST = 64
@@ -43,6 +45,46 @@ LONGEST = 64
 BLOCK = 4096
 
 
+@functools.cache
+def unsure() -> str:
+    """Characters that Python's Unicode does not have. The tokenizers library knows some of them, ``regex`` more."""
+    return "".join(c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn")
+
+
+@functools.cache
+def late_lower() -> dict[int, str]:
+    """Letters whose lower case the library knows and Python does not."""
+    import tokenizers
+
+    some = regex.findall(r"\p{L}", unsure())
+    low = tokenizers.normalizers.Lowercase().normalize_str(" ".join(some)).split(" ")
+    return {ord(a): b for a, b in zip(some, low, strict=True) if a != b}
+
+
+@functools.cache
+def has_late() -> re.Pattern:
+    return re.compile(f"[{''.join(map(chr, late_lower()))}]" if late_lower() else "(?!)")
+
+
+@functools.cache
+def piece_pattern() -> regex.Pattern:
+    """Letters and numbers as the tokenizers library knows them: it is asked about those that Python does not have."""
+    import tokenizers
+
+    def late(kind: str) -> str:
+        some = regex.findall(rf"\p{{{kind}}}", unsure())
+        cut = tokenizers.pre_tokenizers.Split(tokenizers.Regex(rf"\p{{{kind}}}"), "isolated").pre_tokenize_str(" ".join(some))
+        known = {piece for piece, _ in cut if len(piece) == 1}
+        points = [ord(c) for c in some if c not in known]
+        edges = [i for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
+        return "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip(edges, [*edges[1:], len(points)], strict=True))
+
+    letters, numbers = late("L"), late("N")
+    letter = rf"[\p{{L}}--[{letters}]]" if letters else r"\p{L}"
+    number = rf"[\p{{N}}--[{numbers}]]" if numbers else r"\p{N}"
+    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACE}{letter}{number}]+")
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -172,7 +214,9 @@ class Codec:
             return _LATIN_PIECE.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return _ANY_PIECE.findall(text)
+        if has_late().search(text):
+            text = text.translate(late_lower())
+        return piece_pattern().findall(text)
 
     def segments(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut is not None and "<|" in text else [text]
