@@ -79,6 +79,21 @@ def file_figures(classes: DataFrame, files: DataFrame, keys: list[str] = ()) ->
     return reconcile({"classes": rolled, "file": own}, at, ["LINE_TOTAL", "LINE_COVERED", "BRANCH_TOTAL", "BRANCH_COVERED"])
 
 
+def function_figures(blocks: DataFrame, files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Line and branch percentages of a report's functions, summed for each file, against the row of the file in its table.
+    A function's lines also count blank and comment lines, so the two need not agree."""
+    at, percent = [*keys, "file"], lambda part, whole: R.percent_exact(F.sum(part), F.sum(whole))
+    summed = blocks.groupBy(*at).agg(percent("lines_hit", "lines_total").alias("lines"), percent("branches_hit", "branches_total").alias("branches"))
+    table = files.select(*at, F.col("pct_lines").alias("lines"), F.col("pct_branch").alias("branches"))
+    return reconcile({"functions": summed, "table": table}, at, ["lines", "branches"], 0.01)
+
+
+def repeated_names(classes: DataFrame, name: str, keys: list[str] = ()) -> DataFrame:
+    """Simple names that several classes of full ``name`` share, and how many: a key has to be the full name."""
+    out = classes.select(*keys, F.col(name).alias("full_")).distinct().groupBy(*keys, F.substring_index("full_", ".", -1).alias("simple"))
+    return out.agg(F.count("*").alias("classes")).where("classes > 1")
+
+
 def shared_line_gap(lines: DataFrame, keys: list[str], cls: str) -> DataFrame:
     """(keys, cls, line, hits) -> the sums over classes, the figures with shared lines once, and how much the sums are above."""
     by_class = shared_lines_once(lines, [*keys, cls]).groupBy(*keys).agg(F.sum("lines_found").alias("class_found"), F.sum("lines_hit").alias("class_hit"))

@@ -104,6 +104,16 @@ def uncovered_spans(spark: SparkSession, d: str) -> DataFrame:
     return T.uncovered_spans(spans).select("id", "hits")
 
 
+def low_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose lines are seldom large, and suppliers that are so as a whole: parts under such a supplier are left out."""
+    li = read(spark, d, "lineitem")
+    share = R.percent_exact(F.count_if(F.col("l_quantity") > 25), F.count("*"))
+    top = li.groupBy("l_suppkey").agg(share.alias("pct")).select(F.col("l_suppkey").alias("id"), F.lit(None).cast("bigint").alias("parent"), "pct")
+    parts = li.groupBy("l_suppkey", "l_partkey").agg(share.alias("pct")).select((F.col("l_suppkey") * 10_000_000 + F.col("l_partkey") + 1_000_000).alias("id"), F.col("l_suppkey").alias("parent"), "pct")
+    spans = top.unionByName(parts).withColumns({"hits": F.lit(1), "pct_class": R.coverage_class(F.col("pct"))})
+    return T.uncovered_spans(spans).select("id", "parent", "pct_class")
+
+
 def uncovered_list(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").where("l_discount = 0").groupBy("l_orderkey").agg(line_list(F.col("l_linenumber")).alias("uncovered"))
 
@@ -261,6 +271,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "whole_positions": (whole_positions, "SELECT o_orderpriority, o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS position FROM orders"),
     "whole_neighbours": (whole_neighbours, "WITH l AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber AS line FROM lineitem WHERE l_discount = 0) SELECT line, coalesce(lead(line) OVER w, min(line) OVER ()) AS next_, coalesce(lag(line) OVER w, max(line) OVER ()) AS previous_ FROM l WINDOW w AS (ORDER BY line)"),
     "uncovered_spans": (uncovered_spans, "WITH s AS (SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 100 + 1 END AS parent, count(*) FILTER (l_quantity > 25) AS hits FROM lineitem GROUP BY l_orderkey, l_linenumber), u AS (SELECT * FROM s WHERE hits = 0) SELECT id, hits FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.id = u.parent)"),
+    "low_cells": (low_cells, "WITH s AS (SELECT l_suppkey AS id, CAST(NULL AS BIGINT) AS parent, 100.0 * count(*) FILTER (l_quantity > 25) / count(*) AS pct FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey * 10000000 + l_partkey + 1000000, l_suppkey, 100.0 * count(*) FILTER (l_quantity > 25) / count(*) FROM lineitem GROUP BY l_suppkey, l_partkey), u AS (SELECT * FROM s WHERE pct < 50) SELECT id, parent, 'low' AS pct_class FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.id = u.parent)"),
     "uncovered_list": (uncovered_list, "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS uncovered FROM lineitem WHERE l_discount = 0 GROUP BY 1"),
     "hit_counts": (hit_counts, "SELECT l_suppkey, count(*) AS lines_found, count(*) FILTER (l_quantity > 10) AS lines_hit FROM lineitem GROUP BY 1"),
     "kahan": (kahan, "SELECT o_custkey, round(fsum(o_totalprice), 2) AS total, round(fsum(o_totalprice) / count(*), 6) AS mean FROM orders GROUP BY 1"),

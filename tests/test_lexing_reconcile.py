@@ -144,3 +144,12 @@ def test_head_of_a_console_report(spark, tmp_path):
 def test_shared_line_gap(spark):
     lines = spark.createDataFrame([("f", "A", 1, 1), ("f", "A", 2, 0), ("f", "B", 2, 5), ("f", "B", 3, 0)], "file string, cls string, line int, hits int")
     assert tuple(C.shared_line_gap(lines, ["file"], "cls").first()) == ("f", 4, 2, 3, 2, 1, 0)
+
+
+def test_functions_against_files_and_repeated_names(spark):
+    blocks = spark.createDataFrame([("sum.js", "sum", 25, 25, 5, 8), ("a.js", "f", 1, 2, 0, 0), ("a.js", "g", 1, 2, 0, 0)], "file string, function string, lines_hit int, lines_total int, branches_hit int, branches_total int")
+    table = spark.createDataFrame([("sum.js", 80.0, 62.5), ("a.js", 50.0, 0.0), ("b.js", 1.0, 1.0)], "file string, pct_lines double, pct_branch double")
+    got = {(r.file, r.metric): r.status for r in C.function_figures(blocks, table).collect()}
+    assert got == {("sum.js", "lines"): "differs", ("sum.js", "branches"): "equal", ("a.js", "lines"): "equal", ("a.js", "branches"): "equal", ("b.js", "lines"): "missing in functions", ("b.js", "branches"): "missing in functions"}
+    names = spark.createDataFrame([("p.A",), ("q.A",), ("q.A",), ("p.B",)], "cls string")
+    assert [tuple(r) for r in C.repeated_names(names, "cls").collect()] == [("A", 2)]
