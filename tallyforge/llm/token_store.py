@@ -3,7 +3,7 @@
 Documents are range-partitioned by key, so that shards, and the documents in a shard, ascend. A shard file holds, one
 after the other: the raw ids (little-endian unsigned, of 16 bits where the vocabulary allows it, else of 32), the keys,
 the null flags, the offsets of the documents in ids, the index, a JSON footer, the footer's length and a magic number.
-A new shard begins after ``SHARD_BYTES`` of ids. The index is a hash-and-retry cascade of bit
+A new shard begins after ``SHARD_BYTES`` of ids, or ``SHARD_DOCS`` documents, since a shard's index is built in memory. The index is a hash-and-retry cascade of bit
 vectors: a key's place is the rank of the first bit that is its alone. Each place stores a record number and a 32-bit
 fingerprint of its key, by which keys that the shard does not hold are refused. A lookup takes constant time.
 
@@ -39,8 +39,9 @@ from .shingling import mix
 
 MAGIC = b"TFTOKEN1"
 GAMMA = 2.0
-#: Bytes of ids after which a new shard begins, and ids that are read at once.
+#: Bytes of ids and documents after which a new shard begins, and ids that are read at once.
 SHARD_BYTES = 1 << 28
+SHARD_DOCS = 1_000_000
 BLOCK_IDS = 1 << 20
 #: How byte-level vocabularies of this kind cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -148,7 +149,7 @@ def _index(keys: np.ndarray, nulls: np.ndarray) -> tuple[PerfectHash, np.ndarray
     return mph, record, prints
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encodes and writes all documents; returns the manifest, a row for each shard: part, no, path, n_docs, n_ids,
     first_key, last_key (null: no key), base (ids in the shards before it)."""
     spark = docs.sparkSession
@@ -171,7 +172,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, key
                 if shard is None:
                     shard = ShardWriter(folder, part, len(made), encoder.kind)
                 shard.add(k, encoder.encode(value.as_py() or "") + end)
-                if shard.n_bytes >= shard_bytes:
+                if shard.n_bytes >= shard_bytes or len(shard.keys) >= shard_docs:
                     made.append(shard.close())
                     shard = None
         if shard is not None:

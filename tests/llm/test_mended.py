@@ -7,7 +7,7 @@ import duckdb
 import pytest
 import regex
 
-from tallyforge.llm import bpe, decontaminate, secrets
+from tallyforge.llm import bpe, decontaminate, secrets, token_store
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -59,3 +59,16 @@ def test_characters_of_a_recent_unicode():
     for c in odd:
         text = f"a{c}b?{c}1{c}"
         assert codec.encode(text) == lib.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_shards_roll_by_documents(spark, tmp_path):
+    """Empty texts have hardly any bytes, yet a shard holds only so many of them; also with repeated keys at a border."""
+    rows = [(i // 3, "" if i % 50 else "one two") for i in range(3000)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = token_store.write_shards(docs, str(public_tokenizers.path("byte_bpe_50k.json")), folder=f"file://{tmp_path}/t", shard_docs=100)
+    made = manifest.collect()
+    assert sum(r.n_docs for r in made) == len(rows) and all(r.n_docs <= 100 for r in made) and len(made) >= 31
+    got = sorted(token_store.read_shards(manifest).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((i is None, i or 0, {"": 1, "x": 2, "one two": 3}[t]) for i, t in rows)
+    assert token_store.TokenStore(manifest).get(500) is not None
