@@ -62,23 +62,24 @@ def compensated_sum_by(df: DataFrame, keys: list[str], value: str, order: str, m
     value, nulls first.
 
     Groups of up to ``most`` rows are folded as arrays. The fold can't be merged from parts, so larger groups go in order:
-    their rows are dealt into ranges by key and order, and written; each range folds its part of a key and hands its state
+    their rows are dealt into ranges of about ``most`` rows by key and order, and written; each range folds its part of a key and hands its state
     to the next. A round is one job over the ranges that are due, one for each such key, and reads only those. No row,
     task or array holds more of a key than one range does, and at most one key crosses each border.
     """
     k = [f"key{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(order).alias("at"), F.col(value).cast("double").alias("x"))
     other = [f"c_{n}" for n in k]
-    large = written(rows.groupBy(*k).count().where(F.col("count") > most).select(*k).toDF(*other), "large")
-    if large.isEmpty():
+    large = written(rows.groupBy(*k).count().where(F.col("count") > most).toDF(*other, "n_"), "large")
+    n_large = large.agg(F.sum("n_")).first()[0]
+    if not n_large:
         return _folded(rows, k).toDF(*keys, "total", "mean")
+    ranges = ranges or -(-n_large // max(most, 1))
     small = _folded(rows.join(large, _on(k, other), "left_anti"), k)
     return small.unionByName(_carried(rows.join(large, _on(k, other), "left_semi"), k, ranges)).toDF(*keys, "total", "mean")
 
 
-def _carried(rows: DataFrame, keys: list[str], ranges: int | None) -> DataFrame:
+def _carried(rows: DataFrame, keys: list[str], ranges: int) -> DataFrame:
     spark = rows.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(rows.repartitionByRange(ranges, *keys, "at", "x").withColumn("part", F.spark_partition_id()), "ranges", "part")
     spans = dealt.groupBy(*keys).agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").collect()  # fewer than there are ranges
     if not spans:

@@ -98,7 +98,7 @@ def test_sum_carried_over_ranges(spark):
     for k in {row[0] for row in rows}:
         values = [row[2] for row in sorted((row for row in rows if row[0] == k), key=order)]
         want[k] = (bits(plain(values)), bits(plain(values) / len(values)))
-    for options in ({}, {"most": 500, "ranges": 9}, {"most": 0, "ranges": 5}, {"most": 5000, "ranges": 1}):
+    for options in ({}, {"most": 500, "ranges": 9}, {"most": 0, "ranges": 5}, {"most": 5000, "ranges": 1}, {"most": 2000}):
         got = {row.key: (bits(row.total), bits(row["mean"])) for row in N.compensated_sum_by(df, ["key"], "x", "at", **options).collect()}
         assert got == want, options
     assert N.compensated_sum_by(df.where("false"), ["key"], "x", "at").count() == 0
@@ -117,3 +117,12 @@ def test_poisson_rows(spark):
         assert math.isclose(r.p, exact, rel_tol=1e-8, abs_tol=1e-300)
     arrays = df.where("id < 6").select("id", N.poisson_cells(F.col("rate")).alias("cells")).collect()
     assert all(len(a.cells) == got[a.id].n for a in arrays)
+
+
+def test_a_large_group_is_no_array(spark):
+    """Three million rows of one key, in ranges of a million: the bits of one pass."""
+    n = 3_000_000
+    df = spark.range(n, numPartitions=6).select(F.lit("k").alias("key"), (F.col("id") * 7919 % n).alias("at"), ((F.col("id") * 7919 % n) * 1e9 + F.pow(F.lit(0.1), F.col("id") * 7919 % n % 17)).alias("x"))
+    want = N.fold(np.array([float(i) * 1e9 for i in range(n)]) + np.array([0.1 ** (i % 17) for i in range(n)]), 0.0, 0.0)
+    got = N.compensated_sum_by(df, ["key"], "x", "at", most=999_999).first()
+    assert math.isclose(got.total, sum(want), rel_tol=1e-15) and got["mean"] == got.total / n
