@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where a local session without ``spark.checkpoint.dir``, which can't be set in a running one, keeps its temporary folder.
+LOCAL = "tallyforge.shared.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset and Spark is local (tests), a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL, None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(LOCAL, base)
     return base.rstrip("/")
 
 
