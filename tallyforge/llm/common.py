@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,21 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_dir
+
 #: Deletes the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -52,7 +42,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables of ``materialize`` that nothing reads any more."""
+    """Deletes tables of ``materialize`` that nothing reads any more, or those that tables with a handle of theirs come from."""
     for t in tables:
         path = getattr(t, "_written", None)
         if path:
@@ -97,4 +87,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._written = state._written
+    return out

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh
-from .common import materialize
+from .common import discard, materialize
 from .lsh import least_matches, pruner
 
 __all__ = ["jaccard_classes", "keep_one_of_each", "least_matches", "pruner"]
@@ -29,10 +29,11 @@ def classed(docs: DataFrame, width: int, threshold: float, sketch: int, toleranc
     """docs: (key, text). (key, body, class_id, n_links, rep): one row per input row that has a word."""
     docs = docs.select("key", body_of("text").alias("body"), "text")
     bands, rows = lsh.tune_bands(threshold, missed, most=208)
-    items, _, nodes = lsh.near_classes(docs, mode="text", width=width, threshold=threshold, bands=bands, rows=rows, min_words=1, sketch=sketch, prune=pruner(threshold, sketch, tolerance))
+    items, mine, nodes = lsh.near_classes(docs, mode="text", width=width, threshold=threshold, bands=bands, rows=rows, min_words=1, sketch=sketch, prune=pruner(threshold, sketch, tolerance))
     first = nodes.groupBy("cls").agg(F.coalesce(F.min(F.when(F.col("rep.key").isNotNull(), F.col("rep"))), F.min("rep")).alias("first"))
     first = materialize(first, "first")  # a table of its own, so that a join with a class of very many nodes may be split
     named = materialize(nodes.join(first, "cls").select("node", "copies", "n_links", "first"), "named")
+    discard(mine, nodes, first)
     own = F.struct("key", "body", "item")
     return items.join(named, "node", "left").select("key", "body", F.coalesce("first", own).alias("first"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
 

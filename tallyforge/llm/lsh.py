@@ -231,7 +231,9 @@ def collisions(pairs: DataFrame) -> DataFrame:
                 continue  # the run goes on
         lead = b["key"], b["a"]
     found = held.where("part IS NULL").select("kind", "a", "b")
-    return found.unionByName(spark.createDataFrame(links, "kind int, a long, b long")) if links else found
+    found = found.unionByName(spark.createDataFrame(links, "kind int, a long, b long")) if links else found
+    found._written = held._written
+    return found
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -482,16 +484,19 @@ def near_classes(docs: DataFrame, *, mode: str, width: int, threshold: float, ba
     held = chosen.hint("merge").join(one, F.col("rep_key").eqNullSafe(F.col("key")) & (F.col("rep_body") == F.col("body"))).select("text", "wants")
     ready = materialize(prepared(held, mode, width, sketch), "ready")
     edges = materialize(surviving(met.where("kind = 1").select("a", "b"), ready, prune).unionByName(met.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct(), "edges")
-    groups = materialize(connected_components(edges).select("node", F.col("component").alias("grp")), "groups")
+    joined = connected_components(edges)
+    groups = materialize(joined.select("node", F.col("component").alias("grp")), "groups")
     sizes = materialize(groups.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
     members = groups.join(sizes, "grp").join(ready, "node").select("grp", "size", "node", "copies", "sig", "grams")
     out = materialize(verify(members, threshold, prune), "links")
-    discard(some, chosen, ready, edges, sizes)
+    discard(met, some, chosen, ready, edges, joined, groups, sizes)
     counts = out.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     comps = connected_components(out.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     full = nodes.join(counts, "node", "left").join(comps, "node", "left")
     full = full.select("node", "copies", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "node").alias("cls"))
-    return items, mine, materialize(full, "classes")
+    classes = materialize(full, "classes")
+    discard(out, comps, nodes)
+    return items, mine, classes
 
 
 def pruner(threshold: float, sketch: int, tolerance: float) -> Filter:

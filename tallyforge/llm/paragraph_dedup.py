@@ -45,7 +45,7 @@ def repeated_items(docs: DataFrame, mode: str, width: int, threshold: float, min
     gone = mine.join(named.hint("merge"), "node").where(~at.eqNullSafe(F.col("keeper"))).select("key", "body", F.struct("item", F.col("cls").alias("cluster")).alias("gone"))
     # at most the items of one text; of repeated rows each item once
     gone = materialize(gone.groupBy("key", "body").agg(F.collect_set("gone").alias("items")), "gone")
-    discard(items, mine, nodes, named)
+    discard(items, mine, nodes, first, named)
     return gone
 
 
@@ -106,6 +106,7 @@ def remove_repeated_paragraphs(docs: DataFrame, width: int = 5, threshold: float
 
     left = with_items(docs, gone).select("key", "text", "items").mapInArrow(lines, f"key {key}, n_paragraphs long, n_chars long, n_lines long, clusters array<long>, text string")
     left = materialize(left.withColumn("body", F.xxhash64("text")), "kept")
+    discard(gone)
     bands, rows = lsh.tune_bands(threshold, missed_units, width=2)
     gone = repeated_items(left.select("key", "body", "text"), "unit", width, threshold, width, bands, rows)
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 import regex
 
-from tallyforge.llm import bpe, decontaminate, secrets, token_store
+from tallyforge.llm import bpe, common, decontaminate, jaccard_join, lexical_search, paragraph_dedup, secrets, spelling, token_store
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -72,3 +72,24 @@ def test_shards_roll_by_documents(spark, tmp_path):
     assert len(got) == len(rows) and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((i is None, i or 0, {"": 1, "x": 2, "one two": 3}[t]) for i, t in rows)
     assert token_store.TokenStore(manifest).get(500) is not None
+
+
+@pytest.mark.parametrize(
+    ("make", "stay"),
+    [
+        (jaccard_join.jaccard_classes, {"items", "named"}),
+        (jaccard_join.keep_one_of_each, {"items", "named", "stay"}),
+        (paragraph_dedup.remove_repeated_paragraphs, {"kept", "gone"}),
+        (lambda d: lexical_search.search(d, d.select(d.doc_id.alias("item_id"), "text")), {"best"}),
+        (lambda d: spelling.group_variants(spelling.word_counts(d, least_letters=3)), {"forms", "roots"}),
+    ],
+)
+def test_only_what_the_result_reads_stays(spark, tmp_path, monkeypatch, make, stay):
+    r = random.Random(1)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    shared = line(30)
+    rows = [(i, "\n".join([line(20), shared, line(20)]) if i % 3 else f"{shared} {shared[:50]}{i}") for i in range(40)]
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    out = make(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = [p.name.rsplit("-", 1)[0] for p in (tmp_path / "shared").iterdir()]
+    assert sorted(left) == sorted(stay) and out.count() >= 0
