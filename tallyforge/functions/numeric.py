@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import combinations_with_replacement as combinations
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +70,11 @@ def compensated_sum_by(df: DataFrame, keys: list[str], value: str, order: str, m
     k = [f"key{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(order).alias("at"), F.col(value).cast("double").alias("x"))
     other = [f"c_{n}" for n in k]
-    large = written(rows.groupBy(*k).count().where(F.col("count") > most).toDF(*other, "n_"), "large")
-    n_large = large.agg(F.sum("n_")).first()[0]
+    counted = rows.groupBy(*k).count().where(F.col("count") > most)
+    n_large = counted.agg(F.sum("count")).first()[0]
     if not n_large:
         return _folded(rows, k).toDF(*keys, "total", "mean")
+    large = written(counted.select(*k).toDF(*other), "large")
     ranges = ranges or -(-n_large // max(most, 1))
     small = _folded(rows.join(large, _on(k, other), "left_anti"), k)
     return small.unionByName(_carried(rows.join(large, _on(k, other), "left_semi"), k, ranges)).toDF(*keys, "total", "mean")
@@ -183,18 +185,42 @@ def swap_orders(n: int) -> list[list[list[int]]]:
     return out
 
 
+#: Rows of a table of orders or choices that may be broadcast.
+TABLE_ROWS = 4096
+
+
+def _from_table(items: DataFrame, column: str, ways: dict[int, list], name: str) -> DataFrame:
+    """The other columns of ``items``, position and ``name``: the items at the places that a table has for arrays of their
+    size. The table has ``TABLE_ROWS`` rows at most."""
+    table = items.sparkSession.createDataFrame([(n, p, list(w)) for n, all_ in ways.items() for p, w in enumerate(all_)], "n_ int, position bigint, places_ array<int>")
+    rows = items.join(F.broadcast(table), F.size(column) == F.col("n_"))
+    return rows.select(*[c for c in items.columns if c != column], "position", F.transform("places_", lambda at: F.get(column, at)).alias(name))
+
+
+def _order_at(ways: list[list[list[int]]], n: int, position: int) -> list[int]:
+    now = list(range(n))
+    for i in range(n - 1, 0, -1):
+        digit, position = divmod(position, math.factorial(i))
+        now = [now[j] for j in ways[i][digit][:n]]
+    return now
+
+
 def permutations(items: DataFrame, column: str) -> DataFrame:
     """The other columns of ``items``, ``position`` from 0 and ``arrangement``: all orders of the array of each row, each
     one swap from the one before. A null array has none, an empty one has one.
 
     The order at a position follows from the position's digits in the factorial base: digit ``d`` of place ``i`` says how
     often the item there has been swapped. So rows are made independently, in many tasks, and nothing is built in memory.
+    Where no array has more than six items, the few orders there are come from a table.
     """
     size = F.size(column)
     n = items.agg(F.max(size)).first()[0] or 0
     if n > 20:
         raise ValueError("more than 20 items have more orders than a bigint can number")
-    ways = F.array(*[F.array(*[F.array(*map(F.lit, w)) for w in ways]) for ways in swap_orders(max(n, 1))])
+    ways = swap_orders(max(n, 1))
+    if math.factorial(n) * 2 <= TABLE_ROWS:
+        return _from_table(items, column, {m: [_order_at(ways, m, p) for p in range(math.factorial(m))] for m in range(n + 1)}, "arrangement")
+    ways = F.array(*[F.array(*[F.array(*map(F.lit, w)) for w in own]) for own in ways])
     factorials = F.array(*[F.lit(math.factorial(i)).cast("bigint") for i in range(n + 1)])
     rows = numbered(items.where(F.col(column).isNotNull()), F.get(factorials, size), "position", math.factorial(n))
     digit = lambda i: (div(F.col("position"), F.get(factorials, i)) % (i + 1)).cast("int")
@@ -213,13 +239,16 @@ def combinations_with_replacement(items: DataFrame, column: str, k: int) -> Data
     each row, repetition allowed, in lexicographic order of places. Null and empty arrays have none.
 
     Counted from the end, a position is a sum of binomials of falling tops, which are the chosen places; each top is found
-    by bisection. So rows are made independently, in many tasks.
+    by bisection. So rows are made independently, in many tasks. Where there are few choices of any size of array, they
+    come from a table.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     n = items.agg(F.max(F.size(column))).first()[0] or 0
     if n and math.comb(n + k - 1, k) * (n + k) >= 1 << 63:
         raise ValueError("more combinations than a bigint can number")
+    if n and sum(math.comb(m + k - 1, k) for m in range(1, n + 1)) <= TABLE_ROWS:
+        return _from_table(items, column, {m: list(combinations(range(m), k)) for m in range(1, n + 1)}, "combination")
     one = F.lit(1).cast("bigint")
 
     def choose(top: Column, j: Column) -> Column:
