@@ -5,7 +5,7 @@ matches anything there and is an error here, ``$`` is only the very end there, `
 here. Letters are compared by Unicode case, but no character outside ASCII equals one inside.
 
 Departures: text is matched by characters, not by UTF-16 units; a reference to a group that took no part in the match
-fails; pattern modifiers are not valid.
+fails; pattern modifiers are not valid; Java refuses to look behind over a length without a bound, which raises.
 """
 
 from __future__ import annotations
