@@ -24,7 +24,7 @@ table gives an empty result. Further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -225,39 +225,40 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     kept = unlike(texts)
     texts, y = [texts[i] for i in kept], y[kept] if len(y) else y
     arr = pa.array(texts, pa.large_string())
-    parts, rows_before = [], 0
-    keys: dict[str, list[np.ndarray]] = {}
-    often: dict[int, list[np.ndarray]] = {k: [] for k in STEMS}
-    for at, n in slices(arr):
-        found = counted(arr.slice(at, n))
-        parts.append(found)
-        for name, of in (("words", "rows"), *((f"stem{k}", f"of{k}") for k in STEMS)):
-            _, once = np.unique(found[name] + mix(found[of]), return_index=True)
-            keys.setdefault(name, []).append(np.stack([found[name][once], found[of][once].astype(np.uint64) + np.uint64(rows_before)]))
-        total = np.bincount(found["rows"], minlength=n)
-        for k in STEMS:
-            value, row = dense_pairs(found[f"stem{k}"], found[f"of{k}"], total)
-            often[k].append(np.stack([value, row.astype(np.uint64) + np.uint64(rows_before)]))
-        rows_before += n
+    both_kinds = len(y) > 0 and 0 < y.sum() < len(y)
     insults, second, further = hashes_of(INSULTS), hashes_of(SECOND_PERSON), [hashes_of(w) for w in FURTHER]
-    empty = np.empty(0, np.uint64)
-    tables = {}
-    for name in ("words", *(f"stem{k}" for k in STEMS)):
-        both = np.concatenate(keys[name], axis=1) if name in keys else None
-        tables[name] = frequent_in(both[0], both[1].astype(np.int64), y) if both is not None and 0 < y.sum() < len(y) else empty
-    lex, stems = tables["words"], {k: tables[f"stem{k}"] for k in STEMS}
-    dense = {k: empty for k in STEMS}
-    for k, pairs in often.items():
-        both = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.uint64)
-        if both.shape[1] and 0 < y.sum() < len(y):
-            dense[k] = frequent_in(both[0], both[1].astype(np.int64), y, clean=0.1)
-    if not len(y) or not 0 < y.sum() < len(y):
+
+    def marks(pick: Callable[[dict[str, np.ndarray], int], tuple[np.ndarray, np.ndarray]], **options) -> np.ndarray:
+        """The marks among the (value, row) pairs that ``pick`` takes from each slice. One kind of pairs is held at a time, and
+        texts are counted again for the next, so that the driver's memory stays small."""
+        values, rows = [], []
+        for at, n in slices(arr) if both_kinds else ():
+            value, row = pick(counted(arr.slice(at, n)), n)
+            values.append(value)
+            rows.append((row + at).astype(np.int32))
+        return frequent_in(np.concatenate(values), np.concatenate(rows), y, **options) if values else np.empty(0, np.uint64)
+
+    def distinct(name: str, of: str) -> Callable[[dict[str, np.ndarray], int], tuple[np.ndarray, np.ndarray]]:
+        def pick(found: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+            _, once = np.unique(found[name] + mix(found[of]), return_index=True)
+            return found[name][once], found[of][once]
+
+        return pick
+
+    lex = marks(distinct("words", "rows"))
+    stems = {k: marks(distinct(f"stem{k}", f"of{k}")) for k in STEMS}
+    dense = {k: marks(lambda found, n, k=k: dense_pairs(found[f"stem{k}"], found[f"of{k}"], np.bincount(found["rows"], minlength=n)), clean=0.1) for k in STEMS}
+    if not both_kinds:
         weights = np.zeros(2 * N_VOTERS + 3)
         weights[N_VOTERS : N_VOTERS + FIXED] = 4.0
         return Model(insults, second, further, lex, stems, dense, weights, -2.0)
-    v = np.concatenate([votes(p, lex, stems, dense, insults, second, further) for p in parts])
-    target = label_model(v, float(y.mean()))
-    x = np.concatenate([design(p, v_, lex, stems) for p, v_ in zip(parts, np.split(v, np.cumsum([p["n"] for p in parts])[:-1]), strict=True)])
+    said, features = [], []
+    for at, n in slices(arr):
+        found = counted(arr.slice(at, n))
+        said.append(votes(found, lex, stems, dense, insults, second, further))
+        features.append(design(found, said[-1], lex, stems))
+    x = np.concatenate(features)
+    target = label_model(np.concatenate(said), float(y.mean()))
     weights, bias = np.zeros(x.shape[1]), 0.0
     for step in range(400):
         gap = sigmoid(x @ weights + bias) - target
