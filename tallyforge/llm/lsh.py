@@ -5,14 +5,15 @@ An *item* is a document, a line, or a unit: a passage between two borders that i
 text, so that rows without a key, or with equal keys and different texts, are never mixed up. Steps, each cut by a
 written table:
 
-1. ``items_table``: the node of each item. ``band_rows``: one key for each band of each distinct node. A node's keys
+1. ``items_table``: the node of each item. ``band_rows``: one key for each band of each distinct node; lines and units
+   of few shingles get fewer keys, which say what they can be linked with (``set_keys``). A node's keys
    are sent once per partition, so a text that fills a third of all rows costs each partition one set of keys.
 2. ``collisions``: (key, node) pairs are range-partitioned and sorted by both columns, so one frequent key spreads over
    as many partitions as it needs. The ranges come from some texts, so that no key is computed twice for them. Runs of a key inside one Arrow batch are listed; runs that a batch's border cuts
    become stars, joined over partitions by border rows alone (two for a partition).
 3. ``surviving``: within each listed run nodes are compared by further MinHash values, as ``prune`` says; those pairs
    that survive give a spanning forest, and its components are groups. Unlike texts that share a band don't meet.
-4. ``verify``: a group is cut into chunks, and each pair of chunks is one tile. A tile counts links for each node and
+4. ``verify``: a group is cut into chunks, and each pair of chunks is one tile; small tiles are verified many at once. A tile counts links for each node and
    keeps only the components they make, as stars, never all pairs.
 """
 
@@ -23,6 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,10 +110,71 @@ def items_table(docs: DataFrame, mode: str, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {key_type.simpleString()}, body long, item int, node long")
 
 
-def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, min_words: int, bounds: tuple[np.ndarray, np.ndarray], thin: int = 1) -> DataFrame:
+def small_sizes(threshold: float, most: int = 32) -> tuple[int, int]:
+    """(least, large). Sets of which one has fewer than ``large`` members reach ``threshold`` only if they are equal or
+    one is the other and one member more; the larger has ``least`` members or more then."""
+    least = next((n for n in range(2, most) if n - 1 >= threshold * n - 1e-9), most)
+    large = next((n for n in range(1, most) if n >= threshold * (n + 2) - 1e-9), most)
+    return least, large
+
+
+def repeating(words: np.ndarray, items: np.ndarray, n_items: int, width: int) -> np.ndarray:
+    """Items in which some ``width`` words in a row may occur twice; of all others it is sure that none do."""
+    out = np.zeros(n_items, bool)
+    if width < 1:
+        return ~out
+    if len(words) <= width:
+        return out
+    w = S.weights(width)
+    total = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        total += words[k : len(words) - width + 1 + k] * w[k]
+    whole = items[: len(total)] == items[width - 1 :]
+    bits = np.uint64(max(1, int(n_items).bit_length()))
+    line = np.sort(items[: len(total)][whole].astype(np.uint64) << (np.uint64(64) - bits) | S.mix(total[whole]) >> bits)
+    out[(line[1:][line[1:] == line[:-1]] >> (np.uint64(64) - bits)).astype(np.int64)] = True
+    return out
+
+
+def set_keys(hashes: np.ndarray, of: np.ndarray, loose: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, key, first, large): keys by which small sets of shingles meet if, and but for hashes only if, they are equal
+    or one is the other without a shingle; first: the key of the whole set; large: items that need band keys, too.
+
+    A text without a repeated overlap of two shingles holds a set of one shingle less only as its own begin or end, so
+    for it two such keys do; ``loose`` items get one for each shingle."""
+    least, big = small_sizes(threshold)
+    n = len(loose)
+    extra = loose[of]
+    again, of_again = hashes[extra], of[extra]
+    order = np.lexsort((again, of_again))
+    again, of_again = again[order], of_again[order]
+    fresh = np.ones(len(again), bool)
+    fresh[1:] = (again[1:] != again[:-1]) | (of_again[1:] != of_again[:-1])
+    hashes, of = np.concatenate([hashes[~extra], again[fresh]]), np.concatenate([of[~extra], of_again[fresh]])
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    stop = np.append(begin[1:], len(of)).astype(np.int64)
+    own, size = of[begin], stop - begin
+    large = np.zeros(n, bool)
+    large[own[size >= big]] = True
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes, out=total[1:])
+    sums = total[stop] - total[begin]
+    whole = size < big
+    less = (size >= least) & (size <= big)
+    plain, each = np.flatnonzero(less & ~loose[own]), np.flatnonzero(less & loose[own])
+    lengths = size[each]
+    place = np.repeat(begin[each] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+    item = np.concatenate([own[whole], own[plain], own[plain], np.repeat(own[each], lengths)])
+    key = np.concatenate([sums[whole], sums[plain] - hashes[begin[plain]], sums[plain] - hashes[stop[plain] - 1], np.repeat(sums[each], lengths) - hashes[place]])
+    first = np.zeros(len(item), bool)
+    first[: int(whole.sum())] = True
+    return item, S.mix(key), first, large
+
+
+def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, min_words: int, bounds: tuple[np.ndarray, np.ndarray], thin: int = 1, small: float | None = None) -> DataFrame:
     """(band, node, range): all band keys of a node once for each partition that has it, and one of them again (once)
     where the partition has the node twice. range: how many of ``bounds``, ascending (band, node) pairs, are not above;
-    one in ``thin`` pairs is given."""
+    one in ``thin`` pairs is given. ``small``: the threshold at which small sets get the keys of ``set_keys`` instead."""
     bound_keys, bound_nodes = bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +198,23 @@ def band_rows(texts: DataFrame, mode: str, width: int, bands: int, rows: int, mi
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 some = state[of] > 0
-                have, values = S.minhashes(hashes[some], of[some], bands * rows)
+                hashes, of = hashes[some], of[some]
+                fixed = fixed_of = np.empty(0, np.uint64)
+                if small is not None:
+                    fixed_of, fixed, lead, large = set_keys(hashes, of, repeating(words, item, len(row), width - 1), small)
+                    some = lead | (state[fixed_of] == 1)
+                    some &= (state[fixed_of] == 1) | ~large[fixed_of]
+                    fixed_of, fixed = fixed_of[some], fixed[some]
+                    some = large[of]
+                    hashes, of = hashes[some], of[some]
+                have, values = S.minhashes(hashes, of, bands * rows)
                 folded = np.zeros((len(have), bands), np.uint64)
                 for r in range(rows):
                     folded += values[:, r::rows] * w[r]
                 folded = S.mix(folded + np.arange(bands, dtype=np.uint64) * w[rows])
                 fresh = state[have] == 1
-                key = np.concatenate([folded[fresh].reshape(-1), folded[~fresh, 0]])
-                node = np.concatenate([np.repeat(nodes[have[fresh]], bands), nodes[have[~fresh]]]).view(np.int64)
+                key = np.concatenate([folded[fresh].reshape(-1), folded[~fresh, 0], fixed])
+                node = np.concatenate([np.repeat(nodes[have[fresh]], bands), nodes[have[~fresh]], nodes[fixed_of.astype(np.int64)]]).view(np.int64)
                 key = key.view(np.int64)
                 if thin > 1:
                     some = S.mix((key ^ node).view(np.uint64)) % np.uint64(thin) == 0
@@ -260,6 +332,60 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield now, pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables that cut no run of equal leading columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for i in range(n_keys):
+            k = batch.column(i).to_numpy(zero_copy_only=False)
+            change[1:] |= k[1:] != k[:-1]
+        begin = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if begin:
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)])
+            held = [batch.slice(begin)]
+        elif held and all(held[-1].column(i)[-1] == batch.column(i)[0] for i in range(n_keys)):
+            held.append(batch)
+        else:
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (left before right) of places inside each of the runs that begin at ``starts``."""
+    place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    after = np.repeat(starts + sizes, sizes) - place - 1
+    left = np.repeat(place, after)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def common_members(flat: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sorted distinct sets; set i is ``flat[offsets[i] : offsets[i + 1]]``."""
+    sizes = np.diff(offsets)
+    universe, place = np.unique(flat, return_inverse=True)
+    line = np.repeat(np.arange(len(sizes)), sizes) * np.int64(len(universe)) + place  # ascending
+    swap = sizes[left] > sizes[right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    out = np.zeros(len(left), np.int64)
+    ends = np.cumsum(sizes[left])
+    at = 0
+    while at < len(left):  # about PAIRS members at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        a, b = left[at:to], right[at:to]
+        n = sizes[a]
+        member = place[np.repeat(offsets[a] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        want = np.repeat(b, n) * np.int64(len(universe)) + member
+        found = line[np.minimum(np.searchsorted(line, want), len(line) - 1)] == want
+        out[at:to] = np.bincount(np.repeat(np.arange(to - at), n)[found], minlength=to - at)
+        at = to
+    return out
+
+
 def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of all intersections of two lists of sorted distinct arrays, by products of 0/1 blocks of columns."""
     universe, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
@@ -317,6 +443,8 @@ def stars(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 Filter = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Pairs compared at once.
 PAIRS = 1 << 20
+#: Tiles of up to so many nodes are verified together, by about so many bytes of their shingles.
+FEW, BLOCK = 64, 1 << 22
 
 
 def forest(sigs: np.ndarray, starts: np.ndarray, prune: Filter) -> tuple[np.ndarray, np.ndarray]:
@@ -429,35 +557,75 @@ def verify(members: DataFrame, threshold: float, prune: Filter, chunk: int = 256
     kind 1, the tile's links lead from a to b, the smallest node of that component."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), t in grouped(batches, 3):
-            nodes = t.column("node").to_numpy()
-            nodes, first = np.unique(nodes, return_index=True)
-            t = t.take(pa.array(first))
-            mine, copies = t.column("mine").to_numpy(), t.column("copies").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
-            if lo == hi:
-                left, right = np.triu_indices(len(nodes), 1)
-            else:
-                a, b = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-                left, right = np.repeat(a, len(b)), np.tile(b, len(a))
-            sizes = np.array([len(s) for s in sets])
-            near = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9 if len(left) else np.zeros(0, bool)
-            left, right = left[near], right[near]
-            if len(left):
-                sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(nodes), -1)
-                alive = prune(sigs, left, right)
-                left, right = left[alive], right[alive]
-            if not len(left):
+        for t in whole_groups(batches, 3):
+            t = t.combine_chunks()
+            grp, lo, hi, node = (t.column(i).to_numpy() for i in range(4))
+            tile = np.cumsum(np.concatenate([[False], (grp[1:] != grp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            order = np.lexsort((node, tile))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(tile[order]) != 0) | (np.diff(node[order]) != 0)
+            order = order[fresh]
+            t, tile, few = t.take(pa.array(order)), tile[order], lo[order] == hi[order]
+            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            sizes = np.diff(np.append(starts, len(tile)))
+            few = few[starts] & (sizes <= FEW)
+            for k in np.flatnonzero(~few).tolist():
+                yield from one(t.slice(int(starts[k]), int(sizes[k])))
+            rows = np.repeat(few & (sizes > 1), sizes)
+            if not rows.any():
                 continue
-            good = exact_links(sets, left, right, threshold)
+            t, tile = t.filter(pa.array(rows)), tile[rows]
+            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            held = np.append(0, np.cumsum(pc.binary_length(t.column("grams")).to_numpy()))
+            block = held[starts] // BLOCK
+            for first in np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist():
+                own = starts[first : first + int(np.searchsorted(block[first:], block[first], side="right"))]
+                stop = int(starts[first + len(own)]) if first + len(own) < len(starts) else len(tile)
+                yield from many(t.slice(int(own[0]), stop - int(own[0])), own - own[0])
+
+    def joined(t: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        nodes, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+        count = np.bincount(left, copies[right], len(nodes)) + np.bincount(right, copies[left], len(nodes))
+        some = np.flatnonzero(count)
+        tree = stars(len(nodes), left, right)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(some) + [1] * len(tree), pa.int32()), pa.array(np.concatenate([nodes[some], nodes[[x for x, _ in tree]]]).astype(np.int64)), pa.array(np.concatenate([count[some].astype(np.int64), nodes[[y for _, y in tree]]]).astype(np.int64))],
+            names=["kind", "a", "b"],
+        )
+
+    def alive(t: pa.Table, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9 if len(left) else np.zeros(0, bool)
+        left, right = left[near], right[near]
+        if len(left):
+            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(sizes), -1)
+            good = prune(sigs, left, right)
             left, right = left[good], right[good]
-            count = np.bincount(left, copies[right], len(nodes)) + np.bincount(right, copies[left], len(nodes))
-            some = np.flatnonzero(count)
-            tree = stars(len(nodes), left, right)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(some) + [1] * len(tree), pa.int32()), pa.array(np.concatenate([nodes[some], nodes[[x for x, _ in tree]]]).astype(np.int64)), pa.array(np.concatenate([count[some].astype(np.int64), nodes[[y for _, y in tree]]]).astype(np.int64))],
-                names=["kind", "a", "b"],
-            )
+        return left, right
+
+    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lo, hi, mine = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("mine").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
+        if lo == hi:
+            left, right = np.triu_indices(len(sets), 1)
+        else:
+            a, b = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+            left, right = np.repeat(a, len(b)), np.tile(b, len(a))
+        left, right = alive(t, np.array([len(s) for s in sets]), left, right)
+        if len(left):
+            good = exact_links(sets, left, right, threshold)
+            yield joined(t, left[good], right[good])
+
+    def many(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Tiles of few nodes, which begin at ``starts``."""
+        sets = t.column("grams").to_pylist()
+        offsets = np.append(0, np.cumsum([len(x) // 8 for x in sets]))
+        sizes = np.diff(offsets)
+        left, right = alive(t, sizes, *pairs_within(starts, np.diff(np.append(starts, len(sets)))))
+        if len(left):
+            both = common_members(np.frombuffer(b"".join(sets), np.uint64), offsets, left, right)
+            union = sizes[left] + sizes[right] - both
+            good = (union > 0) & (both >= threshold * union - 1e-9)
+            yield joined(t, left[good], right[good])
 
     tiles = tiled(members, "grp", "node", "size", chunk).select("grp", "lo", "hi", "node", "mine", "copies", "sig", "grams")
     dealt = tiles.repartition(parts(members.sparkSession), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
@@ -471,7 +639,7 @@ def near_classes(docs: DataFrame, *, mode: str, width: int, threshold: float, ba
     n_links: items of *other* nodes linked with the node; cls: the smallest node of its component; rep: the first
     (key, body, item), rows without a key after all others."""
     items = materialize(items_table(docs, mode, min_words), "items")
-    texts, banding = docs.select("text").where("text IS NOT NULL"), {"mode": mode, "width": width, "bands": bands, "rows": rows, "min_words": min_words}
+    texts, banding = docs.select("text").where("text IS NOT NULL"), {"mode": mode, "width": width, "bands": bands, "rows": rows, "min_words": min_words, "small": None if mode == "text" else threshold}
     met = collisions(band_rows(texts, bounds=range_bounds(texts, parts(docs.sparkSession), **banding), **banding))
     some = materialize(met.select(F.explode(F.array(F.when(F.col("kind") != 1, F.col("a")), F.col("b"))).alias("node")).where("node IS NOT NULL").distinct(), "some")
     at = F.struct("key", "body", "item")
